@@ -20,6 +20,18 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnlake.llm.debruijn import substring_dedup
+
+    return substring_dedup(documents(spark, sf_dir), width=20)
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnlake.llm.suffixes import suffix_dedup
+
+    return suffix_dedup(documents(spark, sf_dir), width=100)
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnlake.llm.codec import Codec
 
@@ -35,6 +47,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, target).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op9_bpe_codec, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_substring_dedup, op6_suffix_dedup, op9_bpe_codec, op10_token_files)}
 
 ORACLE_SQL: dict[str, str] = {}
