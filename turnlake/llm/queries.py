@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from turnlake.llm.common import documents, new_path
+from turnlake.llm.common import documents, new_path, table
 
 
 def vocabulary_path() -> str:
@@ -32,6 +33,20 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(documents(spark, sf_dir), width=100)
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnlake.llm.topk import exact_topk, scaled, usable
+
+    vectors = table(spark, sf_dir, "embeddings").filter(usable(F.col("embedding"))).select("vec_id", scaled(F.col("embedding")).alias("v"))
+    return exact_topk(vectors.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), vectors, k=5)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnlake.llm.toxicity import fit, score
+
+    docs = documents(spark, sf_dir)
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnlake.llm.codec import Codec
 
@@ -47,6 +62,22 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, target).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_substring_dedup, op6_suffix_dedup, op9_bpe_codec, op10_token_files)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_substring_dedup, op6_suffix_dedup, op7_exact_topk, op8_toxicity, op9_bpe_codec, op10_token_files)}
+
+#: op7 in SQL: every query against every row.
+ORACLE_SQL: dict[str, str] = {
+    "op7_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM scored
+        QUALIFY rank <= 5
+    """,
+}
