@@ -14,6 +14,22 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Any secret will do; every query of one corpus must use the same.
+PII_KEY = "a key that the owner of the corpus keeps"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnlake.llm.pii import replace_pii
+
+    return replace_pii(documents(spark, sf_dir), PII_KEY)
+
+
+def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnlake.llm.media import MediaStore
+
+    return MediaStore.write(documents(spark, sf_dir)).features()
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnlake.llm.packing import pack_documents
 
@@ -62,7 +78,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, target).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_substring_dedup, op6_suffix_dedup, op7_exact_topk, op8_toxicity, op9_bpe_codec, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_media_chunks, op3_best_fit_packing, op4_substring_dedup, op6_suffix_dedup, op7_exact_topk, op8_toxicity, op9_bpe_codec, op10_token_files)}
 
 #: op7 in SQL: every query against every row.
 ORACLE_SQL: dict[str, str] = {
