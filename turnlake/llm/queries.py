@@ -43,6 +43,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir), width=20)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnlake.llm.jaccard import jaccard_classes
+
+    return jaccard_classes(documents(spark, sf_dir), k=4, percent=85)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnlake.llm.suffixes import suffix_dedup
 
@@ -78,7 +84,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, target).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_media_chunks, op3_best_fit_packing, op4_substring_dedup, op6_suffix_dedup, op7_exact_topk, op8_toxicity, op9_bpe_codec, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_media_chunks, op3_best_fit_packing, op4_substring_dedup, op5_jaccard_join, op6_suffix_dedup, op7_exact_topk, op8_toxicity, op9_bpe_codec, op10_token_files)}
 
 #: op7 in SQL: every query against every row.
 ORACLE_SQL: dict[str, str] = {
