@@ -186,6 +186,29 @@ def repeated_ranges(docs: DataFrame, parts: int, width: int) -> DataFrame:
     return whole.unionByName(single)
 
 
+def _rewritten(docs: pa.Table, ranges: pa.Table) -> pa.Table:
+    """All columns of the rows; a text that loses words is joined anew."""
+    made = _result(with_text=True)(docs, ranges)
+    text = pc.if_else(pc.greater(made.column("n_removed"), 0), made.column("kept"), docs.column("text"))
+    out = docs.drop_columns(["part"])
+    out = out.set_column(out.column_names.index("text"), "text", text)
+    if "n_chars" in out.column_names:
+        out = out.set_column(out.column_names.index("n_chars"), "n_chars", pc.utf8_length(text).cast(pa.int64()))
+    return out
+
+
+def without_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
+    """``docs`` (doc_id, text and any others but ``part``) with repeated spans
+    removed from its texts: a text that loses words has the words it keeps,
+    joined by one space, and its ``n_chars`` anew; others are as they were."""
+    prepare(docs.sparkSession)
+    slim = only(docs, "doc_id", "text")
+    parts = part_count(slim)
+    ranges = repeated_ranges(slim, parts, width)
+    placed = docs.withColumn("part", F.coalesce(part_column(F.col("doc_id"), parts), F.lit(0)))
+    return placed.groupBy("part").cogroup(ranges.groupBy("part")).applyInArrow(_rewritten, docs.schema)
+
+
 def substring_dedup(docs: DataFrame, width: int = 20, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept]) of every row.
 

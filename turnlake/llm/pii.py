@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import only, stored
+from turnlake.llm.common import stored
 
 _MALE = r"Mr\.?|Herr|Monsieur|Señor|Господин|г-н"
 _FEMALE = r"Mrs\.?|Ms\.?|Frau|Madame|Señora|Госпожа|г-жа"
@@ -167,19 +167,20 @@ def assign(parts: DataFrame, key: str) -> DataFrame:
     raise RuntimeError("no free surrogate was found")
 
 
-def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, n_replaced) of every row.
+def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, text, n_replaced) of every row, and the columns ``carry`` as they
+    are.
 
     Null texts stay null and empty ones empty; texts without a detected value
     are unchanged.  Rows that repeat an id are replaced each by itself, and null
     ids are allowed: a value's surrogate doesn't depend on its row.  With other
     keys, all surrogates differ.
     """
-    docs = only(docs, id_col, text_col)
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry or []]).alias("carried"))
     found = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
     marked = docs.withColumn("found", F.when(F.col("text").rlike(_HINT), found))
     some = F.size(F.coalesce("found", F.array().cast("array<string>"))) > 0
-    plain = marked.filter(~some).select("doc_id", "text", F.lit(0).alias("n_replaced"))
+    plain = marked.filter(~some).select("doc_id", "text", F.lit(0).alias("n_replaced"), "carried")
     hits = stored(marked.filter(some), "pii")  # only texts that hold a value
     values = hits.select(F.explode("found").alias("value")).distinct().withColumn("kind", _kind(F.col("value")))
     split = stored(values.withColumn("parts", _parts(F.col("kind"), F.col("value"))).select("value", F.posexplode("parts").alias("at", "part")).select("value", "at", "part.kind", F.col("part.value").alias("own")), "pii-parts")
@@ -190,5 +191,5 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     pairs = hits.select(own, F.explode(F.array_distinct("found")).alias("value")).join(named, "value").groupBy("own_id").agg(F.map_from_entries(F.collect_set(F.struct("value", "surrogate"))).alias("to"))
     between = F.split("text", ANY, -1)
     stitched = F.concat(F.element_at(between, 1), F.array_join(F.transform(F.arrays_zip(F.col("found").alias("f"), F.slice(between, F.lit(2), F.size("found")).alias("b")), lambda x: F.concat(F.element_at("to", x["f"]), x["b"])), ""))
-    replaced = hits.withColumn("own_id", F.coalesce("doc_id", F.lit(-1))).join(pairs, "own_id").select("doc_id", stitched.alias("text"), F.size("found").alias("n_replaced"))
-    return plain.unionByName(replaced)
+    replaced = hits.withColumn("own_id", F.coalesce("doc_id", F.lit(-1))).join(pairs, "own_id").select("doc_id", stitched.alias("text"), F.size("found").alias("n_replaced"), "carried")
+    return plain.unionByName(replaced).select("doc_id", "text", "n_replaced", *[F.col("carried")[c].alias(c) for c in carry or []])

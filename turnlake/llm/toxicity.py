@@ -149,6 +149,20 @@ def _fit_sample(found: pa.Table) -> Model:
     return Model(names[pick], weights, thresholds)
 
 
+def _graded(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Probability of each grade of every document of a block."""
+    doc, code, words = words_of(data, offsets)
+    own = np.array([features_of(w) for w in words], np.int64).reshape(-1, 2)
+    place = np.full(own.shape, -1)
+    n = max(len(model.features), 1)
+    if len(model.features):
+        near = np.minimum(np.searchsorted(model.features, own), n - 1)
+        place = np.where(model.features[near] == own, near, -1)
+    key = [doc[hit] * n + place[code[hit], side] for side in (0, 1) for hit in [place[code, side] >= 0]]
+    text, feature = np.divmod(np.unique(np.concatenate(key)), n)
+    return model.grades(np.bincount(text, weights=model.weights[feature] if len(feature) else None, minlength=len(offsets) - 1))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, expected_severity, p_toxic, grade, toxic) of every row.
 
@@ -159,18 +173,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data, offsets in blocks(batches):
-            doc, code, words = words_of(data, offsets)
-            own = np.array([features_of(w) for w in words], np.int64).reshape(-1, 2)
-            place = np.full(own.shape, -1)
-            if len(model.features):
-                near = np.minimum(np.searchsorted(model.features, own), len(model.features) - 1)
-                place = np.where(model.features[near] == own, near, -1)
-            key = [doc[hit] * max(len(model.features), 1) + place[code[hit], side] for side in (0, 1) for hit in [place[code, side] >= 0]]
-            present = np.unique(np.concatenate(key))
-            text, feature = np.divmod(present, max(len(model.features), 1))
-            logit = np.bincount(text, weights=model.weights[feature] if len(feature) else None, minlength=block.num_rows)
-            p = model.grades(logit)
+            p = _graded(model, data, offsets)
             chance = 1 - p[:, 0]
             yield pa.record_batch({"doc_id": block.column(0), "expected_severity": pa.array(p @ np.arange(p.shape[1])), "p_toxic": pa.array(chance), "grade": pa.array(p.argmax(1).astype(np.int32)), "toxic": pa.array(chance >= REJECT)})
 
     return only(docs, id_col, text_col).mapInArrow(run, "doc_id long, expected_severity double, p_toxic double, grade int, toxic boolean")
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text isn't toxic."""
+    prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, data, offsets in blocks(batches, text_col):
+            yield block.filter(pa.array(_graded(model, data, offsets)[:, 0] > 1 - REJECT))
+
+    return docs.mapInArrow(run, docs.schema)
