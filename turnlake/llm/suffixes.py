@@ -152,7 +152,7 @@ def _runs(width: int, parts: int):
             marked = {c: marked.column(c).to_numpy() for c in ("doc", "anchor", "left", "right", "hash", "hot")}
             order = np.lexsort([marked["anchor"], marked["doc"]])
             marked = {c: x[order] for c, x in marked.items()}
-            docs = docs.combine_chunks()
+            docs = docs.filter(pc.is_valid(docs.column("doc_id"))).combine_chunks()
             docs = docs.take(pc.sort_indices(docs, sort_keys=[("doc_id", "ascending")]))
             cold: dict[int, dict[tuple[bytes, bytes], list]] = {}
             hot: dict[tuple[bytes, bytes], list] = {}
