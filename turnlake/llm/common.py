@@ -64,7 +64,8 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut, and
     a lost executor costs no recomputation of what is already written."""
     path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from turnlake.llm.anchors import part_column, part_count, part_of, repeated_anchors, rolled, unpacked, window_runs
 from turnlake.llm.arrowtext import BLOCK_BYTES, binary_slices, blocks, flat, ragged, word_spans
-from turnlake.llm.common import only, prepare
+from turnlake.llm.common import only, prepare, stored
 
 #: Words of an anchor.
 ANCHOR_WORDS = 6
@@ -171,19 +171,23 @@ def repeated_ranges(docs: DataFrame, parts: int, width: int) -> DataFrame:
     that also starts earlier in the corpus."""
     marks = repeated_anchors(docs, _find(width), parts, BLOCK_BYTES)
     placed = docs.filter("doc_id IS NOT NULL").withColumn("part", part_column(F.col("doc_id"), parts))
-    paths = placed.groupBy("part").cogroup(marks.withColumnRenamed("bucket", "part").groupBy("part")).applyInArrow(_paths(width), _PATHS)
+    # Each step is written before the next reads it: then the files of its
+    # shuffles go, and only what the next step needs is moved.
+    paths = stored(placed.groupBy("part").cogroup(marks.withColumnRenamed("bucket", "part").groupBy("part")).applyInArrow(_paths(width), _PATHS), "paths")
     # A part sends a path once, so a path's rows are at most as many as parts.
     same = Window.partitionBy("path_a", "path_b").orderBy("doc", "first")
-    ranked = paths.withColumn("lead", F.row_number().over(same) == 1)
+    ranked = stored(paths.drop("edges").withColumn("lead", F.row_number().over(same) == 1).drop("path_a", "path_b"), "ranked")
     whole = ranked.filter(~F.col("lead") | (F.length("others") > 0)).select("doc", "first", "n", "others", "lead").mapInArrow(_repeats(width)(parts), "part int, doc long, first long, last long")
     # Branches: anchors of more than one distinct path.  Their edges meet singly.
-    leads = ranked.filter("lead").select("anchor", "doc", "first", "n", "edges")
+    leads = ranked.filter("lead").select("anchor", "doc", "first")
     branching = leads.groupBy("anchor").agg(F.count("*").alias("paths")).filter("paths > 1").select("anchor")
-    edges = leads.join(branching, "anchor", "left_semi").select("anchor", "doc", "first", "n", "edges").mapInArrow(_spread, "anchor long, edge long, doc long, start long")
+    chosen = leads.join(branching, "anchor", "left_semi").select("doc", "first", "anchor")
+    edges = paths.select("doc", "first", "anchor", "n", "edges").join(chosen, ["doc", "first", "anchor"], "left_semi").select("anchor", "doc", "first", "n", "edges").mapInArrow(_spread, "anchor long, edge long, doc long, start long")
+    edges = stored(edges, "branch-edges")
     earliest = edges.groupBy("anchor", "edge").agg(F.min(F.struct("doc", "start")).alias("earliest"), F.count("*").alias("places")).filter("places > 1")
     later = edges.join(earliest, ["anchor", "edge"]).filter((F.col("doc") != F.col("earliest.doc")) | (F.col("start") != F.col("earliest.start")))
     single = later.select(part_column(F.col("doc"), parts).alias("part"), "doc", F.col("start").alias("first"), (F.col("start") + width).alias("last"))
-    return whole.unionByName(single)
+    return stored(whole.unionByName(single), "ranges")
 
 
 def _rewritten(docs: pa.Table, ranges: pa.Table) -> pa.Table:
