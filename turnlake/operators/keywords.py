@@ -59,23 +59,23 @@ class Lexicon:
     routine: list[str] = field(default_factory=lambda: ROUTINE)
 
     def __post_init__(self) -> None:
+        self.categories = {c: [w.casefold() for w in words] for c, words in self.categories.items()}
         plural = lambda w: "" if w in self.exact or len(w) <= 3 else "(?:s)?"
         self.terms = [(c, w, re.compile(rf"\b{re.escape(w)}{plural(w)}\b", re.IGNORECASE)) for c, words in self.categories.items() for w in words]
-        # One scan decides for most sentences that nothing can match.
-        self.any = re.compile("|".join(re.escape(w) for _, w, _ in self.terms), re.IGNORECASE)
         self.near, self.wide = (re.compile("|".join(p), re.IGNORECASE) for p in (self.neighbours, self.routine))
 
     def matches(self, text: str) -> list[tuple[str, str, bool]]:
         """(category, keyword, cancelled by routine context) of every match that
         no neighbour cancels; overlapping keywords all count."""
-        found = []
-        if self.any.search(text):
-            for category, word, pattern in self.terms:
-                for m in pattern.finditer(text):
-                    a, b = m.span()
-                    if not self.near.search(text[max(0, a - NEAR) : b + NEAR]):
-                        routine = category not in self.strong and bool(self.wide.search(text[max(0, a - WIDE) : b + WIDE]))
-                        found.append((category, word, routine))
+        found, folded = [], text.casefold()
+        for category, word, pattern in self.terms:
+            if word not in folded:  # a plain search spares most terms their pattern
+                continue
+            for m in pattern.finditer(text):
+                a, b = m.span()
+                if not self.near.search(text[max(0, a - NEAR) : b + NEAR]):
+                    routine = category not in self.strong and bool(self.wide.search(text[max(0, a - WIDE) : b + WIDE]))
+                    found.append((category, word, routine))
         return found
 
     def signals(self, text: str | None) -> tuple:
