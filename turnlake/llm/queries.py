@@ -86,8 +86,49 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_media_chunks, op3_best_fit_packing, op4_substring_dedup, op5_jaccard_join, op6_suffix_dedup, op7_exact_topk, op8_toxicity, op9_bpe_codec, op10_token_files)}
 
-#: op7 in SQL: every query against every row.
+_WORDS = """w AS (
+            SELECT doc_id, unnest(x) AS word, generate_subscripts(x, 1) AS pos
+            FROM (SELECT doc_id, list_filter(string_split_regex({text}, '[ \t-\r]+'), lambda y: y <> '') AS x FROM documents)
+        )"""
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: What SQL can express: windows of words, set overlaps, all inner products.
 ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": f"""
+        WITH {_WORDS.format(text="coalesce(text, '')")}, g AS (
+            SELECT doc_id, pos, word, count(*) OVER f AS n, string_agg(word, ' ') OVER f AS gram FROM w
+            WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+        ), l AS (
+            SELECT doc_id, pos, word, n = 20 AND row_number() OVER (PARTITION BY gram, n ORDER BY doc_id, pos) > 1 AS later FROM g
+        ), r AS (
+            SELECT doc_id, pos, word, bool_or(later) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM l
+        )
+        SELECT d.doc_id, count(r.pos) AS n_words, count_if(coalesce(gone, false)) AS n_removed,
+               sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id GROUP BY d.doc_id
+    """,
+    "op5_jaccard_join": f"""
+        WITH RECURSIVE {_WORDS.format(text=_LOWER)}, g AS (
+            SELECT doc_id, pos, count(*) OVER f AS n, string_agg(word, ' ') OVER f AS gram FROM w
+            WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)
+        ), s AS (
+            SELECT DISTINCT doc_id, gram FROM g WHERE n = 4 OR pos = 1
+        ), c AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), p AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), e AS (
+            SELECT x, y FROM p JOIN c ca ON ca.doc_id = x JOIN c cb ON cb.doc_id = y WHERE 100 * p.n >= 85 * (ca.n + cb.n - p.n)
+        ), both_ways AS (
+            SELECT x, y FROM e UNION ALL SELECT y, x FROM e
+        ), reach AS (
+            SELECT x AS node, x AS other FROM both_ways UNION SELECT reach.node, b.y FROM reach JOIN both_ways b ON reach.other = b.x
+        ), m AS (
+            SELECT node, min(other) AS component_id FROM reach GROUP BY node
+        )
+        SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id
+        FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN m ON m.node = d.doc_id
+    """,
     "op7_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
