@@ -21,8 +21,10 @@ from turnlake.llm.bpe import Encoder, vocabulary
 from turnlake.llm.common import only, prepare
 from turnlake.llm.transducer import Transducer, compile_words
 
-#: Words in the lexicon, and the longest of them: together a bound of the file.
-LEXICON_WORDS, LONGEST_WORD = 65_536, 48
+#: A lexicon word takes at least this part of the corpus's bytes for its
+#: occurrences times its length, and is no longer than LONGEST_WORD: so there are
+#: at most 1 / LEAST_SHARE of them, whatever the size of the corpus.
+LEAST_SHARE, LONGEST_WORD = 1e-5, 48
 
 
 def piece_counts(docs: DataFrame, path: str) -> DataFrame:
@@ -58,11 +60,13 @@ def _summed(tables: list[pa.Table]) -> pa.Table:
     return out.rename_columns([{"n_sum": "n"}.get(c, c) for c in out.column_names]).select(["piece", "n"])
 
 
-def build_lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> bytes:
-    """The transducer of the most frequent pieces: at most ``words`` of at most
-    LONGEST_WORD bytes reach the driver, however large the corpus is."""
-    top = piece_counts(docs, path).filter(F.length("piece") <= LONGEST_WORD).orderBy(F.desc("n"), "piece").limit(words)
-    chosen = sorted(bytes(r["piece"]) for r in top.select("piece").collect())
+def build_lexicon(docs: DataFrame, path: str, share: float = LEAST_SHARE) -> bytes:
+    """The transducer of the pieces that make up at least ``share`` of all bytes
+    each: at most 1 / share reach the driver, however large the corpus is."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    own = F.col("n") * F.length("piece")
+    often = piece_counts(docs, path).filter((F.length("piece") <= LONGEST_WORD) & (own >= total * share))
+    chosen = sorted(bytes(r["piece"]) for r in often.select("piece").collect())
     ids, counts = vocabulary(path).merge(chosen)
     return compile_words(chosen, ids, counts)
 
@@ -86,10 +90,10 @@ class Codec:
     are read.
     """
 
-    def __init__(self, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", words: int = LEXICON_WORDS):
+    def __init__(self, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", share: float = LEAST_SHARE):
         prepare(docs.sparkSession)
         self.path = path
-        lexicon = build_lexicon(only(docs, id_col, text_col), path, words)
+        lexicon = build_lexicon(only(docs, id_col, text_col), path, share)
         self.lexicon = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
