@@ -44,8 +44,6 @@ def q(x: str) -> str:
 
 # Conversations -----------------------------------------------------------
 
-_WORD = lambda w: f"regexp_matches(lower(text), '(^|[^a-z])({w})([^a-z]|$)')"
-
 
 def _topical_sql(text: str = "text") -> str:
     word = lambda w: f"regexp_matches(lower({text}), '(^|[^a-z])({w})([^a-z]|$)')"
@@ -84,14 +82,11 @@ def _typed(t: DataFrame) -> DataFrame:
     return turns.exchanges(t).withColumn("initiation_type", turns.initiation_type(topical(F.col("question_text"), STRONG, WEAK), topical(F.col("answer_text"), STRONG, WEAK)))
 
 
-_SCORES = f"""SELECT doc_id, count(*) AS total_exchanges, count_if(initiation_type <> 'non_ai') AS total_ai_exchanges, count_if(initiation_type = 'analyst_initiated') AS analyst_initiated_count,
-count_if(initiation_type = 'management_pivot') AS management_pivot_count, count_if(initiation_type = 'analyst_only') AS analyst_only_count, count_if(initiation_type = 'non_ai') AS non_ai_count,
-{q("coalesce(count_if(initiation_type = 'analyst_initiated') / nullif(count_if(initiation_type <> 'non_ai'), 0), 0)")} AS analyst_initiated_ratio,
-{q("coalesce(count_if(initiation_type = 'management_pivot') / nullif(count_if(initiation_type <> 'non_ai'), 0), 0)")} AS management_pivot_ratio,
-{q("coalesce(count_if(initiation_type = 'management_pivot') / nullif(count_if(initiation_type IN ('management_pivot', 'analyst_initiated')), 0), 0.5)")} AS ai_initiation_score
-FROM typed GROUP BY doc_id""".replace("count_if(", "1.0 * count_if(").replace("1.0 * count_if(initiation_type <> 'non_ai') AS", "count_if(initiation_type <> 'non_ai') AS")
-for _n in ("analyst_initiated", "management_pivot", "analyst_only", "non_ai"):
-    _SCORES = _SCORES.replace(f"1.0 * count_if(initiation_type = '{_n}') AS", f"count_if(initiation_type = '{_n}') AS")
+_SCORES = f"""SELECT doc_id, total_exchanges, total_ai_exchanges, analyst_initiated_count, management_pivot_count, analyst_only_count, non_ai_count,
+{q('coalesce(analyst_initiated_count::DOUBLE / nullif(total_ai_exchanges, 0), 0)')} AS analyst_initiated_ratio, {q('coalesce(management_pivot_count::DOUBLE / nullif(total_ai_exchanges, 0), 0)')} AS management_pivot_ratio,
+{q('coalesce(management_pivot_count::DOUBLE / nullif(management_pivot_count + analyst_initiated_count, 0), 0.5)')} AS ai_initiation_score
+FROM (SELECT doc_id, count(*) AS total_exchanges, count(*) FILTER (WHERE initiation_type <> 'non_ai') AS total_ai_exchanges, count(*) FILTER (WHERE initiation_type = 'analyst_initiated') AS analyst_initiated_count,
+count(*) FILTER (WHERE initiation_type = 'management_pivot') AS management_pivot_count, count(*) FILTER (WHERE initiation_type = 'analyst_only') AS analyst_only_count, count(*) FILTER (WHERE initiation_type = 'non_ai') AS non_ai_count FROM typed GROUP BY doc_id)"""
 
 
 @query(f"WITH {_TURNS}, {_EXCHANGES}, {_TYPED} {_SCORES}")
@@ -149,15 +144,15 @@ def section_intensity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.section_metrics(_sentences(spark, d)))
 
 
-@query(f"""WITH {_SENTENCES} SELECT doc_id, count_if(section = 'speech') AS speech_total_sentences, {q("coalesce(avg(CASE WHEN section = 'speech' THEN CAST(hit AS INTEGER) END), 0)")} AS speech_kw_ai_ratio,
-CAST(sum(CASE WHEN section = 'speech' THEN CAST(hit AS INTEGER) END) AS BIGINT) AS speech_kw_ai_sentences, count_if(section = 'qa') AS qa_total_sentences, {q("coalesce(avg(CASE WHEN section = 'qa' THEN CAST(hit AS INTEGER) END), 0)")} AS qa_kw_ai_ratio,
+@query(f"""WITH {_SENTENCES} SELECT doc_id, count(*) FILTER (WHERE section = 'speech') AS speech_total_sentences, {q("coalesce(avg(CASE WHEN section = 'speech' THEN CAST(hit AS INTEGER) END), 0)")} AS speech_kw_ai_ratio,
+CAST(sum(CASE WHEN section = 'speech' THEN CAST(hit AS INTEGER) END) AS BIGINT) AS speech_kw_ai_sentences, count(*) FILTER (WHERE section = 'qa') AS qa_total_sentences, {q("coalesce(avg(CASE WHEN section = 'qa' THEN CAST(hit AS INTEGER) END), 0)")} AS qa_kw_ai_ratio,
 CAST(sum(CASE WHEN section = 'qa' THEN CAST(hit AS INTEGER) END) AS BIGINT) AS qa_kw_ai_sentences, {q('avg(CAST(hit AS INTEGER))')} AS overall_kw_ai_ratio FROM s GROUP BY doc_id""")
 def document_intensity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.document_metrics(metrics.section_metrics(_sentences(spark, d))))
 
 
-@query(f"""WITH {_SENTENCES}, g AS (SELECT doc_id, count(*) AS n, count_if(section = 'qa') AS nq, count_if(hit) AS na, count_if(hit AND section = 'qa') AS naq,
-count_if(section = 'qa' AND role = 'analyst') AS ra, count_if(section = 'qa' AND role = 'analyst' AND hit) AS raa, count_if(section = 'qa' AND role = 'management') AS rm, count_if(section = 'qa' AND role = 'management' AND hit) AS rma,
+@query(f"""WITH {_SENTENCES}, g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE section = 'qa') AS nq, count(*) FILTER (WHERE hit) AS na, count(*) FILTER (WHERE hit AND section = 'qa') AS naq,
+count(*) FILTER (WHERE section = 'qa' AND role = 'analyst') AS ra, count(*) FILTER (WHERE section = 'qa' AND role = 'analyst' AND hit) AS raa, count(*) FILTER (WHERE section = 'qa' AND role = 'management') AS rm, count(*) FILTER (WHERE section = 'qa' AND role = 'management' AND hit) AS rma,
 max(CASE WHEN section = 'qa' THEN turn_idx END) AS lt, min(CASE WHEN section = 'qa' AND hit THEN turn_idx END) AS ft, arg_min(role, turn_idx) FILTER (section = 'qa' AND hit) AS fr FROM s GROUP BY doc_id)
 SELECT doc_id, {q('1.0 * nq / nullif(n, 0)')} AS qa_share, {q('1.0 * naq / nullif(na, 0)')} AS ai_qa_share, {q('1.0 * raa / nullif(ra, 0)')} AS analyst_ai_share, {q('1.0 * rma / nullif(rm, 0)')} AS management_ai_share,
 {q('1.0 * ft / nullif(lt, 0)')} AS first_ai_position, coalesce(fr, 'none') AS first_ai_role FROM g""")
@@ -170,7 +165,7 @@ def doc_text_concat(spark: SparkSession, d: str) -> DataFrame:
     return tokens.document_text(_sentences(spark, d).withColumn("section", F.lit("qa")))
 
 
-@query(f"WITH {_SENTENCES} SELECT doc_id, count_if(section = 'speech') AS speech, count_if(section = 'qa') AS qa FROM s GROUP BY doc_id")
+@query(f"WITH {_SENTENCES} SELECT doc_id, count(*) FILTER (WHERE section = 'speech') AS speech, count(*) FILTER (WHERE section = 'qa') AS qa FROM s GROUP BY doc_id")
 def pivot_sections(spark: SparkSession, d: str) -> DataFrame:
     return _sentences(spark, d).groupBy("doc_id").pivot("section", ["speech", "qa"]).count().fillna(0, ["speech", "qa"])
 
@@ -182,7 +177,7 @@ def context_windows(spark: SparkSession, d: str) -> DataFrame:
     return rankings.around(s, s.filter(F.col("kw_is_ai") & (F.col("section") == "qa")), 1, place="turn_idx").select("doc_id", "turn_idx")
 
 
-@query(f"""WITH {_SENTENCES}, {_EXCHANGES}, n AS (SELECT count(*) AS t, count_if(section = 'speech') AS sp, count_if(section = 'qa') AS qa, count(DISTINCT doc_id) AS c FROM s), x AS (SELECT count(DISTINCT doc_id) AS e FROM ex)
+@query(f"""WITH {_SENTENCES}, {_EXCHANGES}, n AS (SELECT count(*) AS t, count(*) FILTER (WHERE section = 'speech') AS sp, count(*) FILTER (WHERE section = 'qa') AS qa, count(DISTINCT doc_id) AS c FROM s), x AS (SELECT count(DISTINCT doc_id) AS e FROM ex)
 SELECT unnest(['calls', 'sentences', 'speech_sentences', 'qa_sentences', 'calls_with_exchanges']) AS step, unnest([c, t, sp, qa, e]) AS n, unnest([1.0::DOUBLE, 1.0::DOUBLE, {q('sp::DOUBLE / t')}, {q('qa::DOUBLE / t')}, {q('e::DOUBLE / c')}]) AS share FROM n, x""")
 def funnel(spark: SparkSession, d: str) -> DataFrame:
     s = _sentences(spark, d)
@@ -448,7 +443,7 @@ def ratio_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.ratio_summary(table(spark, d, "documents"), ["n_chars"]))
 
 
-@query("SELECT count_if(toxic = 0) AS n_zero, count_if(toxic <> 0) AS n_nonzero FROM labels")
+@query("SELECT count(*) FILTER (WHERE toxic = 0) AS n_zero, count(*) FILTER (WHERE toxic <> 0) AS n_nonzero FROM labels")
 def zero_split(spark: SparkSession, d: str) -> DataFrame:
     return metrics.zero_split(table(spark, d, "labels"), "toxic")
 
@@ -472,19 +467,19 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").withColumn("score", F.col("n_chars") / 5000.0)
 
 
-@query(f"""WITH {_JUDGED}, c AS (SELECT count_if(quality = 1 AND score >= 0.5) AS tp, count_if(quality <> 1 AND score >= 0.5) AS fp, count_if(quality = 1 AND score < 0.5) AS fn, count_if(quality <> 1 AND score < 0.5) AS tn FROM j)
+@query(f"""WITH {_JUDGED}, c AS (SELECT count(*) FILTER (WHERE quality = 1 AND score >= 0.5) AS tp, count(*) FILTER (WHERE quality <> 1 AND score >= 0.5) AS fp, count(*) FILTER (WHERE quality = 1 AND score < 0.5) AS fn, count(*) FILTER (WHERE quality <> 1 AND score < 0.5) AS tn FROM j)
 SELECT tp, fp, fn, tn, {q('(tp + tn)::DOUBLE / (tp + fp + fn + tn)')} AS accuracy, {q('coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0)')} AS "precision", {q('coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0)')} AS recall, {q('coalesce(2 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0), 0)')} AS f1 FROM c""")
 def confusion_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.classification_metrics(_judged(spark, d), "quality", "score"))
 
 
-@query(f"""WITH {_JUDGED}, s AS (SELECT score, count_if(quality = 1) AS p, count_if(quality <> 1) AS n FROM j GROUP BY score), w AS (SELECT p, n, p * (coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2.0) AS w FROM s)
+@query(f"""WITH {_JUDGED}, s AS (SELECT score, count(*) FILTER (WHERE quality = 1) AS p, count(*) FILTER (WHERE quality <> 1) AS n FROM j GROUP BY score), w AS (SELECT p, n, p * (coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2.0) AS w FROM s)
 SELECT {q('sum(w)::DOUBLE / (sum(p) * sum(n))')} AS auc FROM w""")
 def roc_auc(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.roc_auc(_judged(spark, d), "quality", "score"))
 
 
-@query(f"""WITH {_JUDGED}, s AS (SELECT score AS threshold, count_if(quality = 1) AS p, count_if(quality <> 1) AS n FROM j GROUP BY score)
+@query(f"""WITH {_JUDGED}, s AS (SELECT score AS threshold, count(*) FILTER (WHERE quality = 1) AS p, count(*) FILTER (WHERE quality <> 1) AS n FROM j GROUP BY score)
 SELECT {q('threshold')} AS threshold, {q('sum(p) OVER (ORDER BY threshold DESC)::DOUBLE / sum(p) OVER ()')} AS tpr, {q('sum(n) OVER (ORDER BY threshold DESC)::DOUBLE / sum(n) OVER ()')} AS fpr FROM s""")
 def roc_curve(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.roc_curve(_judged(spark, d), "quality", "score"))
@@ -496,7 +491,7 @@ def kappa(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.agreement(table(spark, d, "labels"), "quality", "toxic"))
 
 
-@query(f"""WITH l AS (SELECT unnest(['0', '1']) AS label), r AS (SELECT CAST(quality AS VARCHAR) AS t, CAST(toxic AS VARCHAR) AS g FROM labels), s AS (SELECT label, count_if(t = label AND g = label) AS tp, count_if(t = label) AS support, count_if(g = label) AS predicted FROM l, r GROUP BY label)
+@query(f"""WITH l AS (SELECT unnest(['0', '1']) AS label), r AS (SELECT CAST(quality AS VARCHAR) AS t, CAST(toxic AS VARCHAR) AS g FROM labels), s AS (SELECT label, count(*) FILTER (WHERE t = label AND g = label) AS tp, count(*) FILTER (WHERE t = label) AS support, count(*) FILTER (WHERE g = label) AS predicted FROM l, r GROUP BY label)
 SELECT label, {q('coalesce(tp::DOUBLE / nullif(predicted, 0), 0)')} AS "precision", {q('coalesce(tp::DOUBLE / nullif(support, 0), 0)')} AS recall, {q('coalesce(2 * tp::DOUBLE / nullif(predicted + support, 0), 0)')} AS f1, support FROM s""")
 def per_class_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.per_class(table(spark, d, "labels"), "quality", "toxic", ["0", "1"]))
@@ -512,8 +507,8 @@ def trend_line(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.trend_line(_panel(spark, d), "mkvaltq", "xrdq").withColumn("intercept", F.col("intercept") / 1000))
 
 
-@query(f"""WITH {_FEATURES} SELECT unnest(['market value', 'lagged value', 'growth']) AS step, unnest([count_if(mkvaltq > 0), count_if(mkvaltq > 0 AND pg IS NOT NULL), count_if(mkvaltq > 0 AND pg IS NOT NULL AND coalesce(ym > 0, false))]) AS kept,
-unnest([count(*) - count_if(mkvaltq > 0), count(*) - count_if(mkvaltq > 0 AND pg IS NOT NULL), count(*) - count_if(mkvaltq > 0 AND pg IS NOT NULL AND coalesce(ym > 0, false))]) AS removed FROM f""")
+@query(f"""WITH {_FEATURES} SELECT unnest(['market value', 'lagged value', 'growth']) AS step, unnest([count(*) FILTER (WHERE mkvaltq > 0), count(*) FILTER (WHERE mkvaltq > 0 AND pg IS NOT NULL), count(*) FILTER (WHERE mkvaltq > 0 AND pg IS NOT NULL AND coalesce(ym > 0, false))]) AS kept,
+unnest([count(*) - count(*) FILTER (WHERE mkvaltq > 0), count(*) - count(*) FILTER (WHERE mkvaltq > 0 AND pg IS NOT NULL), count(*) - count(*) FILTER (WHERE mkvaltq > 0 AND pg IS NOT NULL AND coalesce(ym > 0, false))]) AS removed FROM f""")
 def sample_attrition(spark: SparkSession, d: str) -> DataFrame:
     f = panel.panel_features(_panel(spark, d))
     return stats.attrition(f, {"market value": F.col("mkvaltq") > 0, "lagged value": F.col("price_growth_yoy").isNotNull(), "growth": F.col("y_next_mktcap_growth") > 0})
