@@ -103,7 +103,7 @@ ORACLE_SQL: dict[str, str] = {
         ), r AS (
             SELECT doc_id, pos, word, bool_or(later) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM l
         )
-        SELECT d.doc_id, count(r.pos) AS n_words, count_if(coalesce(gone, false)) AS n_removed,
+        SELECT d.doc_id, count(r.pos) AS n_words, count(*) FILTER (WHERE coalesce(gone, false)) AS n_removed,
                sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id GROUP BY d.doc_id
     """,
