@@ -105,6 +105,25 @@ def test_jaccard_classes(spark, parts, k, percent):
     assert found[None].component_id is None
 
 
+@pytest.mark.parametrize("tile", [2, 40, 4_000])
+def test_jaccard_counts_every_link(spark, monkeypatch, tile):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base)] * 3  # near copies in one class, some pairs of which aren't links
+    for _ in range(30):
+        w = list(base)
+        for at in rng.integers(0, 60, rng.integers(1, 3)):
+            w[at] = f"x{rng.integers(0, 9)}"
+        texts.append(" ".join(w))
+    data = [*enumerate([*texts, texts[5], "alone in the world", "", None]), (5, texts[5])]
+    sets = {i: {tuple(w[a : a + 4]) for w in [(t or "").split()] for a in range(len(w) - 3)} for i, t in data}
+    links = {i: sum(i != j and len(x) > 0 and 100 * len(x & y) >= 80 * len(x | y) for j, y in sets.items()) for i, x in sets.items()}
+    found = by_id(jaccard_classes(spark.createDataFrame(data, "doc_id long, text string"), 4, 80))
+    assert {i: r.n_links for i, r in found.items()} == links
+    assert 33 < sum(links.values()) < 34 * 33  # more than a spanning tree, fewer than all pairs
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (None, 3), (200, 90)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
