@@ -220,5 +220,13 @@ def test_pii_surrogates_are_distinct(spark):
     assert len(out) == 1_000 and len(set(made)) == len(made) and not set(made) & {r.value for r in out}
 
 
+def test_pii_hint_is_implied_by_every_pattern(spark):
+    values = ["a@b.org", "password=abcd", "AKIA" + "Q" * 16, "GB82 WEST ABCD EFGH", "ab" * 16, "1.2.3.4", "+1 (469) 555-8958", "(469) 555-8958", "469-555-8958", "123-45-6789", "41 11 11 11 11 11 11 11", "-".join("4" * 16), "Mr Xu", "Frau Li"]
+    df = spark.createDataFrame([(i, f"so {v} ok") for i, v in enumerate(values)], "doc_id long, text string")
+    assert df.filter(F.col("text").rlike(pii.ANY) & F.col("text").rlike(pii._HINT)).count() == len(values)
+    out = {r.doc_id: r for r in pii.replace_pii(df, "key").collect()}
+    assert all(out[i].n_replaced == 1 and v not in out[i].text for i, v in enumerate(values))
+
+
 def test_pii_empty(spark):
     assert pii.replace_pii(frame(spark, [], repeat=False), "k").count() == 0

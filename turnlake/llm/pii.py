@@ -39,7 +39,7 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 #: A text without any of these holds no match; it spares most texts the scan.
-_HINT = rf"[0-9]{{3}}|[0-9]\.[0-9]|@|password=|AKIA|ASIA|[0-9a-f]{{32}}|(?:{_MALE}|{_FEMALE}) \p{{Lu}}"
+_HINT = rf"[0-9]{{3}}|[0-9][ .\-][0-9]|[A-Z]{{2}}[0-9]{{2}}|@|password=|AKIA|ASIA|[0-9a-f]{{32}}|(?:{_MALE}|{_FEMALE}) \p{{Lu}}"
 
 #: Name parts by script; a surrogate name joins parts chosen by the key.
 _SYLLABLES = {
