@@ -228,5 +228,24 @@ def test_pii_hint_is_implied_by_every_pattern(spark):
     assert all(out[i].n_replaced == 1 and v not in out[i].text for i, v in enumerate(values))
 
 
+def test_pii_follows_names_and_foreign_phones(spark):
+    texts = [
+        "Mr. John Smith came. Then Smith's car left, John said, and Smith-Jones or Smithers stayed.", "Smith alone", "Mr. O'Brien met Mrs. Jean-Luc McDonald; O'Brien left McDonald.",
+        *(f"call {n}, or not" for n in ("+33 1 23 45 67 89", "+34 612 345 678", "+44 7911 123456", "+49 30 123456", "+1 2 3 4 5 6 7 8")),
+        "Mr. Kim Kim and Mrs. Kim Park: Kim spoke",
+    ]
+    df = spark.createDataFrame([(None if i < 3 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows_ = pii.replace_pii(df, "key").collect()
+    out = [r.text for r in rows_]
+    first = next(t for t in out if "came" in t)
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) came\. Then (\w+)'s car left, (\w+) said, and Smith-Jones or Smithers stayed\.", first)
+    assert m and m[1] == m[4] != "John" and m[2] == m[3] != "Smith" and "Smith alone" in out  # each row by itself
+    m = re.fullmatch(r"Mr\. (\w+) met Mrs\. (\w+) (\w+); (\w+) left (\w+)\.", next(t for t in out if "met" in t))
+    assert m and m[1] == m[4] and m[3] == m[5] and not {"Brien", "Jean", "Luc", "McDonald"} & set(m.groups())
+    assert {r.n_replaced for r in rows_ if r.text == first} == {3} and not any(t in out for t in texts[3:])
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) and Mrs\. (\w+) (\w+): (\w+) spoke", next(t for t in out if "spoke" in t))
+    assert m and m[5] == m[2] and "Kim" not in m.groups()
+
+
 def test_pii_empty(spark):
     assert pii.replace_pii(frame(spark, [], repeat=False), "k").count() == 0

@@ -6,11 +6,18 @@ their check digit, names keep gender and script.  One value has one surrogate
 in the whole corpus, so who is who can still be followed, and no two values
 share one: candidates are checked against each other and against every real
 value, and whatever collides is derived anew.
+
+Detected are: e-mail addresses, passwords after "password=", access keys, IBANs,
+hexadecimal tokens, IPv4 addresses, phone numbers with + and country code or in
+US form, US social security numbers, card numbers, and names of one or two words
+after a title (_MALE, _FEMALE), with every bare mention of such a name in the
+same row.  Not detected are persons never named with a title, initials, postal
+addresses, national phone formats other than the US one, and other id numbers.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +26,9 @@ from turnlake.llm.common import stored
 
 _MALE = r"Mr\.?|Herr|Monsieur|Señor|Господин|г-н"
 _FEMALE = r"Mrs\.?|Ms\.?|Frau|Madame|Señora|Госпожа|г-жа"
-_NAME = r"\p{Lu}\p{Ll}{1,30}"
+#: O'Brien, Jean-Luc, McDonald; not the 's of a genitive.
+_NAME = r"\p{Lu}(?:\p{L}{1,30}|['’]\p{Lu}\p{L}{0,30})(?:-\p{L}{1,30}|['’]\p{Lu}\p{L}{0,30}){0,3}"
+_BARE = rf"(?<![\p{{L}}]){_NAME}(?!\p{{L}})"
 
 #: Type and pattern, in order of precedence where two match at one place.
 #: Every repetition is bounded or possessive, so a scan stays linear.
@@ -30,7 +39,7 @@ PATTERNS = {
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "token": r"\b[0-9a-f]{32,64}\b",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
-    "phone": r"(?<![\d+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d\-])\d{3}-\d{3}-\d{4}(?![\d\-])",
+    "phone": r"(?<![\d+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{4}(?!\d)|(?<![\d+])\+\d(?:[ .\-/()]{0,2}\d){7,14}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d\-])\d{3}-\d{3}-\d{4}(?![\d\-])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d\-])",
     "male": rf"(?<![\p{{L}}])(?:{_MALE}) {_NAME}(?: {_NAME})?",
@@ -39,7 +48,7 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 #: A text without any of these holds no match; it spares most texts the scan.
-_HINT = rf"[0-9]{{3}}|[0-9][ .\-][0-9]|[A-Z]{{2}}[0-9]{{2}}|@|password=|AKIA|ASIA|[0-9a-f]{{32}}|(?:{_MALE}|{_FEMALE}) \p{{Lu}}"
+_HINT = rf"[0-9]{{3}}|[0-9][ .\-][0-9]|[A-Z]{{2}}[0-9]{{2}}|\+[0-9]|@|password=|AKIA|ASIA|[0-9a-f]{{32}}|(?:{_MALE}|{_FEMALE}) \p{{Lu}}"
 
 #: Name parts by script; a surrogate name joins parts chosen by the key.
 _SYLLABLES = {
@@ -172,7 +181,8 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     are.
 
     Null texts stay null and empty ones empty; texts without a detected value
-    are unchanged.  Rows that repeat an id are replaced each by itself, and null
+    are unchanged.  A name found after a title is also replaced where it stands
+    alone in the same row; such places count in n_replaced.  Rows that repeat an id are replaced each by itself, and null
     ids are allowed: a value's surrogate doesn't depend on its row.  With other
     keys, all surrogates differ.
     """
@@ -181,15 +191,30 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     marked = docs.withColumn("found", F.when(F.col("text").rlike(_HINT), found))
     some = F.size(F.coalesce("found", F.array().cast("array<string>"))) > 0
     plain = marked.filter(~some).select("doc_id", "text", F.lit(0).alias("n_replaced"), "carried")
-    hits = stored(marked.filter(some), "pii")  # only texts that hold a value
+    hits = stored(marked.filter(some).withColumn("row", F.monotonically_increasing_id()), "pii")  # only texts that hold a value
     values = hits.select(F.explode("found").alias("value")).distinct().withColumn("kind", _kind(F.col("value")))
     split = stored(values.withColumn("parts", _parts(F.col("kind"), F.col("value"))).select("value", F.posexplode("parts").alias("at", "part")).select("value", "at", "part.kind", F.col("part.value").alias("own")), "pii-parts")
     chosen = assign(split.filter("kind <> 'title'").select("kind", F.col("own").alias("value")).distinct(), key)
-    named = split.join(chosen.select("kind", F.col("value").alias("own"), "surrogate"), ["kind", "own"], "left").groupBy("value").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("surrogate", "own").alias("s")))), lambda x: x["s"]), " ").alias("surrogate"))
+    made = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("surrogate", "own").alias("s")))), lambda x: x["s"]), " ")
+    person = F.when((F.col("kind") == "surname") | F.col("kind").startswith("given "), F.struct("own", (F.col("kind") != "surname").alias("given"), F.col("surrogate").alias("made")))
+    named = split.join(chosen.select("kind", F.col("value").alias("own"), "surrogate"), ["kind", "own"], "left").groupBy("value").agg(made.alias("surrogate"), F.collect_list(person).alias("people"))
     # A hot value is a hot key of the left side alone, which AQE splits.
-    own = F.coalesce("doc_id", F.lit(-1)).alias("own_id")
-    pairs = hits.select(own, F.explode(F.array_distinct("found")).alias("value")).join(named, "value").groupBy("own_id").agg(F.map_from_entries(F.collect_set(F.struct("value", "surrogate"))).alias("to"))
-    between = F.split("text", ANY, -1)
-    stitched = F.concat(F.element_at(between, 1), F.array_join(F.transform(F.arrays_zip(F.col("found").alias("f"), F.slice(between, F.lit(2), F.size("found")).alias("b")), lambda x: F.concat(F.element_at("to", x["f"]), x["b"])), ""))
-    replaced = hits.withColumn("own_id", F.coalesce("doc_id", F.lit(-1))).join(pairs, "own_id").select("doc_id", stitched.alias("text"), F.size("found").alias("n_replaced"), "carried")
+    pairs = hits.select("row", F.explode(F.array_distinct("found")).alias("value")).join(named, "value").groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("value", "surrogate"))).alias("to"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("people")))).alias("people"))
+    # One surrogate for a bare name: that of the surname where it is both.
+    people = F.filter("people", lambda x, i: (i == 0) | (F.get("people", i - 1)["own"] != x["own"]))
+    pairs = pairs.select("row", "to", F.map_from_entries(F.transform(people, lambda x: F.struct(x["own"], x["made"]))).alias("bare"))
+
+    def stitched(text: Column, pattern: str, items: Column, swap: Callable[[Column], Column], rest: Callable[[Column], Column]) -> Column:
+        """Text with what the pattern finds swapped, and ``rest`` of what is between."""
+        between = F.split(text, pattern, -1)
+        tail = F.transform(F.arrays_zip(items.alias("f"), F.slice(between, F.lit(2), F.size(items)).alias("b")), lambda x: F.concat(swap(x["f"]), rest(x["b"])))
+        return F.concat(rest(F.element_at(between, 1)), F.array_join(tail, ""))
+
+    words = lambda t: F.regexp_extract_all(t, F.lit(_BARE), F.lit(0))
+    same = lambda t: t
+    someone = F.size("bare") > 0
+    alone = lambda t: F.when(someone, stitched(t, _BARE, words(t), lambda w: F.coalesce(F.element_at("bare", w), w), same)).otherwise(t)
+    mentions = F.when(someone, F.aggregate(F.split("text", ANY, -1), F.lit(0), lambda n, t: n + F.size(F.filter(words(t), lambda w: F.map_contains_key("bare", w))))).otherwise(0)
+    text = stitched(F.col("text"), ANY, F.col("found"), lambda v: F.element_at("to", v), alone)
+    replaced = hits.join(pairs, "row").select("doc_id", text.alias("text"), (F.size("found") + mentions).alias("n_replaced"), "carried")
     return plain.unionByName(replaced).select("doc_id", "text", "n_replaced", *[F.col("carried")[c].alias(c) for c in carry or []])
