@@ -19,17 +19,36 @@ def test_keyword_rules():
     is_ai = lambda t: lex.signals(t)[0]
     assert is_ai("We use artificial intelligence in every product.") and is_ai("Our ChatGPTs grow.")
     assert not is_ai("We came to the aid of customers.") and not is_ai("We paid ai vendors.")  # a neighbour cancels
-    assert not is_ai("The data center data centers grew.") and is_ai("Tensor and cuda support is here.")
+    assert not is_ai("The data center data centers grew.") and not is_ai("Tensor and cuda support is here.")  # one family each
     assert not is_ai("Data center power and cloud computing cost rose.")  # routine contexts
     topical, count, score, strong, weak, kept, *by = lex.signals("generative AI")
     assert (count, strong) == (2, 2) and score == 100.0 and by[:2] == [1, 1]
     assert lex.signals(None)[2] == 0.0
 
 
+def test_keyword_families():
+    is_ai = lambda t: Lexicon().signals(t)[0]
+    one = {
+        "data_center": "data center and data centers", "automation": "automation, automated, automate, automating and rpa", "algorithm": "an algorithmic method",
+        "analytics": "big data, data science, data analytics and advanced analytics", "cloud": "cloud computing", "compute_hw": "gpu, gpus, cuda, tensor",
+    }
+    for text in one.values():
+        assert not is_ai(f"We saw {text} here."), text
+    names = list(one)
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            assert is_ai(f"We saw {one[a]} here, {'-' * 130} and {one[b]} there."), (a, b)
+    assert is_ai("Inference and training data.") and is_ai("An inference workload.")  # inference, inference workload: two families
+    assert not is_ai("We rolled out automation and automated checkout lanes.") and not is_ai("Our big data and data science teams grew.")
+    assert not is_ai("Inference and inferences.") and is_ai("Data-driven edge computing.")
+
+
 def test_keyword_columns(spark):
-    df = spark.createDataFrame([("d", "machine learning"), ("e", None)], "doc_id string, text string")
-    out = {r.doc_id: r for r in with_keywords(df).collect()}
-    assert out["d"].kw_is_ai and out["d"].kw_core_ai_count == 1 and not out["e"].kw_is_ai
+    df = spark.createDataFrame([("d", "machine learning", 1), ("e", None, 2), ("f", "MACHINE LEARNING and no more", 3), ("g", "none", None)], "doc_id string, text string, _kw int")
+    out = {r.doc_id: r for r in with_keywords(df.drop("_kw")).collect()}
+    assert out["d"].kw_is_ai and out["d"].kw_core_ai_count == 1 and not out["e"].kw_is_ai and out["f"].kw_core_ai_count == 1
+    for r in out.values():
+        assert tuple(r)[2:] == Lexicon().signals(r.text)
 
 
 def test_intensity(spark):

@@ -37,12 +37,21 @@ ROUTINE = [
     r"\blong[-\s]?term\s+algorithm\b",
     r"\bfinancial\s+algorithm\b",
 ]
+#: Families of weak keywords by a stem that their words hold; a keyword without one is its own.
+FAMILIES = [
+    ("data_center", ["data center"]),
+    ("automation", ["automat", "rpa"]),
+    ("algorithm", ["algorithm"]),
+    ("analytics", ["analytic", "data science", "big data"]),
+    ("cloud", ["cloud"]),
+    ("compute_hw", ["gpu", "cuda", "tensor", "chip"]),
+]
 # End of fixed values.
 
 #: Characters around a match in which a neighbour, or a routine context, cancels it.
 NEAR, WIDE = 10, 120
 
-#: Distinct weak keywords that make a sentence topical without a strong one.
+#: Distinct families of weak keywords that make a sentence topical without a strong one.
 WEAK_NEEDED = 2
 
 COLUMNS = ["kw_is_ai boolean", "kw_match_count int", "kw_ai_score double", "kw_strong_count int", "kw_weak_count int", "kw_weak_nonexcluded_count int", *[f"kw_{c}_count int" for c in CATEGORIES]]
@@ -57,9 +66,11 @@ class Lexicon:
     exact: list[str] = field(default_factory=lambda: EXACT)
     neighbours: list[str] = field(default_factory=lambda: NEIGHBOURS)
     routine: list[str] = field(default_factory=lambda: ROUTINE)
+    families: list[tuple[str, list[str]]] = field(default_factory=lambda: FAMILIES)
 
     def __post_init__(self) -> None:
         self.categories = {c: [w.casefold() for w in words] for c, words in self.categories.items()}
+        self.family = {w: next((name for name, stems in self.families if any(x in w for x in stems)), w) for words in self.categories.values() for w in words}
         plural = lambda w: "" if w in self.exact or len(w) <= 3 else "(?:s)?"
         self.terms = [(c, w, re.compile(rf"\b{re.escape(w)}{plural(w)}\b", re.IGNORECASE)) for c, words in self.categories.items() for w in words]
         self.near, self.wide = (re.compile("|".join(p), re.IGNORECASE) for p in (self.neighbours, self.routine))
@@ -85,24 +96,31 @@ class Lexicon:
         strong = sum(c in self.strong for c, _, _ in found)
         weak = [(w, routine) for c, w, routine in found if c not in self.strong]
         kept = [w for w, routine in weak if not routine]
-        topical = strong >= 1 or len({w.rstrip("s") for w in kept}) >= WEAK_NEEDED
+        topical = strong >= 1 or len({self.family[w] for w in kept}) >= WEAK_NEEDED
         words = len(text.split())
         score = (strong + len(kept)) / words * 100 if words else 0.0
         return topical, len(found), score, strong, len(weak), len(kept), *[sum(c == k for c, _, _ in found) for k in self.categories]
 
 
 def with_keywords(sentences: DataFrame, lexicon: Lexicon | None = None, text_col: str = "text") -> DataFrame:
-    """Add the keyword columns; every sentence is scanned once."""
-    lexicon = lexicon or Lexicon()
-    names = [c.split()[0] for c in COLUMNS[: 6 + len(lexicon.categories)]]
+    """Add the keyword columns.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = pd.DataFrame([lexicon.signals(t) for t in pdf[text_col]], columns=names, index=pdf.index)
-            yield pd.concat([pdf, found], axis=1)
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in sentences.schema), *COLUMNS[: len(names)]])
-    return sentences.mapInPandas(run, schema)
+    Only texts that hold a keyword at all, which is seen natively, are sent to
+    Python, and only they, no other column; all others get zeros.
+    """
+    lexicon = lexicon or Lexicon()
+    names = [c.split()[0] for c in COLUMNS[:6]] + [f"kw_{c}_count" for c in lexicon.categories]
+    schema = ", ".join([*COLUMNS[:6], *[f"kw_{c}_count int" for c in lexicon.categories]])
+    nothing = lexicon.signals(None)
+
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([nothing if t is None else lexicon.signals(t) for t in texts], columns=names)
+
+    # A keyword in any letter case, anywhere: what each pattern needs at least.
+    hint = "(?iu)" + "|".join(sorted({re.sub(r"([^\w\s])", r"\\\1", w) for _, w, _ in lexicon.terms}))
+    scanned = F.pandas_udf(found, schema)(F.when(F.col(text_col).rlike(hint), F.col(text_col)))
+    return sentences.withColumn("_kw", scanned).select(*sentences.columns, *[F.col("_kw")[n].alias(n) for n in names])
 
 
 def topical(text: F.Column, strong: list[str], weak: list[str]) -> F.Column:
