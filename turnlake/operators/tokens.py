@@ -51,8 +51,9 @@ def document_text(sentences: DataFrame, mode: str = "all", section: str | None =
     return ordered.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]), " ").alias("text"))
 
 
-def grams(texts: DataFrame, low: int = 1, high: int = 1, key: str = "doc_id", stop: list[str] | None = None) -> DataFrame:
-    """(key, term): all word n-grams of low to high words."""
+def grams(texts: DataFrame, low: int = 1, high: int = 1, key: str = "doc_id", stop: list[str] | None = None, distinct: bool = False) -> DataFrame:
+    """(key, term): all word n-grams of low to high words; with ``distinct``
+    each once a row."""
     words = words_in(F.coalesce("text", F.lit("")))
     if stop:
         words = F.filter(words, lambda w: ~w.isin(*stop))
@@ -60,26 +61,38 @@ def grams(texts: DataFrame, low: int = 1, high: int = 1, key: str = "doc_id", st
     size = F.size("w")
 
     def of(n: int) -> F.Column:
+        if n == 1:
+            return F.col("w")
         joined = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
         return F.when(size >= n, joined).otherwise(F.array().cast("array<string>"))
 
-    return base.select(key, F.explode(F.concat(*[of(n) for n in range(low, high + 1)])).alias("term"))
+    all_ = [of(n) for n in range(low, high + 1)]
+    terms = all_[0] if len(all_) == 1 else F.concat(*all_)
+    return base.select(key, F.explode(F.array_distinct(terms) if distinct else terms).alias("term"))
 
 
 def term_frequency(texts: DataFrame, low: int = 1, high: int = 1, key: str = "doc_id") -> DataFrame:
     return grams(texts, low, high, key).groupBy("term").agg(F.count("*").alias("n"))
 
 
-def document_frequency(texts: DataFrame, low: int = 1, high: int = 1, key: str = "doc_id") -> DataFrame:
-    """Documents with each term: terms are made distinct by document first, so
-    the second shuffle carries one row a document and term."""
-    return grams(texts, low, high, key).distinct().groupBy("term").agg(F.count("*").alias("df"))
+def document_frequency(texts: DataFrame, low: int = 1, high: int = 1, key: str = "doc_id", unique: bool = False) -> DataFrame:
+    """Documents with each term.  Terms are made distinct in the row; only where
+    rows may share a key (not ``unique``) are they also made distinct by key, in
+    one shuffle on the key alone."""
+    if unique:
+        terms = grams(texts, low, high, key, distinct=True)
+    else:
+        terms = grams(texts.repartition(key), low, high, key, distinct=True).distinct()
+    return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def tfidf(texts: DataFrame, low: int = 1, high: int = 2, min_df: int = 1, max_df: float = 1.0, sublinear: bool = True, max_terms: int | None = None, key: str = "doc_id", stop: list[str] | None = None) -> DataFrame:
     """(key, term, tf, df, weight): smoothed idf ln((1+n)/(1+df))+1, tf or
-    1+ln tf, rows scaled to length 1."""
-    counts = grams(texts, low, high, key, stop).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    1+ln tf, rows scaled to length 1.
+
+    Texts are shuffled by their key once: counting terms by key needs no more.
+    """
+    counts = grams(texts.repartition(key), low, high, key, stop).groupBy(key, "term").agg(F.count("*").alias("tf"))
     n = F.broadcast(texts.agg(F.count_distinct(key).alias("docs")))  # one row
     kept = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).crossJoin(n).filter((F.col("df") >= min_df) & (F.col("df") <= F.col("docs") * max_df))
     if max_terms:

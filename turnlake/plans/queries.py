@@ -15,7 +15,7 @@ from turnlake.functions import roles as R
 from turnlake.functions import scalars as S
 from turnlake.operators import metrics, panel, rankings, stats, tokens, turns
 from turnlake.operators.keywords import term_hits, topical
-from turnlake.sources.tables import table
+from turnlake.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -186,17 +186,23 @@ def funnel(spark: SparkSession, d: str) -> DataFrame:
 
 # Documents ---------------------------------------------------------------
 
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 _TOKENS = "w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents)"
 
 
 @query(f"WITH {_TOKENS} SELECT term, count(*) AS n FROM w GROUP BY term ORDER BY n DESC, term LIMIT 50")
 def term_frequency_top50(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.term_frequency(table(spark, d, "documents")).orderBy(F.desc("n"), "term").limit(50)
+    return tokens.term_frequency(_texts(spark, d)).orderBy(F.desc("n"), "term").limit(50)
 
 
 @query(f"WITH {_TOKENS} SELECT term, count(DISTINCT doc_id) AS df FROM w GROUP BY term")
 def document_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.document_frequency(table(spark, d, "documents"))
+    return tokens.document_frequency(_texts(spark, d), unique=True)
 
 
 @query(f"WITH {_TOKENS} SELECT doc_id, term, count(*) AS hits FROM w WHERE term IN ('that', 'this', 'of', 'and', 'to', 'in') GROUP BY doc_id, term")

@@ -46,6 +46,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table as read, over all cores: files that hold fewer row groups than
+    there are cores are dealt anew, any other table is left where it lies."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def decode_turns(cell: str = "structured_content") -> F.Column:
     """array<struct<speaker,text>> of a JSON cell; a cell that isn't JSON is one
     turn of an unknown speaker, a null or blank one has no turns."""
