@@ -28,9 +28,8 @@ def plain(v):
     return round(v, 6) + 0.0 if isinstance(v, float) and not math.isnan(v) else v if v is None or isinstance(v, (int, float)) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(plans.ORACLE))
-def test_query_equals_sql(spark, duck, name):
-    df = plans.QUERIES[name](spark, DATA)
+def _same(spark, duck, name, data=DATA):
+    df = plans.QUERIES[name](spark, data)
     columns = sorted(df.columns)
     ours = sorted((tuple(map(plain, r)) for r in df.select(*[f"`{c}`" for c in columns]).collect()), key=repr)
     found = duck.execute(plans.ORACLE[name])
@@ -39,6 +38,11 @@ def test_query_equals_sql(spark, duck, name):
     assert ours == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=repr)
 
 
+@pytest.mark.parametrize("name", sorted(plans.ORACLE))
+def test_query_equals_sql(spark, duck, name):
+    _same(spark, duck, name)
+
+
 def _calls(spark):
     speech = "Our artificial intelligence products grew strongly this quarter. " * 40
     turns = [("Operator", "Welcome to the conference call."), ("Jane CEO", speech), ("Tom CFO", speech), ("Operator", "Our first question comes from Bob Lee with UBS. Please go ahead."), ("Bob Lee", "How do you use machine learning today?"), ("Jane CEO", "We use machine learning in all of our products now."), ("Bob Lee", "What is the outlook for margins?"), ("Tom CFO", "Our artificial intelligence work helps margins a lot.")]
@@ -92,3 +96,28 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("live").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r.role, r.turns, r.topical_turns) for r in spark.table("live").collect()) == batch == [("analyst", 2, 1), ("management", 1, 1)]
+
+
+def test_sql_agrees_on_made_texts(spark, tmp_path):
+    """Cases that the driver's tables don't hold: weak families, cancelling contexts, sessions that open by each rule."""
+    from tests.test_texts import KEYWORD_TEXTS
+
+    spark.createDataFrame([*enumerate(KEYWORD_TEXTS), (900, None), (901, "")], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    long = "We sold more. " * 90
+    sessions = [
+        [("system", "We will now begin the question and answer session."), ("user", "How are you?")],
+        [("system", "Welcome to the call. We will now begin the Q&A."), ("assistant", long), ("assistant", long), ("system", "Our next question comes from Bob."), ("user", "Why?")],
+        [("assistant", long), ("assistant", long), ("assistant", "x"), ("system", "A q & a session follows."), ("user", "so")],
+        [("assistant", long), ("assistant", "Let's move to questions."), ("user", "so")],
+        [("system", "hello"), ("user", "hm"), ("system", "The first question, then."), ("assistant", "yes")],
+        [("assistant", "hi"), ("assistant", "hi"), ("user", "what? " * 3)],
+        [("user", None), ("assistant", "")],
+    ]
+    spark.createDataFrame([(c, t, r, x) for c, s in enumerate(sessions) for t, (r, x) in enumerate(s)], "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("keyword_signal_exact", "question_session_start", "sentence_explode"):
+        _same(spark, con, name, str(tmp_path))
+    starts = [r.qa_start for r in plans.QUERIES["question_session_start"](spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert starts == [0, 3, 3, 1, 2, 1, 2]

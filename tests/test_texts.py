@@ -7,6 +7,15 @@ from turnlake.operators.sentences import sentences_of
 from pyspark.sql import functions as F
 
 
+#: A sentence or more for every rule of the keyword signals.
+KEYWORD_TEXTS = [
+    "We use artificial intelligence in every product.", "Our ChatGPTs grow.", "We came to the aid of customers.", "We paid ai vendors.", "The data center data centers grew.", "Tensor and cuda support is here.",
+    "Data center power and cloud computing cost rose.", "generative AI", "We rolled out automation and automated checkout lanes.", "Our big data and data science teams grew.", "Inference and training data.",
+    "An inference workload, the inference.", "Data-driven edge computing. And (noise) more! [aside] Was it? 3 times.", "J'ai vu, aié ai. Ça ai-je? Où l'éai?", "RPA rpa, robotic process automation; an algorithmic method, analytics, GPU gpus gput.",
+    "Cloud computing " + "x" * 130 + " and big data " + "y" * 130 + " with workflow automation.", "Revenue from the algorithm; " + "z" * 100 + " the algorithm and long-term algorithm.", "no keyword", "word " * 200 + "ml nlp llm.",
+]
+
+
 def test_sentences(spark):
     text = "First  sentence here. [noise] Second one costs 3.5% more! Too short? No. " + "Long " * 200 + "end."
     found = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(sentences_of(F.col("t")).alias("s")).collect()

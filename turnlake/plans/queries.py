@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from turnlake.functions import roles as R
 from turnlake.functions import scalars as S
 from turnlake.operators import metrics, panel, rankings, stats, tokens, turns
-from turnlake.operators.keywords import term_hits, topical
+from turnlake.operators.keywords import Lexicon, term_hits, topical, with_keywords
+from turnlake.operators.sentences import sentences_of
 from turnlake.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +43,16 @@ def q(x: str) -> str:
     return f"floor(({x}) * 1e6 + 0.5) / 1e6"
 
 
+def money(x: Column | str) -> Column:
+    """Amounts of many digits: half up to four places, alike in every engine."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.floor(x * 1e4 + 0.5) / 1e4
+
+
+def qm(x: str) -> str:
+    return f"floor(({x}) * 1e4 + 0.5) / 1e4"
+
+
 # Conversations -----------------------------------------------------------
 
 
@@ -133,7 +144,21 @@ def question_turns(spark: SparkSession, d: str) -> DataFrame:
     return _turns(spark, d).select("doc_id", "turn_idx", R.is_question("text").alias("is_question"))
 
 
-@query(None)
+def _session_sql() -> str:
+    """The six rules as windows over what was said before."""
+    found = lambda patterns: "regexp_matches(x, '(?is)" + "|".join(patterns).replace("'", "''") + "')"
+    holds = lambda phrases: "(" + " OR ".join(f"contains(lower(x), '{p}')" for p in [y.replace("'", "''") for y in phrases]) + ")"
+    return f"""WITH {_TURNS}, t AS (SELECT doc_id, turn_idx AS pos, coalesce(text, '') AS x, role = 'operator' AS op, role, trim(regexp_replace(coalesce(text, ''), '[ \\t-\\r]+', ' ', 'g')) AS flat FROM turns),
+b AS (SELECT *, sum(CASE WHEN role = 'management' AND flat <> '' THEN len(string_split(flat, ' ')) ELSE 0 END) OVER before AS words, sum(CAST(role = 'management' AS INTEGER)) OVER before AS talks, sum(CAST(NOT op AS INTEGER)) OVER before AS others FROM t
+WINDOW before AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT doc_id, pos, op AND NOT {holds(R.WELCOME)} AND {found(R.STRONG_OPENING)} AND coalesce(words, 0) < {turns.SPEECH_WORDS} AS r1, op AND {found(R.STRONG_OPENING)} AND coalesce(talks, 0) >= {turns.STRONG_TURNS} AS r2,
+op AND {found(R.WEAK_OPENING)} AND coalesce(talks, 0) >= {turns.WEAK_TURNS} AS r3, NOT op AND coalesce(talks, 0) + CAST(role = 'management' AS INTEGER) >= {turns.STRONG_TURNS} AND {holds(R.TRANSITION)} AS r4,
+op AND coalesce(others, 0) > 0 AND contains(lower(x), 'first question') AS r5, role = 'analyst' AND contains(left(trim(x), 300), '?') AS asked FROM b)
+SELECT doc_id, count(*) AS n_turns, CAST(coalesce(min(CASE WHEN r1 THEN pos END), min(CASE WHEN r2 THEN pos END), min(CASE WHEN r3 THEN pos END), min(CASE WHEN r4 THEN pos END), min(CASE WHEN r5 THEN pos END),
+CASE WHEN bool_or(asked) THEN greatest(min(CASE WHEN asked THEN pos END) - 1, 0) END, count(*)) AS BIGINT) AS qa_start FROM r GROUP BY doc_id"""
+
+
+@query(_session_sql())
 def question_session_start(spark: SparkSession, d: str) -> DataFrame:
     speaker = F.when(F.col("role") == "operator", "Operator").when(F.col("role") == "analyst", "Unidentified Analyst").otherwise("Chief Officer")
     return turns.question_start(_turns(spark, d).select("doc_id", F.col("turn_idx").alias("pos"), speaker.alias("speaker"), "text"))
@@ -210,11 +235,34 @@ def keyword_hits(spark: SparkSession, d: str) -> DataFrame:
     return term_hits(table(spark, d, "documents"), spark.createDataFrame([(w,) for w in STRONG + WEAK], "term string"))
 
 
-@query(None)
+def _keyword_sql() -> str:
+    """Every place of every keyword, its neighbours and its wider context.
+
+    Word boundaries are those of ASCII in DuckDB, so all other letters are first
+    replaced by a q, which no keyword holds.
+    """
+    lex = Lexicon()
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({text(w)}, {text(c)}, {text('(?i)' + p.pattern)}, {c in lex.strong}, {text(lex.family[w])})" for c, w, p in lex.terms)
+    near, wide = text("(?i)" + "|".join(lex.neighbours)), text("(?i)" + "|".join(lex.routine))
+    around = lambda n: f"substr(x, greatest(a - {n}, 0) + 1, least(b + {n}, length(x)) - greatest(a - {n}, 0))"
+    kept = "count(*) FILTER (WHERE NOT strong AND NOT routine)"
+    score = f"coalesce((count(*) FILTER (WHERE strong) + {kept}) * 100.0::DOUBLE / nullif(any_value(words), 0), 0)"
+    return f"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x{{AA}}\\x{{B5}}\\x{{BA}}\\x{{C0}}-\\x{{D6}}\\x{{D8}}-\\x{{F6}}\\x{{F8}}-\\x{{2FF}}\\x{{370}}-\\x{{1FFF}}\\x{{3040}}-\\x{{D7FF}}]', 'q', 'g') AS x FROM documents),
+k(word, category, pattern, strong, family) AS (VALUES {rows}),
+h AS (SELECT doc_id, x, category, strong, family, regexp_extract_all(x, pattern) AS f, string_split_regex(x, pattern) AS s FROM t JOIN k ON contains(lower(x), word)),
+p AS (SELECT doc_id, x, category, strong, family, f, s, unnest(range(1, len(f) + 1)) AS i FROM h),
+m AS (SELECT *, CAST(list_sum(list_transform(s[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda y: length(y))), 0) AS BIGINT) AS a, length(f[i]) AS n FROM p),
+c AS (SELECT *, a + n AS b FROM m), g AS (SELECT *, NOT strong AND regexp_matches({around(120)}, {wide}) AS routine FROM c WHERE NOT regexp_matches({around(10)}, {near})),
+w AS (SELECT doc_id, len(list_filter(string_split_regex(x, '[\\t-\\r\\x1C-\\x20\\x{{85}}\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+'), lambda y: y <> '')) AS words FROM t)
+SELECT w.doc_id, count(*) FILTER (WHERE strong) >= 1 OR count(DISTINCT family) FILTER (WHERE NOT strong AND NOT routine) >= 2 AS kw_is_ai, CAST(count(g.doc_id) AS INTEGER) AS kw_match_count, {q(score)} AS kw_ai_score,
+CAST(count(*) FILTER (WHERE strong) AS INTEGER) AS kw_strong_count, CAST(count(*) FILTER (WHERE NOT strong) AS INTEGER) AS kw_weak_count, CAST({kept} AS INTEGER) AS kw_weak_nonexcluded_count,
+{', '.join(f"CAST(count(*) FILTER (WHERE category = '{c}') AS INTEGER) AS kw_{c}_count" for c in lex.categories)} FROM w LEFT JOIN g ON g.doc_id = w.doc_id GROUP BY w.doc_id"""
+
+
+@query(_keyword_sql())
 def keyword_signal_exact(spark: SparkSession, d: str) -> DataFrame:
-    from turnlake.operators.keywords import with_keywords
-
-    return with_keywords(table(spark, d, "documents").select("doc_id", "text")).drop("text")
+    return rounded(with_keywords(_texts(spark, d)).drop("text"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents)
@@ -230,10 +278,10 @@ def tone_ratios(spark: SparkSession, d: str) -> DataFrame:
     return rounded(tokens.tone(_sentences(spark, d)))
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE lang = 'en'), g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM t WHERE len(w) > 1)
-SELECT term, count(*) AS n FROM g GROUP BY term HAVING count(*) >= 20""")
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM t WHERE len(w) > 1)
+SELECT term, count(*) AS n FROM g GROUP BY term""")
 def bigram_counts(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.term_frequency(table(spark, d, "documents").filter("lang = 'en'"), 2, 2).filter("n >= 20")
+    return tokens.term_frequency(_texts(spark, d), 2, 2)
 
 
 @query(f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term), n AS (SELECT count(DISTINCT doc_id) AS docs FROM documents),
@@ -253,11 +301,11 @@ def text_previews(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", S.word_count(F.regexp_replace("text", "[ \\t\\n\\r]+", " ")).alias("words"), S.truncated("text", 80).alias("preview"))
 
 
-@query(None)
+@query(r"""WITH f AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[ \t-\r]+', ' ', 'g')) AS x FROM documents), c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(x, '\[[^\]]*\]', '', 'g'), '\([^)]*\)', '', 'g')) AS x FROM f),
+s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(x, '([.!?])[ \t-\r]+([\p{Lu}"“0-9])', E'\\1\x01\\2', 'g'), chr(1)), lambda y: trim(y)), lambda y: length(y) >= 10) AS s FROM c)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS sentence_idx, CASE WHEN length(s[i]) > 512 THEN left(s[i], 512) || '...' ELSE s[i] END AS text FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM s)""")
 def sentence_explode(spark: SparkSession, d: str) -> DataFrame:
-    from turnlake.operators.sentences import sentences_of
-
-    return table(spark, d, "documents").select("doc_id", F.posexplode(sentences_of(F.col("text"))).alias("sentence_idx", "text"))
+    return _texts(spark, d).select("doc_id", F.posexplode(sentences_of(F.col("text"))).alias("sentence_idx", "text"))
 
 
 # Panel -------------------------------------------------------------------
@@ -314,10 +362,10 @@ def decile_means(spark: SparkSession, d: str) -> DataFrame:
     return rounded(panel.deciles(_panel(spark, d), "mkvaltq", ["ticker", "year", "quarter"]).groupBy("decile").agg(F.count("*").alias("n"), F.avg("xrdq").alias("xrdq")))
 
 
-@query(f"""WITH {_PANEL} SELECT year, quarter, {q('avg(mkvaltq)')} AS mkvaltq_mean, {q('stddev_samp(mkvaltq) / 1000')} AS mkvaltq_std, {q('avg(xrdq)')} AS xrdq_mean, {q('stddev_samp(xrdq) / 1000')} AS xrdq_std, count(*) AS n FROM panel GROUP BY year, quarter""")
+@query(f"""WITH {_PANEL} SELECT year, quarter, {qm('avg(mkvaltq)')} AS mkvaltq_mean, {qm('stddev_samp(mkvaltq)')} AS mkvaltq_std, {qm('avg(xrdq)')} AS xrdq_mean, {qm('stddev_samp(xrdq)')} AS xrdq_std, count(*) AS n FROM panel GROUP BY year, quarter""")
 def quarter_trends(spark: SparkSession, d: str) -> DataFrame:
     t = rankings.quarter_trends(_panel(spark, d), ["mkvaltq", "xrdq"])
-    return rounded(t.withColumn("mkvaltq_std", F.col("mkvaltq_std") / 1000).withColumn("xrdq_std", F.col("xrdq_std") / 1000))
+    return t.withColumns({c: money(c) for c in ("mkvaltq_mean", "mkvaltq_std", "xrdq_mean", "xrdq_std")})
 
 
 @query(f"""WITH {_PANEL}, e AS (SELECT ticker, year, avg(mkvaltq) AS mkvaltq, avg(xrdq) AS xrdq FROM panel GROUP BY ticker, year), l AS (SELECT ticker, year, 'mkvaltq' AS metric, mkvaltq AS value FROM e UNION ALL SELECT ticker, year, 'xrdq', xrdq FROM e)
@@ -357,11 +405,11 @@ def quadrants_ge_median(spark: SparkSession, d: str) -> DataFrame:
     return rankings.quadrants(_entities(spark, d), "x", "y", "median", inclusive=True).select("ticker", "quadrant")
 
 
-@query(f"""WITH z AS ({_quadrant_sql('median({v})', '>')}), p AS (WITH {_PANEL} SELECT * FROM panel), s AS (SELECT quadrant, avg(mkvaltq) AS m, count(mkvaltq) AS n FROM p JOIN z USING (ticker) GROUP BY quadrant)
-SELECT quadrant, {q('m')} AS mkvaltq_mean, coalesce(n, 0) AS mkvaltq_n FROM (SELECT unnest(['Aligned', 'Passive', 'Self-Promoting', 'Silent']) AS quadrant) LEFT JOIN s USING (quadrant)""")
+@query(f"""WITH z AS ({_quadrant_sql('median({v})', '>')}), p AS (WITH {_PANEL} SELECT * FROM panel), s AS (SELECT quadrant, avg(mkvaltq) AS m, stddev_samp(mkvaltq) AS sd, count(mkvaltq) AS n FROM p JOIN z USING (ticker) GROUP BY quadrant)
+SELECT quadrant, {qm('m')} AS mkvaltq_mean, {qm('sd')} AS mkvaltq_std, coalesce(n, 0) AS mkvaltq_n FROM (SELECT unnest(['Aligned', 'Passive', 'Self-Promoting', 'Silent']) AS quadrant) LEFT JOIN s USING (quadrant)""")
 def quadrant_financials(spark: SparkSession, d: str) -> DataFrame:
     z = rankings.quadrants(_entities(spark, d), "x", "y", "median").select("ticker", "quadrant")
-    return rounded(rankings.quadrant_stats(_panel(spark, d).join(z, "ticker"), ["mkvaltq"]).drop("mkvaltq_std"))
+    return rankings.quadrant_stats(_panel(spark, d).join(z, "ticker"), ["mkvaltq"]).withColumns({c: money(c) for c in ("mkvaltq_mean", "mkvaltq_std")})
 
 
 @query("""WITH e AS (SELECT o_custkey AS k, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS v FROM orders GROUP BY 1), u AS ((SELECT * FROM e ORDER BY v DESC, k LIMIT 10) UNION (SELECT * FROM e ORDER BY v, k LIMIT 10)) SELECT k, v FROM u""")
@@ -388,9 +436,9 @@ def semi_join(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(o, "c_custkey", "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def anti_join(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, d, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
@@ -401,9 +449,9 @@ def three_key_join_fill(spark: SparkSession, d: str) -> DataFrame:
     return rounded(p.select("ticker", "year", "quarter", "mkvaltq").join(x, ["ticker", "year", "quarter"], "left").fillna({"price_wrds": 0.0}))
 
 
-@query("SELECT p_partkey AS k, p_name AS name, p_retailprice AS price, NULL::DOUBLE AS balance FROM part WHERE p_size < 5 UNION ALL SELECT s_suppkey, s_name, NULL, s_acctbal FROM supplier")
+@query("SELECT p_partkey AS k, p_name AS name, p_retailprice AS price, NULL::DOUBLE AS balance FROM part UNION ALL SELECT s_suppkey, s_name, NULL, s_acctbal FROM supplier")
 def union_missing_columns(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "part").filter("p_size < 5").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"))
+    a = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"))
     b = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
     return a.unionByName(b, allowMissingColumns=True)
 
@@ -503,14 +551,16 @@ def per_class_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.per_class(table(spark, d, "labels"), "quality", "toxic", ["0", "1"]))
 
 
-@query(f"""WITH {_FEATURES} SELECT {q('avg(abs(mkvaltq - prccq)) / 1000')} AS mae, {q('sqrt(avg((mkvaltq - prccq) * (mkvaltq - prccq))) / 1000')} AS rmse FROM f""")
+@query(f"""WITH {_PANEL}, e AS (SELECT mkvaltq AS y, mkvaltq - prccq AS e FROM panel) SELECT {qm('avg(abs(e))')} AS mae, round(avg(e * e), -4) AS mse, {qm('sqrt(avg(e * e))')} AS rmse, {q('1 - avg(e * e) / var_pop(y)')} AS r2 FROM e""")
 def regression_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.regression_metrics(_panel(spark, d), "mkvaltq", "prccq").select((F.col("mae") / 1000).alias("mae"), (F.col("rmse") / 1000).alias("rmse")))
+    m = stats.regression_metrics(_panel(spark, d), "mkvaltq", "prccq")
+    return m.select(money("mae").alias("mae"), F.round("mse", -4).alias("mse"), money("rmse").alias("rmse"), S.quantised("r2").alias("r2"))
 
 
-@query(f"WITH {_PANEL} SELECT {q('regr_slope(mkvaltq, xrdq)')} AS slope, {q('regr_intercept(mkvaltq, xrdq) / 1000')} AS intercept FROM panel")
+@query(f"WITH {_PANEL} SELECT {q('regr_slope(mkvaltq, xrdq)')} AS slope, {qm('regr_intercept(mkvaltq, xrdq)')} AS intercept FROM panel")
 def trend_line(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.trend_line(_panel(spark, d), "mkvaltq", "xrdq").withColumn("intercept", F.col("intercept") / 1000))
+    t = stats.trend_line(_panel(spark, d), "mkvaltq", "xrdq")
+    return t.select(S.quantised("slope").alias("slope"), money("intercept").alias("intercept"))
 
 
 @query(f"""WITH {_FEATURES} SELECT unnest(['market value', 'lagged value', 'growth']) AS step, unnest([count(*) FILTER (WHERE mkvaltq > 0), count(*) FILTER (WHERE mkvaltq > 0 AND pg IS NOT NULL), count(*) FILTER (WHERE mkvaltq > 0 AND pg IS NOT NULL AND coalesce(ym > 0, false))]) AS kept,
@@ -520,7 +570,17 @@ def sample_attrition(spark: SparkSession, d: str) -> DataFrame:
     return stats.attrition(f, {"market value": F.col("mkvaltq") > 0, "lagged value": F.col("price_growth_yoy").isNotNull(), "growth": F.col("y_next_mktcap_growth") > 0})
 
 
-@query(None)
+#: Normal equations of centred regressors; 2 (1 - Phi(|z|)) by the series of erf, 0 from |z| = 5.6 on.
+_OLS = f"""WITH {_FEATURES}, d AS (SELECT rd AS x1, lm AS x2, ym AS y FROM f WHERE rd IS NOT NULL AND lm IS NOT NULL AND ym IS NOT NULL), u AS (SELECT count(*) AS n, avg(x1) AS u1, avg(x2) AS u2, avg(y) AS uy FROM d),
+c AS (SELECT x1 - u1 AS x1, x2 - u2 AS x2, y - uy AS y, n, u1, u2, uy FROM d, u), s AS (SELECT sum(x1 * x1) AS a, sum(x1 * x2) AS b, sum(x2 * x2) AS c, sum(x1 * y) AS e, sum(x2 * y) AS g FROM c),
+i AS (SELECT c / (a * c - b * b) AS p, -b / (a * c - b * b) AS q, a / (a * c - b * b) AS r, e, g FROM s), k AS (SELECT *, p * e + q * g AS b1, q * e + r * g AS b2 FROM i),
+w AS (SELECT n, u1, u2, uy, b1, b2, y - b1 * x1 - b2 * x2 AS res, p * x1 + q * x2 AS h1, q * x1 + r * x2 AS h2 FROM c, k),
+v AS (SELECT any_value(n) AS n, any_value(b1) AS b1, any_value(b2) AS b2, any_value(uy - b1 * u1 - b2 * u2) AS b0, sum(res * res * h1 * h1) AS v1, sum(res * res * h2 * h2) AS v2, sum(res * res * (1.0 / n - u1 * h1 - u2 * h2) * (1.0 / n - u1 * h1 - u2 * h2)) AS v0 FROM w),
+l AS (SELECT unnest(['Intercept', 'rd_intensity', 'log_mktcap']) AS term, unnest([b0, b1, b2]) AS coef, unnest([sqrt(v0 * n / (n - 3)), sqrt(v1 * n / (n - 3)), sqrt(v2 * n / (n - 3))]) AS std_err, n FROM v), z AS (SELECT *, coef / std_err AS z, abs(coef / std_err) / sqrt(2.0) AS x FROM l)
+SELECT term, {q('coef')} AS coef, {q('std_err')} AS std_err, {q('z')} AS z, {q("CASE WHEN x > 4 THEN 0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 90), lambda j: (CASE WHEN j % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * j + 1) * ln(x) - lgamma(j + 1)) / (2 * j + 1))) END")} AS p, n FROM z"""
+
+
+@query(_OLS)
 def ols_robust(spark: SparkSession, d: str) -> DataFrame:
     rows = stats.ols_hc1(panel.panel_features(_panel(spark, d)), ["rd_intensity", "log_mktcap"], "y_next_mktcap_growth")
     return rounded(spark.createDataFrame(rows))
