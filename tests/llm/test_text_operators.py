@@ -10,9 +10,13 @@ import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.data import frame, rows
-from turnlake.llm import anchors, jaccard
+from pyspark.sql import functions as F
+
+from turnlake.llm import anchors, debruijn, jaccard, suffixes
+from turnlake.llm.anchors import placed, repeated_anchors
 from turnlake.llm.bpe import Encoder, vocabulary
 from turnlake.llm.codec import Codec
+from turnlake.llm.common import Scratch, stored
 from turnlake.llm.components import components
 from turnlake.llm.debruijn import substring_dedup, without_repeats
 from turnlake.llm.jaccard import jaccard_classes
@@ -32,7 +36,7 @@ def library():
 def parts(request, monkeypatch):
     if request.param == "many parts":
         monkeypatch.setattr(anchors, "PART_BYTES", 4_000)
-        monkeypatch.setattr(anchors, "HOT_ANCHOR", 3)
+        monkeypatch.setattr(suffixes, "HOT_ANCHOR", 3)
         monkeypatch.setattr(jaccard, "PART_BYTES", 4_000)
         monkeypatch.setattr(jaccard, "TILE", 2)
         monkeypatch.setattr(jaccard, "MEETING", 2)
@@ -46,35 +50,88 @@ def by_id(df):
     return out
 
 
-def test_substring_dedup(spark, parts):
-    found, seen = by_id(substring_dedup(frame(spark))), set()
-    for i, text in rows():
+def check_words(spark, data, width):
+    found, seen = by_id(substring_dedup(frame(spark, data), width)), set()
+    for i, text in data:
         w = WORD.findall(text or "")
         gone = [False] * len(w)
-        for a in range(len(w) - 19):
-            key = tuple(w[a : a + 20])
+        for a in range(len(w) - width + 1):
+            key = tuple(w[a : a + width])
             if key in seen:
-                gone[a : a + 20] = [True] * 20
+                gone[a : a + width] = [True] * width
             seen.add(key)
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
         assert (found[i].n_words, found[i].n_removed, found[i].kept_sha256) == (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()), i
-    assert found[None].n_removed == 0 and len(found) == len(rows()) + 1
+    assert found[None].n_removed == 0 and len(found) == len(data) + 1
 
 
-def test_suffix_dedup(spark, parts):
-    found, seen = by_id(suffix_dedup(frame(spark))), set()
-    for i, text in rows():
+def check_bytes(spark, data, width):
+    found, seen = by_id(suffix_dedup(frame(spark, data), width)), set()
+    for i, text in data:
         b = (text or "").encode()
         gone = bytearray(len(b))
-        for a in range(len(b) - 99):
-            if b[a : a + 100] in seen:
-                gone[a : a + 100] = b"\1" * 100
-            seen.add(b[a : a + 100])
+        for a in range(len(b) - width + 1):
+            if b[a : a + width] in seen:
+                gone[a : a + width] = b"\1" * width
+            seen.add(b[a : a + width])
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         assert (found[i].n_bytes, found[i].n_removed, found[i].n_spans, found[i].kept_sha256) == (len(b), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()), i
     assert found[None].n_removed == 0
 
 
+def test_substring_dedup(spark, parts):
+    check_words(spark, rows(), 20)
+
+
+def test_suffix_dedup(spark, parts):
+    check_bytes(spark, rows(), 100)
+
+
+@pytest.mark.parametrize("width", [3, 150])
+def test_substring_widths(spark, width):
+    check_words(spark, rows(3), width)
+
+
+@pytest.mark.parametrize("width", [20, 300, 400])
+def test_suffix_widths(spark, width):
+    check_bytes(spark, rows(4), width)
+
+
+def test_a_string_in_every_place(spark):
+    """One line 10^5 times, in long texts beyond a block of bytes, and alone."""
+    line = "one line of the kind that stands at the foot of every page, with no end to it at all, again and again and again. "
+    data = [(i, line * (20_000 if i == 1 else 3_000) + f"own words {i}") for i in range(28)] + [(99, line.strip()), (100, "x" * 300_000)]
+    out = by_id(substring_dedup(spark.createDataFrame(data, "doc_id long, text string")))
+    n = len(line.split())
+    assert [out[i].n_words - out[i].n_removed for i in range(28)] == [n + 3, *[1] * 27] and out[99].n_removed == n
+    out = by_id(suffix_dedup(spark.createDataFrame(data, "doc_id long, text string")))
+    own = lambda i: out[i].n_bytes - out[i].n_removed
+    assert [own(i) for i in (0, 1, 99, 100)] == [len(line) + len("wn words 0"), 1, 0, 1]  # the line begins with an o as well
+
+
+def test_chains_are_compacted_over_anchors(spark):
+    rng = np.random.default_rng(11)
+    passage = " ".join(f"p{i}" for i in range(600))
+    data = [(i, f"{' '.join(f'q{x}' for x in rng.integers(0, 10**6, 40))} {passage} {' '.join(f'r{x}' for x in rng.integers(0, 10**6, 40))}") for i in range(6)]
+    docs = placed(spark.createDataFrame(data, "doc_id long, text string"), 3)
+    marks = repeated_anchors(docs, debruijn._find(20), 1 << 20)
+    paths = stored(docs.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(debruijn._paths(20), debruijn._PATHS), "paths")
+    found = debruijn.chains(paths, Scratch(spark))[0].collect()
+    assert [(r.doc, r.first, r.length) for r in found] == [(0, 40, 581)]  # one chain for all of the passage
+    spans = debruijn.repeated_ranges(docs, 3, 20).collect()
+    digest = hashlib.sha256(passage.encode()).digest()
+    assert sorted((r.doc, r.first, r.last, bytes(r.digest)) for r in spans) == [(i, 40, 640, digest) for i in range(1, 6)]
+
+
+def test_spans_that_differ_from_their_source_stay(spark):
+    import pyarrow as pa
+
+    docs = pa.table({"doc_id": [1], "text": ["a b c d e"]})
+    for text, kept in (("b c d", "a e"), ("b c x", "a b c d e")):
+        ranges = pa.table({"doc": [1], "first": [1], "last": [4], "digest": pa.array([hashlib.sha256(text.encode()).digest()], pa.binary())})
+        assert debruijn._result(True)(docs, ranges).column("kept").to_pylist() == [kept]
+
+
 def classes(data, k, percent):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = {}
@@ -131,15 +188,13 @@ def test_components(spark):
 
 
 def test_loser_tree_order_and_prefixes():
-    import pyarrow as pa
-
     rng = np.random.default_rng(2)
     everything, runs = [], []
     for _ in range(9):
         own = sorted({bytes(rng.integers(97, 99, rng.integers(1, 12)).astype(np.uint8)) for _ in range(rng.integers(0, 40))})
         shared, rest = front_coded(own)
         n = len(own)
-        runs.append(Run(pa.table({"shared": pa.array(shared, pa.int32()), "rest": pa.array(rest, pa.binary()), "left": pa.array([b""] * n, pa.binary()), "doc": pa.array([0] * n, pa.int64()), "first": pa.array([0] * n, pa.int32()), "others": pa.array([b""] * n, pa.binary())})))
+        runs.append(Run(anchors.packed([shared, rest, [b""] * n, np.zeros(n, np.int64), np.zeros(n, np.int64), [b""] * n])))
         everything += own
     out, before = [], b""
     for run, shared in merged(runs):
@@ -192,9 +247,12 @@ def test_known_pieces_are_dropped_without_change(monkeypatch):
 
 
 def test_pipeline_form_keeps_columns(spark):
-    docs = frame(spark, repeat=False).drop("part")
+    docs = frame(spark, repeat=False).withColumns({"carried": F.lit(1), "cut": F.lit("c"), "n_chars": F.length("text"), "doc": F.array(F.lit(2))})
     out = without_repeats(docs)
-    assert out.schema == docs.schema and out.count() == docs.count()
+    assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.schema] and out.count() == docs.count()
+    before = {r.doc_id: r for r in docs.collect()}
+    cut = [r for r in out.collect() if r.text != before[r.doc_id].text]
+    assert cut and all(r.n_chars == len(r.text) and (r.part, r.bucket, r.cut, r.doc, r.lang) == (7, "b", "c", [2], None) for r in cut)
 
 
 def test_empty_tables(spark):

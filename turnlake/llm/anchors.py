@@ -6,27 +6,26 @@ places, so two texts can share a window only where they share an anchor, and
 windows with neighbouring starts mostly share theirs: a run of windows with one
 anchor is handled as one unit.  No window is left out and nothing is sampled.
 
-The exchange moves blobs, not rows: a task packs its anchors for a bucket into
-one Arrow stream, and a bucket reads a few long arrays.
+A part of the corpus counts its anchors before anything is sent: the exchange
+has one row for each distinct anchor of a part, so the commonest line there is
+costs one row a part, and only the hashes that repeat come back.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.llm.arrowtext import blocks
 
-#: Bytes of text in one part of the corpus, and anchors a task holds at once.
-PART_BYTES, HELD_ANCHORS = 12 << 20, 600_000
-
-#: An anchor with more occurrences is resolved window by window, spread over
-#: all buckets, instead of in one bucket.
-HOT_ANCHOR = 30_000
+#: Bytes of text in one part of the corpus, and parts for each core of the cluster at least.
+PART_BYTES, PARTS_A_CORE = 12 << 20, 2
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -103,77 +102,92 @@ def part_column(doc_id: Column, parts: int) -> Column:
     return F.pmod(doc_id.bitwiseXOR(F.shiftright(doc_id, 15)), F.lit(parts)).cast("int")
 
 
-def part_count(docs: DataFrame) -> int:
-    """Parts of PART_BYTES of text: they grow with the corpus, not with the
-    session's settings."""
+def part_count(docs: DataFrame, part_bytes: int | None = None) -> int:
+    """Parts of PART_BYTES of text: they grow with the corpus, and are never
+    fewer than keep the cluster busy."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, -(-total // PART_BYTES))
-
-
-def packed(columns: dict[str, pa.Array]) -> bytes:
-    sink = pa.BufferOutputStream()
-    batch = pa.record_batch(list(columns.values()), names=list(columns))
-    with pa.ipc.new_stream(sink, batch.schema) as writer:
-        writer.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+    return max(1, -(-total // (part_bytes or PART_BYTES)), PARTS_A_CORE * docs.sparkSession.sparkContext.defaultParallelism)
+
+
+def placed(docs: DataFrame, parts: int) -> DataFrame:
+    """With the number of its part; rows without an id are in part 0."""
+    return docs.withColumn("part", F.coalesce(part_column(F.col("doc_id"), parts), F.lit(0)))
+
+
+def packed(columns: list[np.ndarray | list[bytes]]) -> bytes:
+    """Columns of equal length as one blob: a few bytes of header a column, so
+    that a blob of one row costs little more than the row."""
+    out = [struct.pack("<BI", len(columns), len(columns[0]))]
+    for c in columns:
+        if isinstance(c, list):
+            out += [b"\0", np.fromiter(map(len, c), "<i4", len(c)).tobytes(), *c]
+        else:
+            out += [c.dtype.char.encode(), np.ascontiguousarray(c).tobytes()]
+    return b"".join(out)
+
+
+def unpacked(blob: bytes) -> list[np.ndarray | list[bytes]]:
+    """The columns of one blob."""
+    many, rows = struct.unpack_from("<BI", blob)
+    at, out = 5, []
+    for _ in range(many):
+        kind, at = blob[at : at + 1], at + 1
+        if kind == b"\0":
+            size = np.frombuffer(blob, "<i4", rows, at)
+            edge = (at + 4 * rows + np.concatenate([[0], np.cumsum(size, dtype=np.int64)])).tolist()
+            out.append([blob[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)])
+            at = edge[-1]
+        else:
+            out.append(np.frombuffer(blob, np.dtype(kind.decode()), rows, at))
+            at += out[-1].nbytes
+    return out
 
 
-def unpacked(blobs: pa.ChunkedArray) -> list[pa.Table]:
-    return [pa.ipc.open_stream(blob.as_buffer()).read_all() for blob in blobs]
+def joined(blobs: pa.ChunkedArray) -> list[np.ndarray]:
+    """The columns, all of numbers, of many blobs, one after the other."""
+    return [np.concatenate(c) for c in zip(*(unpacked(b) for b in blobs.to_pylist()), strict=True)]
 
 
-def dealt(key: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[tuple[int, bytes]]:
+def dealt(key: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
     """One blob for each value of ``key``, rows in their order."""
     order = np.argsort(key, kind="stable")
     edge = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0, [True]])) if len(key) else np.zeros(1, np.int64)
-    columns = {c: pa.array(x[order]) for c, x in columns.items()}
+    columns = [c[order] for c in columns]
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        yield int(key[order[a]]), packed({c: x.slice(a, b - a) for c, x in columns.items()})
-
-
-def _rows(pairs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(pairs), 64):
-        yield pa.record_batch([pa.array([k for k, _ in pairs[at : at + 64]], pa.int32()), pa.array([b for _, b in pairs[at : at + 64]], pa.binary())], names=["bucket", "blob"])
-
-
-def repeated_anchors(docs: DataFrame, find: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], parts: int, block_bytes: int) -> DataFrame:
-    """(bucket int, blob binary): for each part of the corpus, blobs of the
-    anchors in its documents that occur at least twice in the corpus: doc,
-    anchor, left (anchor - first), right (last - anchor + 128), hash, hot."""
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []
-        count = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            both = {c: np.concatenate([x[c] for x in held]) for c in held[0]}
-            yield from _rows(list(dealt((both["hash"] & np.uint64(0xFFFFFFFF)).astype(np.int64) % parts, both)))
-
-        for block, data, offsets in blocks(batches, limit=block_bytes):
-            ids = block.column(0).to_numpy(zero_copy_only=False)
-            runs, base = find(data, offsets)
-            doc = runs["doc"]
-            held.append({"hash": runs["hash"], "doc": ids[doc], "anchor": (runs["anchor"] - base[doc]).astype(np.int32), "left": (runs["anchor"] - runs["first"]).astype(np.uint8), "right": (runs["last"] - runs["anchor"] + 128).astype(np.uint8)})
-            count += len(doc)
-            if count > HELD_ANCHORS:
-                yield from flush()
-                held, count = [], 0
-        if count:
-            yield from flush()
-
-    def select(group: pa.Table) -> pa.Table:
-        rows = pa.concat_tables(unpacked(group.column("blob"))).combine_chunks()
-        hashes = rows.column("hash").to_numpy()
-        order = np.argsort(hashes, kind="stable")
-        ranked = hashes[order]
-        head = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        size = np.diff(np.append(head, len(ranked)))
-        often = np.empty(len(ranked), np.int64)
-        often[order] = np.repeat(size, size)
-        keep = np.flatnonzero(often > 1)
-        out = {c: rows.column(c).to_numpy()[keep] for c in ("doc", "anchor", "left", "right", "hash")} | {"hot": (often[keep] > HOT_ANCHOR).astype(np.uint8)}
-        pairs = list(dealt(part_of(out["doc"], parts), out))
-        return pa.table({"bucket": pa.array([k for k, _ in pairs], pa.int32()), "blob": pa.array([b for _, b in pairs], pa.binary())})
-
-    schema = "bucket int, blob binary"
-    return docs.filter("doc_id IS NOT NULL").mapInArrow(gather, schema).groupBy("bucket").applyInArrow(select, schema)
+        yield int(key[order[a]]), packed([c[a:b] for c in columns])
+
+
+def own_blocks(docs: pa.Table, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, fresh, bytes, offsets) of a part's documents in the order of their
+    ids; null ids are left out, and of rows that repeat an id the first is fresh."""
+    docs = docs.filter(pc.is_valid(docs.column("doc_id"))).combine_chunks()
+    docs = docs.take(pc.sort_indices(docs, sort_keys=[("doc_id", "ascending")]))
+    seen = None
+    for block, data, offsets in blocks(iter(pa.table({"doc_id": docs.column("doc_id"), "text": docs.column("text")}).combine_chunks().to_batches()), limit=limit):
+        ids = block.column(0).to_numpy()
+        fresh = np.concatenate([[ids[0] != seen], ids[1:] != ids[:-1]])
+        seen = ids[-1]
+        yield ids, fresh, data, offsets
+
+
+def fresh_runs(runs: dict[str, np.ndarray], fresh: np.ndarray, wanted: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """The runs of fresh documents, and of ``wanted`` (sorted) anchors alone."""
+    keep = fresh[runs["doc"]]
+    if wanted is not None:
+        keep &= wanted[np.minimum(np.searchsorted(wanted, runs["hash"]), len(wanted) - 1)] == runs["hash"] if len(wanted) else False
+    return {c: x[keep] for c, x in runs.items()}
+
+
+def repeated_anchors(docs: DataFrame, find: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], limit: int) -> DataFrame:
+    """(part int, hash long, n long) of placed documents: for each part, those of
+    its anchors that occur at least twice in the corpus, and how often there."""
+
+    def count(group: pa.Table) -> pa.Table:
+        held, part = [np.zeros(0, np.uint64)], group.column("part")[0].as_py()
+        for _, fresh, data, offsets in own_blocks(group, limit):
+            held.append(fresh_runs(find(data, offsets), fresh)["hash"])
+        own, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.table({"part": pa.array(np.full(len(own), part, np.int32)), "hash": pa.array(own.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    rows = docs.groupBy("part").applyInArrow(count, "part int, hash long, n long")
+    return rows.withColumn("n", F.sum("n").over(Window.partitionBy("hash"))).filter("n > 1")

@@ -32,12 +32,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is spark.checkpoint.dir of the session; only where that is unset, as in
-    tests on one machine, a temporary folder is made and set.
+    It is spark.checkpoint.dir of the session; only where that is unset and the
+    session runs on this machine alone, as in tests, a temporary folder is made
+    and set.  A cluster without the setting is an error.
     """
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         found = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="turnlake-"))
         context.setCheckpointDir(found)
     return found.rstrip("/")
@@ -66,7 +69,32 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = new_path(df.sparkSession, what)
     with shuffles_freed(df.sparkSession):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+class Scratch:
+    """Tables that only steps on the way read: ``clear`` deletes their files,
+    once what was made from them is stored itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, what: str) -> DataFrame:
+        out = stored(df, what)
+        self.paths.append(out._stored_at)
+        return out
+
+    def clear(self) -> None:
+        for path in self.paths:
+            deleted(self.spark, path)
+        self.paths = []
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

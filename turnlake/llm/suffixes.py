@@ -7,8 +7,15 @@ length of the prefix it shares with the one before, and the rest) and sends it
 to the bucket of its anchor string.  A bucket merges the runs in a loser tree
 whose matches carry common prefix lengths: two suffixes that share different
 lengths with the last winner are ordered by those lengths alone, and equal
-lengths are compared only from there on.  The merged order puts equal suffixes
-side by side; neighbours that share the anchor string are resolved together.
+lengths are compared only from there on.
+
+The repeats are read off the common prefix lengths alone.  A window that begins
+a bytes before its anchor is the same in two suffixes if no neighbour between
+them in the merged order shares fewer than W - a bytes, and if the a bytes
+before their anchors are equal, which the order of those bytes, read backwards,
+and its common prefix lengths tell in the same way.  Nothing is hashed for that.
+An anchor that occurs very often goes into the same merge as the W-byte suffixes
+at each of its window starts, so that its occurrences spread over all buckets.
 """
 
 from __future__ import annotations
@@ -18,27 +25,30 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.anchors import dealt, packed, part_column, part_count, part_of, repeated_anchors, unpacked, window_runs
+from turnlake.llm.anchors import fresh_runs, own_blocks, packed, part_column, part_count, placed, repeated_anchors, rolled, unpacked, window_runs
 from turnlake.llm.arrowtext import binary_slices, blocks, ragged
 from turnlake.llm.common import only, prepare
 
 #: Bytes of an anchor, and of text hashed at once (fits a core's cache).
 ANCHOR_BYTES, BLOCK = 32, 256 << 10
 
-_BLOBS = "bucket int, kind int, blob binary"
-_RUN, _WINDOWS = 0, 1
+#: An anchor that occurs more often is sent by window, spread over all buckets.
+HOT_ANCHOR = 30_000
+
+
+def _values() -> np.ndarray:
+    """Random 64-bit value of each byte, from a fixed seed."""
+    return np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def _find(width: int):
-    #: Random 64-bit value of each byte, from a fixed seed.
-    value = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+    value = _values()
 
-    def find(data: np.ndarray, offsets: np.ndarray):
-        return window_runs(value[data], offsets, ANCHOR_BYTES, width), offsets[:-1]
+    def find(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+        return window_runs(value[data], offsets, min(ANCHOR_BYTES, width), width)
 
     return find
 
@@ -69,15 +79,13 @@ def front_coded(suffixes: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
 
 
 class Run:
-    """A front-coded run, decoded one suffix at a time."""
-
-    def __init__(self, table: pa.Table):
-        self.shared = table.column("shared").to_pylist()
-        self.rest = table.column("rest").to_pylist()
-        self.left = table.column("left").to_pylist()
-        self.doc = table.column("doc").to_pylist()
-        self.first = table.column("first").to_pylist()
-        self.others = table.column("others").to_pylist()
+    """A front-coded run, decoded one suffix at a time: what each shares with the
+    one before, the rest, the bytes before it, its document and its place, and
+    the other places of the same bytes."""
+
+    def __init__(self, blob: bytes):
+        shared, self.rest, self.left, doc, place, self.others = unpacked(blob)
+        self.shared, self.doc, self.place = shared.tolist(), doc.tolist(), place.tolist()
         self.at, self.suffix = -1, b""
 
     def step(self) -> bool:
@@ -142,142 +150,120 @@ def merged(runs: list[Run]):
 
 
 def _runs(width: int, parts: int):
-    """Front-coded runs of a part's suffixes; those of hot anchors go as single
-    windows instead, spread over the buckets by their own hash."""
+    """Front-coded runs of a part's suffixes, by bucket."""
+    value, k = _values(), min(ANCHOR_BYTES, width)
 
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, bytes]] = []
-        if docs.num_rows and marks.num_rows:
-            marked = pa.concat_tables(unpacked(marks.column("blob"))).combine_chunks()
-            marked = {c: marked.column(c).to_numpy() for c in ("doc", "anchor", "left", "right", "hash", "hot")}
-            order = np.lexsort([marked["anchor"], marked["doc"]])
-            marked = {c: x[order] for c, x in marked.items()}
-            docs = docs.filter(pc.is_valid(docs.column("doc_id"))).combine_chunks()
-            docs = docs.take(pc.sort_indices(docs, sort_keys=[("doc_id", "ascending")]))
-            cold: dict[int, dict[tuple[bytes, bytes], list]] = {}
-            hot: dict[tuple[bytes, bytes], list] = {}
-            seen = None
-            for block, data, offsets in blocks(iter(pa.table({"doc_id": docs.column("doc_id"), "text": docs.column("text")}).combine_chunks().to_batches())):
-                ids = block.column(0).to_numpy()
-                fresh = np.concatenate([[ids[0] != seen], ids[1:] != ids[:-1]])  # a repeated id counts once
-                seen = ids[-1]
-                rows = np.flatnonzero(fresh)
-                a, b = np.searchsorted(marked["doc"], ids[rows]), np.searchsorted(marked["doc"], ids[rows], side="right")
-                pick, row = ragged(a, b - a), np.repeat(rows, b - a)
-                anchor, left = marked["anchor"][pick].astype(np.int64), marked["left"][pick].astype(np.int64)
-                end = anchor + marked["right"][pick].astype(np.int64) - 128 + width
-                fits = end <= (offsets[row + 1] - offsets[row])  # else: a row with this id but another text
-                pick, row, anchor, left, end = pick[fits], row[fits], anchor[fits], left[fits], end[fits]
-                base = offsets[row]
-                suffix = binary_slices(data, base + anchor, base + end).to_pylist()
-                before = binary_slices(data, base + anchor - left, base + anchor).to_pylist()
-                bucket = ((marked["hash"][pick] & np.uint64(0xFFFFFFFF)).astype(np.int64) % parts).tolist()
-                for s, l, doc, first, to, is_hot in zip(suffix, before, ids[row].tolist(), (anchor - left).tolist(), bucket, marked["hot"][pick].tolist(), strict=True):
-                    own = hot if is_hot else cold.setdefault(to, {})
-                    entry = own.get((s, l))
-                    if entry is None:
-                        own[s, l] = [doc, first, []]
-                    else:  # equal in full to an earlier one of this part
-                        entry[2].append((doc, first))
-            for to, own in cold.items():
-                keys = sorted(own)
-                shared, rest = front_coded([s for s, _ in keys])
-                entries = [own[x] for x in keys]
-                out.append((to, _RUN, packed({
-                    "shared": pa.array(shared), "rest": pa.array(rest, pa.binary()), "left": pa.array([l for _, l in keys], pa.binary()), "doc": pa.array([e[0] for e in entries], pa.int64()),
-                    "first": pa.array([e[1] for e in entries], pa.int32()), "others": pa.array([np.array(e[2], np.int64).tobytes() if e[2] else b"" for e in entries], pa.binary()),
-                })))
-            if hot:
-                digest, doc, start, span = [], [], [], []
-                for (s, l), (d, first, others) in hot.items():
-                    text = l + s
-                    for i in range(len(text) - width + 1):
-                        digest.append(xxhash.xxh3_128_digest(text[i : i + width]))
-                        doc.append(d), start.append(first + i), span.append(0)
-                    for d2, first2 in others:  # known already: not the first
-                        digest.append(b"\0" * 16), doc.append(d2), start.append(first2), span.append(len(text))
-                pair = np.frombuffer(b"".join(digest), np.uint64).reshape(-1, 2)
-                columns = {"a": pair[:, 0], "b": pair[:, 1], "doc": np.array(doc, np.int64), "start": np.array(start, np.int64), "span": np.array(span, np.int32)}
-                key = np.where(columns["span"] > 0, columns["doc"] % parts, (pair[:, 0] % np.uint64(parts)).astype(np.int64))
-                out += [(to, _WINDOWS, blob) for to, blob in dealt(key, columns)]
-        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "kind": pa.array([x[1] for x in out], pa.int32()), "blob": pa.array([x[2] for x in out], pa.binary())})
+        hashes, n = marks.column("hash").to_numpy().view(np.uint64), marks.column("n").to_numpy()
+        order = np.argsort(hashes)
+        wanted, hot = hashes[order], n[order] > HOT_ANCHOR
+        own: dict[int, dict[tuple[bytes, bytes], list]] = {}
+
+        def put(bucket, suffix, left, doc, place) -> None:
+            for to, s, l, d, at in zip(bucket.tolist(), suffix.to_pylist(), left.to_pylist() if left else [b""] * len(suffix), doc.tolist(), place.tolist(), strict=True):
+                entry = own.setdefault(to, {}).setdefault((s, l), [d, at, []])
+                if entry[0] != d or entry[1] != at:  # equal in full to an earlier one of this part
+                    entry[2] += (d, at)
+
+        if docs.num_rows and len(wanted):
+            for ids, fresh, data, offsets in own_blocks(docs, BLOCK):
+                units = value[data]
+                found = fresh_runs(window_runs(units, offsets, k, width), fresh, wanted)
+                often = hot[np.searchsorted(wanted, found["hash"])]
+                some = {c: x[~often] for c, x in found.items()}
+                base = offsets[some["doc"]]
+                put((some["hash"] & np.uint64(0xFFFFFFFF)).astype(np.int64) % parts, binary_slices(data, some["anchor"], some["last"] + width), binary_slices(data, some["first"], some["anchor"]), ids[some["doc"]], some["anchor"] - base)
+                if often.any():
+                    some = {c: x[often] for c, x in found.items()}
+                    size = some["last"] - some["first"] + 1
+                    start, doc = ragged(some["first"], size), np.repeat(some["doc"], size)
+                    bucket = (rolled(units, width)[start] >> np.uint64(20)).astype(np.int64) % parts
+                    put(bucket, binary_slices(data, start, start + width), None, ids[doc], start - offsets[doc])
+        out: list[tuple[int, bytes]] = []
+        for to, entries in own.items():
+            keys = sorted(entries)
+            shared, rest = front_coded([s for s, _ in keys])
+            rows = [entries[x] for x in keys]
+            out.append((to, packed([shared, rest, [l for _, l in keys], np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), [np.array(r[2], np.int64).tobytes() for r in rows]])))
+        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "blob": pa.array([x[1] for x in out], pa.binary())})
 
     return run
 
 
-def _resolve(group: list[list], width: int, found: list[tuple[int, int, int]]) -> None:
-    """Byte ranges to remove of one anchor's suffixes: [suffix, left, doc, first,
-    others], equal ones merged, in any order."""
-    for suffix, left, _, _, others in group:
-        size = len(left) + len(suffix)
-        found += [(d, f, f + size) for d, f in others]
-    if len(group) == 1:
-        return
-    seen: set[bytes] = set()
-    for suffix, left, doc, first, _ in sorted(group, key=lambda g: (g[2], g[3] + len(g[1]))):
-        text = left + suffix
-        for i in range(len(text) - width + 1):
-            key = xxhash.xxh3_128_digest(text[i : i + width])
-            if key in seen:
-                found.append((doc, first + i, first + i + width))
-            else:
-                seen.add(key)
+def classes(shared: np.ndarray, least: int) -> np.ndarray:
+    """Number of the group of each entry of a sorted list whose neighbours share
+    at least so much."""
+    return np.cumsum(shared < least)
+
 
+def later_windows(shared: np.ndarray, size: np.ndarray, left: list[bytes], doc: np.ndarray, place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, bytes before its anchor) of every window that an earlier entry has.
 
-def _merge(width: int, parts: int):
-    """Merge a bucket's runs; emit the ranges to remove, by part."""
+    Entries are in merged order: ``shared`` is the common prefix length with the
+    one before, ``size`` the suffix length, ``left`` the bytes before the anchor,
+    (``doc``, ``place``) where the anchor is.
+    """
+    n = len(shared)
+    # The bytes before the anchors, read backwards, in their own order.
+    distinct = sorted({x[::-1] for x in left})
+    alike, _ = front_coded(distinct)
+    at = {x: i for i, x in enumerate(distinct)}
+    side = np.fromiter((at[x[::-1]] for x in left), np.int64, n)
+    room = np.fromiter(map(len, left), np.int64, n)
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort([place, doc])] = np.arange(n)
+    close = np.maximum(shared, np.append(shared[1:], 0))
+    entries, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(int(room.max(initial=0)) + 1):
+        some = np.flatnonzero((room >= a) & (size >= width - a) & (close >= width - a))
+        if len(some) < 2:
+            continue
+        key = classes(shared, width - a)[some] * (len(distinct) + 1) + classes(alike, a)[side[some]]
+        some = some[np.lexsort([rank[some], key])]
+        key = np.sort(key)
+        later = some[1:][key[1:] == key[:-1]]
+        entries.append(later)
+        starts.append(np.full(len(later), a, np.int64))
+    return np.concatenate(entries), np.concatenate(starts)
+
+
+def united(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges [first, last) of documents, overlapping and touching ones as one."""
+    if not len(doc):
+        return doc, first, last
+    order = np.lexsort([first, doc])
+    doc, first, last = doc[order], first[order], last[order]
+    number = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]]))
+    reach = np.maximum.accumulate(last + number * (int(last.max()) + 1)) - number * (int(last.max()) + 1)  # so far, within a document
+    head = np.concatenate([[True], (doc[1:] != doc[:-1]) | (first[1:] > reach[:-1])])
+    return doc[head], first[head], reach[np.append(np.flatnonzero(head)[1:] - 1, len(doc) - 1)]
+
+
+def _merge(width: int):
+    """Merge a bucket's runs; the ranges to remove follow from the lengths that
+    neighbours share."""
 
     def run(blobs: pa.Table) -> pa.Table:
-        kinds = blobs.column("kind").to_numpy()
-        content = blobs.column("blob").combine_chunks()
-        runs = [Run(t) for t in unpacked(content.filter(pa.array(kinds == _RUN)))]
-        found: list[tuple[int, int, int]] = []
-        group: list[list] = []
-        for r, shared in merged(runs):
+        shared, size, left, doc, place = [], [], [], [], []
+        docs, firsts, lasts = [], [], []
+        for r, common in merged([Run(b) for b in blobs.column("blob").to_pylist()]):
             i = r.at
-            extra = np.frombuffer(r.others[i], np.int64).reshape(-1, 2).tolist() if r.others[i] else []
-            if shared < ANCHOR_BYTES:
-                _resolve(_equal(group), width, found)
-                group = []
-            group.append([r.suffix, r.left[i], r.doc[i], r.first[i], extra])
-        _resolve(_equal(group), width, found)
-        ranges = np.array(found, np.int64).reshape(-1, 3)
-        single = unpacked(content.filter(pa.array(kinds == _WINDOWS)))
-        if single:
-            t = {c: x.to_numpy() for c, x in zip(single[0].column_names, pa.concat_tables(single).combine_chunks().columns, strict=True)}
-            known = t["span"] > 0
-            window = np.flatnonzero(~known)
-            order = window[np.lexsort([t[c][window] for c in ("start", "doc", "b", "a")])]
-            later = np.zeros(len(order), bool)
-            later[1:] = (t["a"][order][1:] == t["a"][order][:-1]) & (t["b"][order][1:] == t["b"][order][:-1])
-            later = order[later]
-            ranges = np.concatenate([ranges, np.stack([t["doc"][known], t["start"][known], t["start"][known] + t["span"][known]], 1), np.stack([t["doc"][later], t["start"][later], t["start"][later] + width], 1)])
-        pairs = list(dealt(part_of(ranges[:, 0], parts), {"doc": ranges[:, 0], "first": ranges[:, 1].astype(np.int32), "last": ranges[:, 2].astype(np.int32)}))
-        return pa.table({"bucket": pa.array([k for k, _ in pairs], pa.int32()), "kind": pa.array([_RUN] * len(pairs), pa.int32()), "blob": pa.array([b for _, b in pairs], pa.binary())})
+            shared.append(common), size.append(len(r.suffix)), left.append(r.left[i]), doc.append(r.doc[i]), place.append(r.place[i])
+            if r.others[i]:  # equal in full to an earlier place of their part
+                more = np.frombuffer(r.others[i], np.int64).reshape(-1, 2)
+                docs.append(more[:, 0]), firsts.append(more[:, 1] - len(r.left[i])), lasts.append(more[:, 1] + len(r.suffix))
+        doc, place = np.array(doc, np.int64), np.array(place, np.int64)
+        entry, before = later_windows(np.array(shared, np.int64), np.array(size, np.int64), left, doc, place, width)
+        start = place[entry] - before
+        found = united(np.concatenate([doc[entry], *docs]), np.concatenate([start, *firsts]), np.concatenate([start + width, *lasts]))
+        return pa.table(dict(zip(("doc", "first", "last"), found, strict=True)))
 
     return run
 
 
-def _equal(group: list[list]) -> list[list]:
-    """Merge entries that are equal in full: the first in the corpus leads.
-
-    Equal suffixes are neighbours; among them the left sides are put together.
-    """
-    lead: dict[tuple[bytes, bytes], list] = {}
-    for entry in group:
-        own = lead.setdefault((entry[0], entry[1]), entry)
-        if own is not entry:
-            if (entry[2], entry[3]) < (own[2], own[3]):
-                lead[entry[0], entry[1]] = entry
-                own, entry = entry, own
-            own[4] += [(entry[2], entry[3]), *entry[4]]
-    return list(lead.values())
-
-
 def _result(with_text: bool):
-    def run(docs: pa.Table, blobs: pa.Table) -> pa.Table:
-        found = pa.concat_tables(unpacked(blobs.column("blob"))).combine_chunks() if blobs.num_rows else None
-        doc, first, last = (found.column(c).to_numpy() for c in ("doc", "first", "last")) if found else [np.zeros(0, np.int64)] * 3
+    def run(docs: pa.Table, ranges: pa.Table) -> pa.Table:
+        doc, first, last = (ranges.column(c).to_numpy() for c in ("doc", "first", "last"))
         order = np.argsort(doc, kind="stable")
         doc, first, last = doc[order], first[order], last[order]
         out: list[list] = [[], [], [], [], [], []]
@@ -314,12 +300,14 @@ def suffix_dedup(docs: DataFrame, width: int = 100, with_text: bool = False, id_
     its text count as one document and get equal results; rows with a null id
     neither remove nor lose anything.  Texts of any length are used whole.
     """
+    if width < 1:
+        raise ValueError("a window has at least one byte")
     prepare(docs.sparkSession)
     docs = only(docs, id_col, text_col)
     parts = part_count(docs)
-    marks = repeated_anchors(docs, _find(width), parts, BLOCK)
-    placed = docs.withColumn("part", F.coalesce(part_column(F.col("doc_id"), parts), F.lit(0)))
-    runs = placed.groupBy("part").cogroup(marks.withColumnRenamed("bucket", "part").groupBy("part")).applyInArrow(_runs(width, parts), _BLOBS)
-    ranges = runs.groupBy("bucket").applyInArrow(_merge(width, parts), _BLOBS)
-    out = placed.groupBy("part").cogroup(ranges.withColumnRenamed("bucket", "part").groupBy("part")).applyInArrow(_result(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    docs = placed(docs, parts)
+    marks = repeated_anchors(docs, _find(width), BLOCK)
+    runs = docs.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(_runs(width, parts), "bucket int, blob binary")
+    ranges = runs.groupBy("bucket").applyInArrow(_merge(width), "doc long, first long, last long").withColumn("part", part_column(F.col("doc"), parts))
+    out = docs.groupBy("part").cogroup(ranges.groupBy("part")).applyInArrow(_result(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if with_text else out.drop("kept")
