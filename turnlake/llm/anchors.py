@@ -79,18 +79,18 @@ def window_runs(units: np.ndarray, offsets: np.ndarray, k: int, width: int) -> d
     hashes = rolled(units, k)
     place = np.arange(len(hashes), dtype=np.uint64)
     least = sliding_min((hashes & np.uint64(0xFFFFFFFF00000000)) | place, width - k + 1)
-    change = np.zeros(len(least) + 1, np.int32)
-    fits = offsets[1:] - offsets[:-1] >= width
-    np.add.at(change, offsets[:-1][fits], 1)
-    np.add.at(change, offsets[1:][fits] - width + 1, -1)
-    start = np.flatnonzero(np.cumsum(change[:-1]) > 0)
-    if not len(start):
+    at = least.astype(np.uint32)  # the anchor's place
+    lead = offsets[:-1][offsets[1:] - offsets[:-1] >= width]
+    # A run begins with a document and where the anchor changes, and ends before the next or with the last window.
+    head = np.union1d(np.flatnonzero(at[1:] != at[:-1]) + 1, lead)
+    if not len(lead):
         return nothing
-    at = (least[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    head = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    anchor, first = at[head], start[head]
-    last = np.concatenate([start[head[1:] - 1], start[-1:]])
-    return {"doc": np.searchsorted(offsets, first, side="right") - 1, "anchor": anchor, "first": first, "last": last, "hash": hashes[anchor]}
+    doc = np.searchsorted(offsets, head, side="right") - 1
+    final = offsets[doc + 1] - width
+    last = np.minimum(np.append(head[1:] - 1, len(units)), final)
+    fits = head <= final
+    anchor = at[head[fits]].astype(np.int64)
+    return {"doc": doc[fits], "anchor": anchor, "first": head[fits], "last": last[fits], "hash": hashes[anchor]}
 
 
 def part_of(doc_id: np.ndarray, parts: int) -> np.ndarray:

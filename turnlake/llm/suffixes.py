@@ -157,13 +157,11 @@ def _runs(width: int, parts: int):
         hashes, n = marks.column("hash").to_numpy().view(np.uint64), marks.column("n").to_numpy()
         order = np.argsort(hashes)
         wanted, hot = hashes[order], n[order] > HOT_ANCHOR
-        own: dict[int, dict[tuple[bytes, bytes], list]] = {}
+        texts, facts = [pa.array([], pa.binary())], [np.zeros((4, 0), np.int64)]  # bucket, bytes before the anchor, document, place
 
-        def put(bucket, suffix, left, doc, place) -> None:
-            for to, s, l, d, at in zip(bucket.tolist(), suffix.to_pylist(), left.to_pylist() if left else [b""] * len(suffix), doc.tolist(), place.tolist(), strict=True):
-                entry = own.setdefault(to, {}).setdefault((s, l), [d, at, []])
-                if entry[0] != d or entry[1] != at:  # equal in full to an earlier one of this part
-                    entry[2] += (d, at)
+        def put(data: np.ndarray, base: np.ndarray, first: np.ndarray, end: np.ndarray, anchor: np.ndarray, doc: np.ndarray, key: np.ndarray) -> None:
+            texts.append(binary_slices(data, first, end))
+            facts.append(np.stack([(key >> np.uint64(20)).astype(np.int64) % parts, anchor - first, doc, anchor - base]))
 
         if docs.num_rows and len(wanted):
             for ids, fresh, data, offsets in own_blocks(docs, BLOCK):
@@ -171,20 +169,27 @@ def _runs(width: int, parts: int):
                 found = fresh_runs(window_runs(units, offsets, k, width), fresh, wanted)
                 often = hot[np.searchsorted(wanted, found["hash"])]
                 some = {c: x[~often] for c, x in found.items()}
-                base = offsets[some["doc"]]
-                put((some["hash"] & np.uint64(0xFFFFFFFF)).astype(np.int64) % parts, binary_slices(data, some["anchor"], some["last"] + width), binary_slices(data, some["first"], some["anchor"]), ids[some["doc"]], some["anchor"] - base)
+                put(data, offsets[some["doc"]], some["first"], some["last"] + width, some["anchor"], ids[some["doc"]], some["hash"])
                 if often.any():
                     some = {c: x[often] for c, x in found.items()}
                     size = some["last"] - some["first"] + 1
                     start, doc = ragged(some["first"], size), np.repeat(some["doc"], size)
-                    bucket = (rolled(units, width)[start] >> np.uint64(20)).astype(np.int64) % parts
-                    put(bucket, binary_slices(data, start, start + width), None, ids[doc], start - offsets[doc])
+                    put(data, offsets[doc], start, start + width, start, ids[doc], rolled(units, width)[start])
+        # Bytes that are there more than once in this part go once, with the other places.
+        coded = pa.concat_arrays(texts).dictionary_encode()
+        bucket, left, doc, place = np.concatenate(facts, 1)
+        order = np.argsort(coded.indices.to_numpy(), kind="stable")
+        edge = np.flatnonzero(np.concatenate([[True], np.diff(coded.indices.to_numpy()[order]) != 0, [True]])) if len(order) else np.zeros(1, np.int64)
+        both = np.stack([doc, place], 1)[order]
+        lead = order[edge[:-1]]
+        by: dict[int, list] = {}
+        for text, to, l, d, at, a, b in zip(coded.dictionary.to_pylist(), bucket[lead].tolist(), left[lead].tolist(), doc[lead].tolist(), place[lead].tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            by.setdefault(to, []).append((text[l:], text[:l], d, at, both[a + 1 : b].tobytes() if b > a + 1 else b""))
         out: list[tuple[int, bytes]] = []
-        for to, entries in own.items():
-            keys = sorted(entries)
-            shared, rest = front_coded([s for s, _ in keys])
-            rows = [entries[x] for x in keys]
-            out.append((to, packed([shared, rest, [l for _, l in keys], np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), [np.array(r[2], np.int64).tobytes() for r in rows]])))
+        for to, rows in by.items():
+            rows.sort()
+            shared, rest = front_coded([r[0] for r in rows])
+            out.append((to, packed([shared, rest, [r[1] for r in rows], np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64), [r[4] for r in rows]])))
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "blob": pa.array([x[1] for x in out], pa.binary())})
 
     return run
@@ -196,8 +201,9 @@ def classes(shared: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(shared < least)
 
 
-def later_windows(shared: np.ndarray, size: np.ndarray, left: list[bytes], doc: np.ndarray, place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(entry, bytes before its anchor) of every window that an earlier entry has.
+def later_windows(shared: np.ndarray, size: np.ndarray, left: list[bytes], doc: np.ndarray, place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, a, b): of an entry, the windows that begin a to b bytes before its
+    anchor are those of an earlier one.
 
     Entries are in merged order: ``shared`` is the common prefix length with the
     one before, ``size`` the suffix length, ``left`` the bytes before the anchor,
@@ -210,21 +216,30 @@ def later_windows(shared: np.ndarray, size: np.ndarray, left: list[bytes], doc:
     at = {x: i for i, x in enumerate(distinct)}
     side = np.fromiter((at[x[::-1]] for x in left), np.int64, n)
     room = np.fromiter(map(len, left), np.int64, n)
+    early = np.lexsort([place, doc])  # entries by their places
     rank = np.empty(n, np.int64)
-    rank[np.lexsort([place, doc])] = np.arange(n)
+    rank[early] = np.arange(n)
     close = np.maximum(shared, np.append(shared[1:], 0))
-    entries, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for a in range(int(room.max(initial=0)) + 1):
+    begun, until = np.full(n, -1, np.int64), np.full(n, -2, np.int64)
+    out = []
+    for a in range(int(room.max(initial=-1)) + 1):
         some = np.flatnonzero((room >= a) & (size >= width - a) & (close >= width - a))
         if len(some) < 2:
             continue
-        key = classes(shared, width - a)[some] * (len(distinct) + 1) + classes(alike, a)[side[some]]
-        some = some[np.lexsort([rank[some], key])]
-        key = np.sort(key)
-        later = some[1:][key[1:] == key[:-1]]
-        entries.append(later)
-        starts.append(np.full(len(later), a, np.int64))
-    return np.concatenate(entries), np.concatenate(starts)
+        both = classes(shared, width - a)[some] * (len(distinct) + 1) + classes(alike, a)[side[some]]
+        if n * n * (len(distinct) + 1) < 1 << 62:
+            order = np.sort(both * n + rank[some])
+            both, some = order // n, early[order % n]
+        else:
+            order = np.lexsort([rank[some], both])
+            both, some = both[order], some[order]
+        later = some[1:][both[1:] == both[:-1]]
+        fresh = later[until[later] != a - 1]
+        done = fresh[until[fresh] >= 0]
+        out.append(np.stack([done, begun[done], until[done]]))
+        begun[fresh], until[later] = a, a
+    done = np.flatnonzero(until >= 0)
+    return tuple(np.concatenate([*out, np.stack([done, begun[done], until[done]])], 1))
 
 
 def united(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,9 +268,8 @@ def _merge(width: int):
                 more = np.frombuffer(r.others[i], np.int64).reshape(-1, 2)
                 docs.append(more[:, 0]), firsts.append(more[:, 1] - len(r.left[i])), lasts.append(more[:, 1] + len(r.suffix))
         doc, place = np.array(doc, np.int64), np.array(place, np.int64)
-        entry, before = later_windows(np.array(shared, np.int64), np.array(size, np.int64), left, doc, place, width)
-        start = place[entry] - before
-        found = united(np.concatenate([doc[entry], *docs]), np.concatenate([start, *firsts]), np.concatenate([start + width, *lasts]))
+        entry, a, b = later_windows(np.array(shared, np.int64), np.array(size, np.int64), left, doc, place, width)
+        found = united(np.concatenate([doc[entry], *docs]), np.concatenate([place[entry] - b, *firsts]), np.concatenate([place[entry] - a + width, *lasts]))
         return pa.table(dict(zip(("doc", "first", "last"), found, strict=True)))
 
     return run
