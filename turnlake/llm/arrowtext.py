@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text handled at once: large enough to amortise numpy calls, small
 #: enough that the temporary arrays of a pass stay below some 100 MB.
@@ -71,6 +72,35 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of every word, eight bytes of all words at a time; words of
+    up to eight bytes and one length never collide."""
+    size = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place
+    h = eight[starts] & _LOW_BYTES[np.minimum(size, 8)]
+    h ^= size.astype(np.uint64) * _MIX[1]
+    h *= _MIX[0]
+    h ^= h >> np.uint64(32)
+    h *= _MIX[1]
+    h ^= h >> np.uint64(29)
+    for at in range(8, 64, 8):
+        more = np.flatnonzero(size > at)
+        if not len(more):
+            break
+        g = h[more] * _MIX[0] + (eight[starts[more] + at] & _LOW_BYTES[np.minimum(size[more] - at, 8)])
+        g *= _MIX[1]
+        h[more] = g ^ (g >> np.uint64(32))
+    for i in np.flatnonzero(size > 64).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return h
+
+
 def binary_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The slices [start, end) of a buffer as an Arrow binary array (a copy)."""
     lengths = ends - starts

@@ -29,18 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from turnlake.llm.anchors import fresh_runs, own_blocks, part_column, part_count, placed, repeated_anchors, rolled, window_runs
-from turnlake.llm.arrowtext import BLOCK_BYTES, binary_slices, blocks, ragged, word_spans
+from turnlake.llm.arrowtext import BLOCK_BYTES, blocks, ragged, word_hashes, word_spans
 from turnlake.llm.common import Scratch, only, prepare, stored
 
 #: Words of an anchor.
-ANCHOR_WORDS = 6
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word; each distinct word is hashed once."""
-    coded = binary_slices(data, starts, ends).dictionary_encode()
-    own = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
-    return own[coded.indices.to_numpy()] if len(own) else np.zeros(0, np.uint64)
+ANCHOR_WORDS = 8
 
 
 def _find(width: int):
@@ -51,31 +44,17 @@ def _find(width: int):
     return find
 
 
-def place_hashes(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each place.  A set of places is known by the
-    exclusive or of its hashes."""
-    out = []
-    for seed in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
-        h = doc.astype(np.uint64) * np.uint64(seed) + place.astype(np.uint64)
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            h ^= h >> np.uint64(shift)
-            h *= np.uint64(factor)
-        out.append((h ^ (h >> np.uint64(31))).view(np.int64))
-    return out[0], out[1]
-
-
-_SET = ["sa", "sb", "ea", "eb"]  # the places where a piece starts, and those where it ends
-
-
-def _sets(doc: np.ndarray, start: np.ndarray, end: np.ndarray, edge: np.ndarray) -> dict[str, np.ndarray]:
-    """The four columns of _SET for groups of places that begin at ``edge``."""
-    if not len(edge):
-        return {c: np.zeros(0, np.int64) for c in _SET}
-    columns = [*place_hashes(doc, start), *place_hashes(doc, end)]
-    return {c: np.bitwise_xor.reduceat(x, edge) for c, x in zip(_SET, columns, strict=True)}
+def place_hashes(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """64-bit hash of each place.  A set of places is known by the exclusive or
+    of its hashes."""
+    h = doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
+    return (h ^ (h >> np.uint64(31))).view(np.int64)
 
 
-_PATHS = "anchor long, path_a long, path_b long, doc long, first long, n int, edges binary, others binary, count long, sa long, sb long, ea long, eb long"
+_PATHS = "anchor long, path_a long, path_b long, doc long, first long, n int, edges binary, others binary, count long, begins long, ends long"
 
 
 def _paths(width: int):
@@ -106,10 +85,12 @@ def _paths(width: int):
         n = np.array([len(r[3]) // 8 for r in rows], np.int64)
         count = np.array([1 + len(r[4]) // 2 for r in rows], np.int64)
         every = np.array([x for r in rows for x in (r[1], r[2], *r[4])], np.int64).reshape(-1, 2)
-        sets = _sets(every[:, 0], every[:, 1], every[:, 1] + np.repeat(n, count), np.cumsum(count) - count)
+        edge = np.cumsum(count) - count
+        places = lambda at: np.bitwise_xor.reduceat(place_hashes(every[:, 0], every[:, 1] + at), edge) if len(edge) else edge
         return pa.table({
             "anchor": np.array([r[0] for r in rows], np.uint64).view(np.int64), "path_a": key[:, 0], "path_b": key[:, 1], "doc": doc, "first": first, "n": n.astype(np.int32),
-            "edges": pa.array([r[3] for r in rows], pa.binary()), "others": pa.array([np.array(r[4], np.int64).tobytes() for r in rows], pa.binary()), "count": count, **sets,
+            "edges": pa.array([r[3] for r in rows], pa.binary()), "others": pa.array([np.array(r[4], np.int64).tobytes() for r in rows], pa.binary()), "count": count,
+            "begins": places(0), "ends": places(np.repeat(n, count)),
         })
 
     return run
@@ -123,7 +104,7 @@ def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [_column(batch, c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
 
 
-_EDGES = "anchor long, edge long, doc long, start long, at int, count long, sa long, sb long, ea long, eb long"
+_EDGES = "anchor long, edge long, doc long, start long, at int, count long, begins long, ends long"
 
 
 def _slices(batch: pa.RecordBatch, limit: int = 400_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -147,16 +128,15 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             anchor, doc, first, n = _numbers(batch, "anchor", "doc", "first", "n")
             edges = np.frombuffer(b"".join(_column(batch, "edges").to_pylist()), np.int64)
             before = np.cumsum(count) - count
-            sets = np.zeros((2, int(n.max()) + 1, len(n)), np.int64)  # of the node after so many edges
-            for at in range(sets.shape[1]):
+            sets = np.zeros((int(n.max()) + 1, len(n)), np.int64)  # of the node after so many edges
+            for at in range(len(sets)):
                 some = np.flatnonzero(n >= at)
                 own = ragged(before[some], count[some])
-                for x, h in zip(sets, place_hashes(places[own, 0], places[own, 1] + at), strict=True):
-                    x[at, some] = np.bitwise_xor.reduceat(h, np.cumsum(count[some]) - count[some])
+                sets[at, some] = np.bitwise_xor.reduceat(place_hashes(places[own, 0], places[own, 1] + at), np.cumsum(count[some]) - count[some])
             at, path = ragged(np.zeros(len(n), np.int64), n), np.repeat(np.arange(len(n)), n)
             yield pa.record_batch({
                 "anchor": anchor[path], "edge": edges, "doc": doc[path], "start": first[path] + at, "at": at.astype(np.int32), "count": count[path],
-                "sa": sets[0, at, path], "sb": sets[1, at, path], "ea": sets[0, at + 1, path], "eb": sets[1, at + 1, path],
+                "begins": sets[at, path], "ends": sets[at + 1, path],
             })
 
 
@@ -269,23 +249,28 @@ def chains(paths: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     A chain is (doc, first, length: edges, by_edge, a, b): its source, and the
     piece it begins with, a path (a, b) or the edge b of anchor a.
     """
-    xor = [F.bit_xor(c).alias(c) for c in _SET]
-    distinct = scratch.stored(paths.groupBy("path_a", "path_b").agg(F.min(F.struct("doc", "first")).alias("lead"), F.first("n").alias("n"), F.first("anchor").alias("anchor"), F.sum("count").alias("count"), *xor), "distinct-paths")
+    # A place as one number, so that the least is found by hashing, not sorting.
+    number = lambda doc, word: F.expr(f"CAST({doc} AS DECIMAL(20, 0)) * 4294967296BD + {word}").cast("decimal(38,0)")
+    word = F.expr("CAST(pmod(lead, 4294967296BD) AS BIGINT)")
+    opened = lambda df: df.withColumn("first", word).withColumn("doc", ((F.col("lead") - F.col("first")) / F.expr("4294967296BD")).cast("long")).drop("lead")
+    sets = [F.sum("count").alias("count"), F.bit_xor("begins").alias("begins"), F.bit_xor("ends").alias("ends")]
+    distinct = scratch.stored(paths.groupBy("path_a", "path_b").agg(F.min(number("doc", "first")).alias("lead"), F.first("n").alias("n"), F.first("anchor").alias("anchor"), *sets), "distinct-paths")
     branching = distinct.groupBy("anchor").agg(F.count("*").alias("paths")).filter("paths > 1").select("anchor")
-    edges = scratch.stored(paths.select("anchor", "doc", "first", "n", "edges", "others", "count").join(branching, "anchor", "left_semi").mapInArrow(_spread, _EDGES), "edges")
-    singles = edges.groupBy("anchor", "edge").agg(F.min(F.struct("doc", F.col("start").alias("first"))).alias("lead"), F.sum("count").alias("count"), *xor).filter("count > 1")
+    edges = scratch.stored(paths.select("anchor", "doc", "first", "n", "edges", "others").join(branching, "anchor", "left_semi").mapInArrow(_spread, _EDGES), "edges")
+    singles = edges.groupBy("anchor", "edge").agg(F.min(number("doc", "start")).alias("lead"), *sets).filter("count > 1")
     whole = distinct.filter("count > 1").join(branching, "anchor", "left_anti")
-    pieces = whole.select("lead.*", F.col("n").cast("long").alias("n"), F.lit(False).alias("by_edge"), F.col("path_a").alias("a"), F.col("path_b").alias("b"), *_SET).unionByName(
-        singles.select("lead.*", F.lit(1).cast("long").alias("n"), F.lit(True).alias("by_edge"), F.col("anchor").alias("a"), F.col("edge").alias("b"), *_SET)
+    pieces = whole.select("lead", F.col("n").cast("long").alias("n"), F.lit(False).alias("by_edge"), F.col("path_a").alias("a"), F.col("path_b").alias("b"), "begins", "ends").unionByName(
+        singles.select("lead", F.lit(1).cast("long").alias("n"), F.lit(True).alias("by_edge"), F.col("anchor").alias("a"), F.col("edge").alias("b"), "begins", "ends")
     )
-    pieces = scratch.stored(pieces, "pieces")
-    # The node before a piece has one way in and one way out if a piece ends where this one starts, in all places.
-    previous = pieces.select(F.col("ea").alias("sa"), F.col("eb").alias("sb"), F.lit(1).alias("inner"))
-    linked = pieces.join(previous.hint("merge"), ["sa", "sb"], "left")
+    pieces = scratch.stored(opened(pieces), "pieces")
+    # The node before a piece has one way in and one way out if a piece ends where
+    # this one begins, in all places, so in the first of them as well.
+    previous = pieces.select("doc", (F.col("first") + F.col("n")).alias("first"), F.col("ends").alias("begins"), F.lit(1).alias("inner"))
+    linked = pieces.join(previous.hint("merge"), ["doc", "first", "begins"], "left")
     # The sources of a chain's pieces follow one another in one document.
     chain = F.count_if(F.col("inner").isNull()).over(Window.partitionBy("doc").orderBy("first"))
-    grown = linked.withColumn("chain", chain).groupBy("doc", "chain").agg(F.min("first").alias("first"), F.sum("n").alias("length"), F.min_by(F.struct("by_edge", "a", "b"), "first").alias("begin"))
-    return scratch.stored(grown.select("doc", "first", "length", "begin.*"), "chains"), edges
+    grown = linked.withColumn("chain", chain).groupBy("doc", "chain").agg(F.min("first").alias("first"), F.sum("n").alias("length"), *[F.min_by(c, "first").alias(c) for c in ("by_edge", "a", "b")]).drop("chain")
+    return scratch.stored(grown, "chains"), edges
 
 
 def repeated_ranges(docs: DataFrame, parts: int, width: int) -> DataFrame:
