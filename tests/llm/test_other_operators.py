@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.data import frame, rows
-from turnlake.llm import media, packing, pii, toxicity
-from turnlake.llm.common import new_path
+from turnlake.llm import media, packing, pii, topk, toxicity
+from turnlake.llm.common import new_path, stored
 from turnlake.llm.tokenfile import TokenFile, read_tokens, write_tokens
 from turnlake.llm.topk import exact_topk, scaled, usable
 
@@ -51,10 +51,10 @@ def test_token_files_of_nothing(spark):
     assert read_tokens(spark, target).count() == 0
 
 
-@pytest.mark.parametrize("capacity", [16, 1024])
-def test_packing(spark, encoded, capacity, monkeypatch):
-    monkeypatch.setattr(packing, "PARTITION_PIECES", 20)
-    out = packing.pack_documents(frame(spark, repeat=False), PATH, capacity).collect()
+@pytest.mark.parametrize("capacity, pieces", [(16, 20), (1024, 20), (1024, 20_000)])
+def test_packing(spark, encoded, capacity, pieces):
+    made = packing.token_pieces(frame(spark, repeat=False), PATH, capacity)
+    out = packing.pack(stored(made, "pieces"), capacity, partition_pieces=pieces).collect()
     by, seq = defaultdict(list), defaultdict(list)
     for r in out:
         by[r.doc_id].append(r), seq[r.sequence_id].append(r)
@@ -71,6 +71,38 @@ def test_packing(spark, encoded, capacity, monkeypatch):
             at += r.length
         assert at <= capacity
     assert len(seq) <= packing.lower_bound(np.array([r.length for r in out]), capacity) * 1.02 + 1
+    _certified(out, capacity)
+
+
+def _certified(out, capacity):
+    """The sequences of each partition are counted, and no fewer hold its pieces."""
+    own = defaultdict(list)
+    for r in out:
+        if r.partition >= 0:
+            own[r.partition, r.bins, r.bound].append(r)
+    assert len({p for p, *_ in own}) == len(own)
+    for (_, bins, bound), some in own.items():
+        assert bins == len({r.sequence_id for r in some})
+        assert packing.lower_bound(np.array([r.length for r in some]), capacity) <= bound <= bins
+    full = {r.sequence_id for r in out if r.partition < 0}
+    assert sum(bins for _, bins, _ in own) + len(full) == len({r.sequence_id for r in out})
+
+
+def test_partitions_exchange_what_leaves_gaps(spark):
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(250, 560, 600)
+    df = stored(spark.createDataFrame([(i, 0, 0, int(n), 1, i) for i, n in enumerate(sizes)], packing._PIECES), "pieces")
+    alone = packing.pack(df, 1024, partition_pieces=40, rounds=0).collect()
+    out = packing.pack(df, 1024, partition_pieces=40).collect()
+    count = lambda rows_: len({r.sequence_id for r in rows_})
+    assert count(out) < count(alone) and max(r.partition for r in out) >= 1 << 24  # a round of exchange saved sequences
+    assert sorted(r.doc_id for r in out) == list(range(600)) and packing.lower_bound(sizes, 1024) <= count(out)
+    fill = defaultdict(list)
+    for r in out:
+        fill[r.sequence_id].append((r.offset, r.length))
+    for own in fill.values():
+        assert [o for o, _ in sorted(own)] == list(np.cumsum([0, *[n for _, n in sorted(own)]])[:-1]) and sum(n for _, n in own) <= 1024
+    _certified(alone, 1024), _certified(out, 1024)
 
 
 def test_bounds_and_best_fit():
@@ -150,6 +182,24 @@ def test_topk(spark):
     assert exact_topk(v.filter("vec_id = 0").withColumnRenamed("vec_id", "query_id"), v.filter("vec_id = 0")).count() == 0
 
 
+def test_topk_over_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 200)
+    monkeypatch.setattr(topk, "GROUP_ROWS", 7)
+    monkeypatch.setattr(topk, "SCORES", 500)
+    rng = np.random.default_rng(12)
+    x = rng.integers(-2, 3, (1_500, 6)) * (rng.random((1_500, 6)) < 0.4)  # sparse rows, many ties
+    v = spark.createDataFrame([(i, [int(y) for y in row]) for i, row in enumerate(x)], "vec_id long, v array<long>")
+    found = topk.exact_topk(v.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), v, 5).collect()
+    wanted = set()
+    for q in range(0, 1_500, 50):
+        score = x @ x[q]
+        order = [c for c in np.lexsort([np.arange(1_500), -score]).tolist() if c != q][:5]
+        wanted |= {(q, k + 1, c, int(score[c])) for k, c in enumerate(order)}
+    assert len(found) == 150 and {tuple(r) for r in found} == wanted
+    again = v.filter("vec_id = 0").withColumnRenamed("vec_id", "query_id").unionByName(spark.createDataFrame([(0, [-9] * 6)], "query_id long, v array<long>"))
+    assert [r.score for r in topk.exact_topk(again, v, 1).collect()] == [int((x[1:] @ np.full(6, -9)).max())]  # the least vector is asked
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(9)
     filler = [f"word{i}" for i in range(60)]

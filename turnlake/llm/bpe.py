@@ -57,6 +57,8 @@ class Vocabulary:
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         ids = {token: i for token, i in model["vocab"].items() if token.encode() not in self.special}
         self.size = max([*ids.values(), *self.special.values()]) + 1
+        if self.size > 1 << 16:
+            raise ValueError("ids are held in 16 bits: the vocabulary has more than 65,536 of them")
         self.token_bytes: list[bytes] = [b""] * self.size
         for token, i in ids.items():
             self.token_bytes[i] = bytes(back[c] for c in token)

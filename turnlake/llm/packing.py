@@ -126,14 +126,19 @@ def pack_once(pieces: DataFrame, parts: int, capacity: int, turn: int) -> DataFr
 
 
 def pack(pieces: DataFrame, capacity: int = 1024, partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, row, sequence_id, offset).
+    """(doc_id, piece, start, length, ids_crc32, row, sequence_id, offset,
+    partition, bins, bound).
 
     ``pieces`` must be stored (it is read more than once).  Full pieces are
     sequences of their own.  Every piece is packed once; an empty table gives an
-    empty result.
+    empty result.  ``bins`` is the number of sequences of the piece's partition
+    and ``bound`` the fewest that any packing of its pieces needs: where both are
+    equal the partition is certified.  A partition that still has a gap after
+    ``rounds``, or when a round has saved nothing, says so by them.
     """
+    prepare(pieces.sparkSession)
     keep = ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
-    full = pieces.filter(F.col("length") == capacity).select(*keep, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = pieces.filter(F.col("length") == capacity).select(*keep, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(-1).cast("long").alias("partition"), F.lit(1).cast("long").alias("bins"), F.lit(1).cast("long").alias("bound"))
     partial = pieces.filter(F.col("length") < capacity)
     parts = max(1, -(-partial.count() // partition_pieces))
     packed = stored(pack_once(partial, parts, capacity, 0), "packing")
@@ -154,11 +159,14 @@ def pack(pieces: DataFrame, capacity: int = 1024, partition_pieces: int = PARTIT
         again = stored(pack_once(released.select(*keep), max(1, -(-facts["n"] // (2 * partition_pieces))), capacity, turn), "packing")
         if again.filter(F.col("offset") == 0).count() >= facts["bins"]:
             break
-        # bins and bound of what stays: its sequences are counted anew, its bound is dropped.
-        rest = marked.filter(~F.col("loose")).drop("gap", "least", "loose").withColumn("bins", F.col("bound"))
+        # What stays is certified: full sequences alone of a partition with a gap; of any other
+        # all but r of n sequences, and if those needed fewer than n - r, the n weren't needed.
+        left = marked.filter(~F.col("loose")).drop("gap", "least", "loose", "bins", "bound")
+        counted = left.groupBy("turn", "part").agg(F.count_if(F.col("offset") == 0).alias("bins"))
+        rest = left.join(counted, ["turn", "part"]).withColumn("bound", F.col("bins"))
         packed = stored(rest.unionByName(again), "packing")
-    number = (F.col("turn").cast("long") * (1 << 20) + F.col("part")) * (1 << 32) + F.col("bin")
-    return packed.select(*keep, number.alias("sequence_id"), "offset").unionByName(full)
+    partition = F.col("turn").cast("long") * (1 << 24) + F.col("part")
+    return packed.select(*keep, (partition * (1 << 32) + F.col("bin")).alias("sequence_id"), "offset", partition.alias("partition"), "bins", "bound").unionByName(full)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

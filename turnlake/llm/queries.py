@@ -46,8 +46,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnlake.llm.jaccard import jaccard_classes
 
-    # The columns of its SQL; links are counted all the same.
-    return jaccard_classes(documents(spark, sf_dir), k=4, percent=85).drop("n_links")
+    return jaccard_classes(documents(spark, sf_dir), k=4, percent=85)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,9 +125,11 @@ ORACLE_SQL: dict[str, str] = {
             SELECT x AS node, x AS other FROM both_ways UNION SELECT reach.node, b.y FROM reach JOIN both_ways b ON reach.other = b.x
         ), m AS (
             SELECT node, min(other) AS component_id FROM reach GROUP BY node
+        ), l AS (
+            SELECT x AS node, count(*) AS n FROM both_ways GROUP BY x
         )
-        SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id
-        FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN m ON m.node = d.doc_id
+        SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id, coalesce(l.n, 0) AS n_links
+        FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN m ON m.node = d.doc_id LEFT JOIN l ON l.node = d.doc_id
     """,
     "op7_exact_topk": """
         WITH v AS (

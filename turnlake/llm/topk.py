@@ -5,6 +5,9 @@ cell scores all its pairs: the block's vectors become postings by component,
 and each component of the query rows adds its weighted postings into dense
 score arrays.  A cell keeps k rows a query; the cells' rows are merged by rank.
 Both sides of a cell are bounded by parameters; the queries are a stated set.
+An exhaustive search scores every pair, so what is moved grows with candidates
+times queries, divided by the rows of a block or a group: both are as large as a
+worker's memory allows.
 """
 
 from __future__ import annotations
@@ -16,8 +19,8 @@ from pyspark.sql import functions as F
 
 from turnlake.llm.common import prepare
 
-#: Candidates of a block, queries of a group, query rows scored at once.
-BLOCK_ROWS, GROUP_ROWS, SCORED_ROWS = 6_000, 4_096, 128
+#: Candidates of a block, queries of a group, scores held at once.
+BLOCK_ROWS, GROUP_ROWS, SCORES = 32_768, 32_768, 1 << 20
 
 
 def usable(vector: Column) -> Column:
@@ -40,15 +43,22 @@ def dense(lists: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def accumulate(queries: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Inner products, one component (term) at a time; zeros are no postings."""
-    scores = np.zeros((len(queries), len(block)), np.int64)
-    for term in range(queries.shape[1]):
-        rows, postings = np.flatnonzero(queries[:, term]), np.flatnonzero(block[:, term])
-        if len(rows) == len(queries) and len(postings) == len(block):
-            scores += queries[:, term, None] * block[None, :, term]
-        elif len(rows) and len(postings):
-            scores[np.ix_(rows, postings)] += queries[rows, term][:, None] * block[postings, term][None, :]
+def postings(block: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, weights) of each component (term); zeros are no postings."""
+    terms = np.ascontiguousarray(block.T)
+    return [(rows, term[rows]) for term in terms for rows in [np.flatnonzero(term)]]
+
+
+def accumulate(queries: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]], rows: int) -> np.ndarray:
+    """Inner products, one term at a time: each query that has the term scatters
+    its postings, weighted, into the query's score array."""
+    scores = np.zeros((len(queries), rows), np.int64)
+    for term, (at, weights) in enumerate(lists):
+        for q in np.flatnonzero(queries[:, term]).tolist():
+            if len(at) == rows:
+                scores[q] += queries[q, term] * weights
+            else:
+                scores[q, at] += queries[q, term] * weights
     return scores
 
 
@@ -73,9 +83,10 @@ def _cells(k: int):
             width = max(int(np.max(np.diff(t.column("v").combine_chunks().offsets.to_numpy()), initial=0)) for t in (block, queries))
             vectors, ids = dense(block.column("v"), width), block.column("vec_id").to_numpy()
             asked, query_ids = dense(queries.column("v"), width), queries.column("query_id").to_numpy()
-            for at in range(0, len(asked), SCORED_ROWS):
-                own = query_ids[at : at + SCORED_ROWS]
-                scores = accumulate(asked[at : at + SCORED_ROWS], vectors)
+            lists, step = postings(vectors), max(1, SCORES // len(ids))
+            for at in range(0, len(asked), step):
+                own = query_ids[at : at + step]
+                scores = accumulate(asked[at : at + step], lists, len(ids))
                 row, column = best(scores, own[:, None] != ids[None, :], k)
                 out.append(np.stack([own[row], ids[column], scores[row, column]]))
         found = np.concatenate(out, 1)
@@ -89,12 +100,12 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFra
 
     ``queries`` is (query_id, v array<long>), ``candidates`` (vec_id, v); ids
     that are null take no part, a query's own id is no candidate of it, ties go
-    to the smaller vec_id.  A query id that occurs again is asked once; repeated
-    candidate rows are candidates each.  With fewer than k candidates all are
+    to the smaller vec_id.  A query id that occurs again is asked once, with the
+    least of its vectors; repeated candidate rows are candidates each.  With fewer than k candidates all are
     returned, with none no row.  Sums are 64-bit and wrap beyond.
     """
     spark = prepare(candidates.sparkSession)
-    queries = queries.filter("query_id IS NOT NULL").dropDuplicates(["query_id"])
+    queries = queries.filter("query_id IS NOT NULL").groupBy("query_id").agg(F.min("v").alias("v"))
     candidates = candidates.filter("vec_id IS NOT NULL")
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n, asked = candidates.count(), queries.count()
