@@ -262,6 +262,47 @@ def test_pii(spark):
     assert m[5] not in " ".join(t or "" for t in other)
 
 
+def test_pii_strings_of_the_review(spark):
+    texts = [
+        "Mr. McDonald and Mrs. O'Brien, Frau Anna-Maria Schmidt", "Mr. Παπαδοπουλος, Mrs. Ελένη Παππά", "Mr. Հակոբյան", "John Smith and Mr. John Smith", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "41-11-11-11-11-11-11-11", "GB29 NWBK ABCD EFGH IJKL",
+    ]
+    out = {r.doc_id: r.text for r in pii.replace_pii(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), "key").collect()}
+    assert re.fullmatch(r"Mr\. [A-Z][a-z]+ and Mrs\. [A-Z][a-z]+, Frau [A-Z][a-z]+ [A-Z][a-z]+", out[0]) and not re.search("Mc|Donald|Brien|Anna|Maria|Schmidt", out[0])
+    assert re.fullmatch(r"Mr\. [\u0370-\u03ff]+, Mrs\. [\u0370-\u03ff]+ [\u0370-\u03ff]+", out[1]) and "Παπαδοπουλος" not in out[1] and out[1].split()[3][-1] in "αη"
+    assert re.fullmatch(r"Mr\. [\u0530-\u058f]+", out[2]) and out[2] != texts[2]
+    m = re.fullmatch(r"(\w+) (\w+) and Mr\. (\w+) (\w+)", out[3])
+    assert m and m[1] == m[3] != "John" and m[2] == m[4] != "Smith"
+    for i in (4, 5, 6):
+        assert out[i] != texts[i] and re.sub(r"[A-Z]", "A", re.sub(r"\d", "1", out[i])) == re.sub(r"[A-Z]", "A", re.sub(r"\d", "1", texts[i]))
+    assert luhn(out[4]) and luhn(out[5])
+
+
+def test_pii_equals_one_value_at_a_time(spark):
+    """Against plain Python: every place that re finds is swapped, by one map for the corpus, and nothing else changes."""
+    import random
+
+    rng = random.Random(5)
+    made = [lambda: f"{rng.choice('abc')}{rng.randrange(30)}@m{rng.randrange(3)}.org", lambda: f"{rng.randrange(100, 120)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 1100)}", lambda: ".".join(str(rng.randrange(1, 200)) for _ in range(4)), lambda: f"+1 ({rng.randrange(200, 220)}) 555-{rng.randrange(1000, 9999)}", lambda: "".join(rng.choice("0123456789abcdef") for _ in range(32))]
+    texts = [" ".join(rng.choice(made)() if rng.random() < 0.2 else rng.choice(["so", "12", "a.b", "1-2", "ok,"]) for _ in range(rng.randrange(60))) for _ in range(150)]
+    pattern = re.compile("|".join(f"(?:{pii.PATTERNS[t]})" for t in ("email", "token", "ip", "phone", "ssn", "card")))
+    out = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), "key").collect()}
+    swaps = {}
+    for i, text in enumerate(texts):
+        found = pattern.findall(text)
+        between = pattern.split(text)
+        assert out[i].n_replaced == len(found)
+        rest = out[i].text
+        for k, value in enumerate(found):
+            assert rest.startswith(between[k])
+            rest = rest[len(between[k]) :]
+            octets = re.match(pii.PATTERNS["ip"], rest) if re.fullmatch(pii.PATTERNS["ip"], value) else None
+            new = octets[0] if octets else rest[: len(value)]  # all others keep their length
+            assert swaps.setdefault(value, new) == new != value and re.sub("[a-z]", "a", re.sub(r"[0-9]+", "1", new)) == re.sub("[a-z]", "a", re.sub(r"[0-9]+", "1", value)) or len(value) == 32
+            rest = rest[len(new) :]
+        assert rest == between[-1]
+    assert len(set(swaps.values())) == len(swaps) > 300 and not set(swaps) & set(swaps.values())
+
+
 def test_pii_surrogates_are_distinct(spark):
     # 300 values in a format with few surrogates: collisions are sure to come.
     values = spark.createDataFrame([("ssn", f"{i:03d}-{i % 7:02d}-{i:04d}") for i in range(300)] + [("email", f"{a}@{b}.org") for a in "abcdefghij" for b in "klmnopqrst"] + [("surname", f"N{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(600)], "kind string, value string")

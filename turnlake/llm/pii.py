@@ -53,12 +53,15 @@ _HINT = rf"[0-9]{{3}}|[0-9][ .\-][0-9]|[A-Z]{{2}}[0-9]{{2}}|\+[0-9]|@|password=|
 #: Name parts by script; a surrogate name joins parts chosen by the key.
 _SYLLABLES = {
     "latin": (["Bar", "Cal", "Dor", "Fen", "Gar", "Hol", "Kel", "Lan", "Mar", "Nor", "Pel", "Ros", "Sel", "Tor", "Ver", "Wil"], ["a", "e", "i", "o", "an", "el", "in", "or"], ["den", "ford", "lin", "man", "mer", "ner", "sen", "ton"]),
+    "greek": (["Βαρ", "Γερ", "Δημ", "Ζαν", "Θωμ", "Καλ", "Λαμ", "Μαρ", "Νικ", "Παπ", "Ραλ", "Σαρ", "Ταν", "Φιλ", "Χαρ", "Ψαλ"], ["α", "ε", "ι", "ο", "αν", "ελ", "ιν", "ορ"], ["άκης", "ίδης", "όπουλος", "έλης", "άτος", "ίνης", "ούδης", "ώνης"]),
+    "armenian": (["Բար", "Գեր", "Դան", "Զար", "Թոր", "Կար", "Լեւ", "Մար", "Նար", "Պետ", "Ռաֆ", "Սար", "Տիգ", "Վար", "Քար", "Ֆիլ"], ["ա", "ե", "ի", "ո", "ան", "ել", "ին", "որ"], ["յան", "ունի", "ենց", "ացի", "ուրի", "անց", "իկյան", "ոսյան"]),
     "cyrillic": (["Бар", "Вол", "Гор", "Дан", "Зар", "Кал", "Лев", "Мар", "Нов", "Пол", "Рос", "Сав", "Тар", "Фед", "Хол", "Яр"], ["а", "е", "и", "о", "ан", "ел", "ин", "ор"], ["ко", "лин", "ман", "мер", "нев", "сен", "тин", "шин"]),
 }
-_ENDINGS = {"male": {"latin": ["us", "o", "er", "en"], "cyrillic": ["ий", "ил", "ор", "ан"]}, "female": {"latin": ["a", "ia", "ine", "elle"], "cyrillic": ["а", "ия", "ина", "ета"]}}
+_ENDINGS = {"male": {"latin": ["us", "o", "er", "en"], "greek": ["ος", "ης", "ας", "ων"], "armenian": ["են", "ակ", "ատ", "ոս"], "cyrillic": ["ий", "ил", "ор", "ан"]}, "female": {"latin": ["a", "ia", "ine", "elle"], "greek": ["α", "η", "ία", "ούλα"], "armenian": ["ա", "ուհի", "ինե", "իա"], "cyrillic": ["а", "ия", "ина", "ета"]}}
 
-#: Rounds of derivation; a format too narrow for its values is then widened.
-ROUNDS = 12
+#: Rounds of derivation within the format, of which each draws only for the values
+#: that collided before; a format that is all but used up is then widened.
+ROUNDS = 48
 
 
 def _digest(key: str, kind: Column, value: Column, turn: int) -> Column:
@@ -112,7 +115,10 @@ def _name(kind: Column, value: Column, digest: Column, turn: int) -> Column:
         given = {g: F.concat(stem, _pick(_ENDINGS[g][script], _byte(digest, F.lit(2)))) for g in _ENDINGS}
         return F.when(kind == "given male", given["male"]).when(kind == "given female", given["female"]).otherwise(F.concat(stem, _pick(last, _byte(digest, F.lit(3)))))
 
-    return F.when(value.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
+    made = of("latin")
+    for script in ("armenian", "greek", "cyrillic"):
+        made = F.when(value.rlike(rf"\p{{Is{script.capitalize()}}}"), of(script)).otherwise(made)
+    return made
 
 
 def surrogate(key: str, kind: Column, value: Column, turn: int) -> Column:
@@ -162,8 +168,10 @@ def assign(parts: DataFrame, key: str) -> DataFrame:
     none that is itself a value found in the corpus."""
     real = parts.select(F.col("value").alias("made")).distinct()
     pending, accepted = parts, None
+    cores = parts.sparkSession.sparkContext.defaultParallelism
     for turn in range(ROUNDS + 8):
-        made = pending.withColumn("made", surrogate(key, F.col("kind"), F.col("value"), turn)).join(real, "made", "left_anti")
+        # Few bytes but dear to derive: over all cores, whatever their size says.
+        made = pending.repartition(2 * cores).withColumn("made", surrogate(key, F.col("kind"), F.col("value"), turn)).join(real, "made", "left_anti")
         if accepted is not None:
             made = made.join(accepted.select(F.col("surrogate").alias("made")), "made", "left_anti")
         # One of each group of equal candidates: a minimum, combined before the shuffle.
@@ -173,7 +181,7 @@ def assign(parts: DataFrame, key: str) -> DataFrame:
         pending = pending.join(won, ["kind", "value"], "left_anti")
         if pending.isEmpty():
             return accepted
-    raise RuntimeError("no free surrogate was found")
+    raise ValueError("no free surrogate was found")
 
 
 def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -184,14 +192,16 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     are unchanged.  A name found after a title is also replaced where it stands
     alone in the same row; such places count in n_replaced.  Rows that repeat an id are replaced each by itself, and null
     ids are allowed: a value's surrogate doesn't depend on its row.  With other
-    keys, all surrogates differ.
+    keys, all surrogates differ.  A ValueError tells of a format so full that no
+    surrogate is left even when it is widened.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry or []]).alias("carried"))
     found = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
-    marked = docs.withColumn("found", F.when(F.col("text").rlike(_HINT), found))
-    some = F.size(F.coalesce("found", F.array().cast("array<string>"))) > 0
-    plain = marked.filter(~some).select("doc_id", "text", F.lit(0).alias("n_replaced"), "carried")
-    hits = stored(marked.filter(some).withColumn("row", F.monotonically_increasing_id()), "pii")  # only texts that hold a value
+    # Every text is scanned once: what was found is written with it.
+    marked = docs.withColumn("found", F.coalesce(F.when(F.col("text").rlike(_HINT), found), F.array().cast("array<string>")))
+    marked = stored(marked.withColumn("row", F.monotonically_increasing_id()), "pii")
+    plain = marked.filter(F.size("found") == 0).select("doc_id", "text", F.lit(0).alias("n_replaced"), "carried")
+    hits = marked.filter(F.size("found") > 0)
     values = hits.select(F.explode("found").alias("value")).distinct().withColumn("kind", _kind(F.col("value")))
     split = stored(values.withColumn("parts", _parts(F.col("kind"), F.col("value"))).select("value", F.posexplode("parts").alias("at", "part")).select("value", "at", "part.kind", F.col("part.value").alias("own")), "pii-parts")
     chosen = assign(split.filter("kind <> 'title'").select("kind", F.col("own").alias("value")).distinct(), key)
