@@ -153,6 +153,38 @@ def test_media_store(spark):
     assert media.MediaStore.write(frame(spark, [], repeat=False)).features().count() == 0
 
 
+def test_damaged_media_are_refused(spark):
+    docs = frame(spark, repeat=False)
+    store = media.MediaStore.write(docs)
+    whole = spark.table(store.chunk_table)
+    other = whole.filter(F.octet_length("packed") > 60).select(F.min("packed")).first()[0]
+    whole.withColumn("packed", F.when(F.col("digest") == whole.select(F.max("digest")).first()[0], F.lit(other)).otherwise(F.col("packed"))).write.saveAsTable("damaged_chunks", mode="overwrite")
+    with pytest.raises(Exception, match="doesn't match its digest"):
+        media.MediaStore(spark, store.media, "damaged_chunks", store.dictionary).read().count()
+    short = store.media.withColumn("chunks", F.when(F.size("chunks") > 1, F.slice("chunks", 1, 1)).otherwise(F.col("chunks")))
+    with pytest.raises(Exception, match="don't add up"):
+        media.MediaStore(spark, short, store.chunk_table, store.dictionary).read().count()
+    wrong = store.media.withColumn("header", F.lit(b"RIFF"))
+    with pytest.raises(Exception, match="don't add up"):
+        media.MediaStore(spark, wrong, store.chunk_table, store.dictionary).features().collect()
+    spark.sql("DROP TABLE damaged_chunks")
+
+
+def test_cuts_equal_a_rolling_scan():
+    rng = np.random.default_rng(10)
+    gear = [int(x) for x in np.random.default_rng(64).integers(0, 1 << 64, 256, dtype=np.uint64)]
+    texts = [rng.integers(0, 30, n).astype(np.uint8) for n in (0, 1, 511, 513, 5_000, 60_000)]
+    data, offsets = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    for text, start, ends in zip(texts, offsets[:-1].tolist(), media.cuts(data, offsets), strict=True):
+        want, at, h = [], 0, 0
+        for i, byte in enumerate(text.tolist()):
+            h = ((h << 1) + gear[byte]) % (1 << 64)  # after 64 bytes only those count
+            if i + 1 - at >= media.LEAST and (h >> (64 - media.AVERAGE_BITS) == 0 or i + 1 - at == media.MOST) and i + 1 < len(text):
+                want.append(i + 1)
+                at = i + 1
+        assert [e - start for e in ends] == [*want, len(text)]
+
+
 def test_cuts_follow_content():
     rng = np.random.default_rng(8)
     body = rng.integers(0, 256, 300_000).astype(np.uint8)

@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from turnlake.llm.arrowtext import blocks
 from turnlake.llm.common import only, prepare, stored
 
-#: Bytes: no cut before, on average about, and at the latest so far from the
-#: last cut.  The window of the gear hash is 64 bytes.
-LEAST, AVERAGE_BITS, MOST, WINDOW = 2_048, 13, 65_536, 64
+#: Bytes: no cut before, on average about (2 to the bits) after that, and at the
+#: latest so far from the last cut.  The window of the gear hash is 64 bytes.
+LEAST, AVERAGE_BITS, MOST, WINDOW = 1_024, 12, 32_768, 64
 
 #: A bounded sample trains the dictionary that short chunks are packed with:
 #: so many texts, so many characters of each.  It changes sizes only.
@@ -104,7 +104,11 @@ def recipes(docs: DataFrame) -> DataFrame:
 def _dictionary(docs: DataFrame) -> bytes:
     import zstandard
 
-    sample = docs.filter("length(text) > 64").select("doc_id", F.substring("text", 1, DICTIONARY_CHARS).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_TEXTS)
+    # Rows below a threshold of a hash of id and place: some more than are wanted, however many tasks scan.
+    rows = docs.count()
+    draw = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1 << 31))
+    few = docs.withColumn("draw", draw).filter(F.col("draw") * max(rows, 1) < 2 * DICTIONARY_TEXTS * (1 << 31)).filter("length(text) > 64")
+    sample = few.select("draw", "doc_id", F.substring("text", 1, DICTIONARY_CHARS).alias("text")).orderBy("draw", "doc_id").limit(DICTIONARY_TEXTS)
     texts = [r["text"].encode() for r in sample.collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes() if len(texts) >= 64 else b""
@@ -162,8 +166,9 @@ class MediaStore:
         return cls(spark, media, name, dictionary)
 
     def parts(self) -> DataFrame:
-        """(media_id, at, n, packed) of every chunk of every media row."""
-        listed = self.media.select("media_id", F.size("chunks").alias("n"), F.posexplode("chunks").alias("at", "digest"))
+        """(media_id, header, payload_bytes, at, n, digest, packed) of every chunk of
+        every media row."""
+        listed = self.media.select("media_id", "header", "payload_bytes", F.size("chunks").alias("n"), F.posexplode("chunks").alias("at", "digest"))
         return listed.join(self.spark.table(self.chunk_table), "digest")
 
     def read(self) -> DataFrame:
@@ -200,26 +205,27 @@ class MediaStore:
                 raise ValueError("a stored chunk doesn't match its digest")
             return out
 
-        def rows(ids: list[int], payload: list[bytes]) -> list[pa.Array]:
-            made = compute([header(len(p)) + p for p in payload], payload)
-            return [pa.array(ids, pa.int64()), *(made[c] for c in columns)]
+        def rows(ids: list[int], heads: list[bytes], sizes: list[int], payload: list[bytes]) -> pa.RecordBatch:
+            if any(len(p) != n or h != header(n) for p, n, h in zip(payload, sizes, heads, strict=True)):
+                raise ValueError("the chunks of a medium don't add up to what its header says")
+            made = compute([h + p for h, p in zip(heads, payload, strict=True)], payload)
+            return pa.record_batch([pa.array(ids, pa.int64()), *(made[c] for c in columns)], names=["media_id", *columns])
 
         def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 500):
-                    some = batch.slice(at, 500)
-                    yield pa.record_batch(rows(some.column(0).to_pylist(), opened(some.column(1).to_pylist(), some.column(2).to_pylist())), names=["media_id", *columns])
+                    ids, heads, sizes, packed, digests = (c.to_pylist() for c in batch.slice(at, 500).columns)
+                    yield rows(ids, heads, sizes, opened(packed, digests))
 
         def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for i in range(batch.num_rows):
-                    parts = batch.column(1)[i].as_py()
-                    payload = b"".join(opened([p["packed"] for p in parts], [p["digest"] for p in parts]))
-                    yield pa.record_batch(rows([batch.column(0)[i].as_py()], [payload]), names=["media_id", *columns])
+                for at in range(0, batch.num_rows, 50):
+                    ids, heads, sizes, parts = (c.to_pylist() for c in batch.slice(at, 50).columns)
+                    yield rows(ids, heads, sizes, [b"".join(opened([p["packed"] for p in x], [p["digest"] for p in x])) for x in parts])
 
         # A medium of one chunk is whole where the join finds it; only the chunks
         # of longer ones travel on to their medium.
         parts = self.parts()
-        alone = parts.filter("n = 1").select("media_id", "packed", "digest").mapInArrow(single, f"media_id long, {schema}")
-        many = parts.filter("n > 1").groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("at", "digest", "packed"))).alias("parts")).mapInArrow(joined, f"media_id long, {schema}")
+        alone = parts.filter("n = 1").select("media_id", "header", "payload_bytes", "packed", "digest").mapInArrow(single, f"media_id long, {schema}")
+        many = parts.filter("n > 1").groupBy("media_id").agg(F.first("header").alias("header"), F.first("payload_bytes").alias("payload_bytes"), F.array_sort(F.collect_list(F.struct("at", "digest", "packed"))).alias("parts")).mapInArrow(joined, f"media_id long, {schema}")
         return alone.unionByName(many)
