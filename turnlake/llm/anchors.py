@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from turnlake.llm.arrowtext import blocks
 
 #: Bytes of text in one part of the corpus, and parts for each core of the cluster at least.
-PART_BYTES, PARTS_A_CORE = 12 << 20, 2
+PART_BYTES, PARTS_A_CORE = 8 << 20, 2
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
