@@ -27,6 +27,22 @@ def document_metrics(sections: DataFrame) -> DataFrame:
     return wide.withColumn("overall_kw_ai_ratio", guarded_ratio(hits, F.col("speech_total_sentences") + F.col("qa_total_sentences")))
 
 
+def any_document_metrics(df: DataFrame) -> DataFrame:
+    """Document metrics of whatever is given: documents with the overall ratio
+    as they are, sections put side by side, and of counts alone the ratio of all
+    topical sentences; a ValueError if it can't be formed."""
+    have = {*df.columns}
+    if "overall_kw_ai_ratio" in have:
+        return df
+    if {"doc_id", "section", "total_sentences", "kw_ai_sentences", "kw_ai_ratio"} <= have:
+        return document_metrics(df)
+    sides = ("speech", "qa")
+    if {f"{s}_{c}" for s in sides for c in ("kw_ai_sentences", "total_sentences")} <= have:
+        of = lambda c: sum((F.coalesce(f"{s}_{c}", F.lit(0)) for s in sides), F.lit(0))
+        return df.withColumn("overall_kw_ai_ratio", guarded_ratio(of("kw_ai_sentences"), of("total_sentences")))
+    raise ValueError("neither a ratio nor the counts to form it")
+
+
 def keyword_metrics(sentences: DataFrame) -> DataFrame:
     """Five keyword measures for each of the two sections of a document."""
     columns = []

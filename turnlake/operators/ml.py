@@ -3,6 +3,8 @@ are judged on folds or later quarters.  Fits use pyspark.ml."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import LDA
@@ -129,6 +131,19 @@ def topics(docs: DataFrame, seed: int = 42, stop: list[str] | None = None, top:
     return described, mixed.withColumn("dominant_topic", dominant("mixture")).withColumn("confidence", F.array_max("mixture"))
 
 
+def topics_by_quarter(docs: DataFrame, seed: int = 42, stop: list[str] | None = None, top: int = 10) -> tuple[DataFrame, DataFrame] | None:
+    """The same for every quarter of (doc_id, year, quarter, text), one model
+    each, with year and quarter in both frames; quarters with too few texts give
+    none, and None is returned if no quarter gives any."""
+    quarters = sorted((r[0], r[1]) for r in docs.select("year", "quarter").dropna().distinct().collect())  # a bounded calendar
+    out: list[tuple[DataFrame, DataFrame]] = []
+    for year, quarter in quarters:
+        own = topics(docs.filter((F.col("year") == year) & (F.col("quarter") == quarter)).select("doc_id", "text"), seed, stop, top)
+        if own:
+            out.append(tuple(df.select(F.lit(year).alias("year"), F.lit(quarter).alias("quarter"), "*") for df in own))
+    return (reduce(DataFrame.unionByName, [a for a, _ in out]), reduce(DataFrame.unionByName, [b for _, b in out])) if out else None
+
+
 def principal(df: DataFrame, column: str, k: int = 2) -> DataFrame:
     """Add ``pca``, the k first principal components of an array column."""
     v = df.withColumn("_v", array_to_vector(F.col(column).cast("array<double>")))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.functions.scalars import open_ratio, positive_flag
+from turnlake.operators.ordered import bucketed, running
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -97,8 +98,8 @@ def winsorised(df: DataFrame, columns: list[str], low: float = 0.01, high: float
 
 def deciles(df: DataFrame, value: str, order: list[str], bins: int = 10) -> DataFrame:
     """Quantile bins of the first-come rank, 0 to bins - 1."""
-    ranked = df.filter(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(Window.orderBy(value, *order))).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    return ranked.withColumn("decile", F.greatest(F.ceil((F.col("_r") - 1) * bins / F.greatest(F.col("_n") - 1, F.lit(1))) - 1, F.lit(0)).cast("int")).drop("_r", "_n")
+    ranked = running(bucketed(df.filter(F.col(value).isNotNull()), value), [value, *order], {"r": F.lit(1)})
+    return ranked.withColumn("decile", F.greatest(F.ceil(F.col("_r_before") * bins / F.greatest(F.col("_r_all") - 1, F.lit(1))) - 1, F.lit(0)).cast("int")).drop("_r_before", "_r_all")
 
 
 def covering(df: DataFrame, key: str, value: F.Column, wanted: list) -> DataFrame:

@@ -50,13 +50,19 @@ def threshold(df: DataFrame, column: str, rule: str = "mean") -> Column:
 QUADRANTS = ["Aligned", "Passive", "Self-Promoting", "Silent"]
 
 
-def quadrants(df: DataFrame, x: str, y: str, rule: str = "mean", inclusive: bool = False) -> DataFrame:
+#: The same four in the words of the association chart: x is topic, y analysts' share.
+ASSOCIATION = ["High-High", "Low AI / High Analyst", "High AI / Low Analyst", "Low-Low"]
+
+
+def quadrants(df: DataFrame, x: str, y: str, rule: str = "mean", inclusive: bool = False, labels: list[str] | None = None) -> DataFrame:
     """Label by both cuts: high x and y Aligned, low x high y Passive, high x
-    low y Self-Promoting, else Silent.  ``inclusive``: a value at the cut is high."""
+    low y Self-Promoting, else Silent, or the four ``labels`` in that order.
+    ``inclusive``: a value at the cut is high."""
+    both, second, first, neither = labels or QUADRANTS
     cuts = F.broadcast(df.agg(threshold(df, x, rule).alias("_x"), threshold(df, y, rule).alias("_y")))  # one row
     high = (lambda v, c: F.col(v) >= F.col(c)) if inclusive else (lambda v, c: F.col(v) > F.col(c))
     a, b = F.coalesce(high(x, "_x"), F.lit(False)), F.coalesce(high(y, "_y"), F.lit(False))
-    label = F.when(a & b, "Aligned").when(~a & b, "Passive").when(a, "Self-Promoting").otherwise("Silent")
+    label = F.when(a & b, both).when(~a & b, second).when(a, first).otherwise(neither)
     return df.crossJoin(cuts).withColumn("quadrant", label).drop("_x", "_y")
 
 

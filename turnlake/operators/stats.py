@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnlake.operators.ordered import bucketed, running
+
 
 def _sums(df: DataFrame, x: list[str], y: str) -> tuple[np.ndarray, np.ndarray, int]:
     """X'X, X'y and n, with a constant first."""
@@ -38,11 +40,7 @@ def ols_hc1(df: DataFrame, x: list[str], y: str) -> list[dict]:
         for j in range(i, k):
             meat[i, j] = meat[j, i] = row[f"m{i}_{j}"] or 0.0
     cov = inverse @ meat @ inverse * n / max(n - k, 1)
-    out = []
-    for name, v, s in zip(["Intercept", *x], beta, np.sqrt(np.maximum(np.diag(cov), 0)), strict=True):
-        z = v / s if s > 0 else 0.0
-        out.append({"term": name, "coef": float(v), "std_err": float(s), "z": float(z), "p": math.erfc(abs(z) / math.sqrt(2)), "n": n})
-    return out
+    return _terms(["Intercept", *x], beta, cov, n)
 
 
 def demeaned(df: DataFrame, columns: list[str], groups: list[str], rounds: int = 20) -> DataFrame:
@@ -54,48 +52,110 @@ def demeaned(df: DataFrame, columns: list[str], groups: list[str], rounds: int =
     return df
 
 
-def fixed_effects(df: DataFrame, x: list[str], y: str, effects: list[str], least: int = 400) -> list[dict]:
-    """OLS with dummies of the effects, on complete rows; none below ``least``.
+#: Levels of all effects together; their normal matrix is solved on the driver.
+LEVELS = 4_000
+
+
+class _Dummies:
+    """Sums over regressors and the dummies of effects, by grouping rather than
+    by one expression for each pair: only cells that hold rows are returned."""
+
+    def __init__(self, rows: DataFrame, x: list[str], effects: list[str]):
+        self.x, self.effects = ["Intercept", *x], effects
+        self.columns = [F.lit(1.0), *[F.col(c).cast("double") for c in x]]
+        self.levels, self.names = {}, list(self.x)
+        for g in effects:
+            found = sorted(r[0] for r in rows.select(F.col(g).cast("string")).distinct().limit(LEVELS + 1).collect())[1:]
+            self.levels[g] = {v: len(self.names) + i for i, v in enumerate(found)}
+            self.names += [f"{g}[{v}]" for v in found]
+        if len(self.names) > LEVELS:
+            raise ValueError(f"more than {LEVELS} levels: take their means out first (demeaned)")
+
+    def products(self, rows: DataFrame, weight: Column) -> np.ndarray:
+        """D'WD of the design D with a weight for each row."""
+        k, m = len(self.names), len(self.x)
+        out = np.zeros((k, k))
+        pairs = [(i, j) for i in range(m) for j in range(i, m)]
+        row = rows.agg(*[F.sum(self.columns[i] * self.columns[j] * weight) for i, j in pairs]).first()
+        for (i, j), v in zip(pairs, row, strict=True):
+            out[i, j] = out[j, i] = v or 0.0
+        for a, g in enumerate(self.effects):
+            for r in rows.groupBy(F.col(g).cast("string")).agg(*[F.sum(c * weight) for c in self.columns]).collect():
+                if (at := self.levels[g].get(r[0])) is not None:
+                    out[at, :m] = out[:m, at] = r[1:]
+                    out[at, at] = r[1]
+            for h in self.effects[a + 1 :]:
+                for r in rows.groupBy(F.col(g).cast("string"), F.col(h).cast("string")).agg(F.sum(weight)).collect():
+                    i, j = self.levels[g].get(r[0]), self.levels[h].get(r[1])
+                    if i is not None and j is not None:
+                        out[i, j] = out[j, i] = r[2]
+        return out
+
+    def sums(self, rows: DataFrame, value: Column) -> np.ndarray:
+        """D'v."""
+        out = np.zeros(len(self.names))
+        out[: len(self.x)] = [v or 0.0 for v in rows.agg(*[F.sum(c * value) for c in self.columns]).first()]
+        for g in self.effects:
+            for r in rows.groupBy(F.col(g).cast("string")).agg(F.sum(value)).collect():
+                if (at := self.levels[g].get(r[0])) is not None:
+                    out[at] = r[1]
+        return out
+
+    def fitted(self, rows: DataFrame, beta: np.ndarray) -> DataFrame:
+        """Add ``_fitted``; the levels' coefficients are joined, at most LEVELS."""
+        total = sum((c * float(b) for c, b in zip(self.columns, beta, strict=False)), F.lit(0.0))
+        for i, g in enumerate(self.effects):
+            known = rows.sparkSession.createDataFrame([(v, float(beta[at])) for v, at in self.levels[g].items()], f"_g{i} string, _b{i} double")
+            rows = rows.join(F.broadcast(known), F.col(g).cast("string") == F.col(f"_g{i}"), "left")
+            total = total + F.coalesce(f"_b{i}", F.lit(0.0))
+        return rows.withColumn("_fitted", total).drop(*[f"_{c}{i}" for c in "gb" for i in range(len(self.effects))])
+
+
+def _terms(names: list[str], beta: np.ndarray, cov: np.ndarray, n: int) -> list[dict]:
+    out = []
+    for name, v, s in zip(names, beta, np.sqrt(np.maximum(np.diag(cov), 0)), strict=True):
+        z = v / s if s > 0 else 0.0
+        out.append({"term": name, "coef": float(v), "std_err": float(s), "z": float(z), "p": math.erfc(abs(z) / math.sqrt(2)), "n": n})
+    return out
+
 
-    The dummies are spelled out: their number is the number of groups, and the
-    normal matrix is what reaches the driver.
-    """
+def fixed_effects(df: DataFrame, x: list[str], y: str, effects: list[str], least: int = 400, dummies: bool = False) -> list[dict]:
+    """OLS with dummies of the effects and HC1 errors, on complete rows; none
+    below ``least``.  With ``dummies`` their coefficients are returned as well."""
     rows = df.dropna(subset=[*x, y, *effects])
-    if rows.count() < least:
+    n = rows.count()
+    if n < least:
         return []
-    names = []
-    for g in effects:
-        levels = sorted(r[0] for r in rows.select(F.col(g).cast("string")).distinct().collect())[1:]
-        for i, v in enumerate(levels):
-            names.append(f"_{g}_{i}")
-            rows = rows.withColumn(names[-1], (F.col(g).cast("string") == v).cast("double"))
-    return [r for r in ols_hc1(rows, [*x, *names], y) if r["term"] in ("Intercept", *x)]
-
-
-def poisson(df: DataFrame, x: list[str], y: str, steps: int = 25) -> list[dict]:
-    """Poisson regression by reweighted least squares, HC1 errors."""
-    rows = df.dropna(subset=[*x, y])
+    design = _Dummies(rows, x, effects)
+    inverse = np.linalg.pinv(design.products(rows, F.lit(1.0)))
+    beta = inverse @ design.sums(rows, F.col(y).cast("double"))
+    error = F.col(y) - F.col("_fitted")
+    cov = inverse @ design.products(design.fitted(rows, beta), error * error) @ inverse * n / max(n - len(beta), 1)
+    out = _terms(design.names, beta, cov, n)
+    return out if dummies else out[: len(x) + 1]
+
+
+def poisson(df: DataFrame, x: list[str], y: str, steps: int = 25, effects: list[str] | None = None, least: int = 1) -> list[dict]:
+    """Poisson regression by reweighted least squares, HC1 errors, with dummies
+    of ``effects`` if there are any; none below ``least`` complete rows."""
+    effects = effects or []
+    rows = df.dropna(subset=[*x, y, *effects])
     n, total = rows.agg(F.count("*"), F.sum(y)).first()
-    beta = np.zeros(len(x) + 1)
-    beta[0] = math.log(max((total or 0) / max(n, 1), 1e-9))
-    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in x]]
-    k = len(cols)
+    if n < least or not total:
+        return []
+    design = _Dummies(rows, x, effects)
+    beta = np.zeros(len(design.names))
+    beta[0] = math.log(total / n)
     for _ in range(steps + 1):
-        eta = sum((c * float(v) for c, v in zip(cols, beta, strict=True)), F.lit(0.0))
-        mu, e = F.exp(eta), F.col(y) - F.exp(eta)
-        pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        row = rows.agg(*[F.sum(cols[i] * cols[j] * mu) for i, j in pairs], *[F.sum(c * e) for c in cols], *[F.sum(cols[i] * cols[j] * e * e) for i, j in pairs]).first()
-        h, m = np.zeros((k, k)), np.zeros((k, k))
-        for at, (i, j) in enumerate(pairs):
-            h[i, j] = h[j, i] = row[at]
-            m[i, j] = m[j, i] = row[len(pairs) + k + at]
-        inverse = np.linalg.pinv(h)
-        step = inverse @ np.array(row[len(pairs) : len(pairs) + k], float)
-        if np.abs(step).max() < 1e-10:
+        now = design.fitted(rows, beta)
+        mu, e = F.exp("_fitted"), F.col(y) - F.exp("_fitted")
+        inverse = np.linalg.pinv(design.products(now, mu))
+        step = inverse @ design.sums(now, e)
+        if np.abs(step).max() < 1e-9:
             break
         beta = beta + step
-    errors = np.sqrt(np.maximum(np.diag(inverse @ m @ inverse) * n / max(n - k, 1), 0))
-    return [{"term": t, "coef": float(b), "std_err": float(s), "n": n} for t, b, s in zip(["Intercept", *x], beta, errors, strict=True)]
+    cov = inverse @ design.products(now, e * e) @ inverse * n / max(n - len(beta), 1)
+    return _terms(design.names, beta, cov, n)[: len(x) + 1]
 
 
 def kendall_tau(pairs: DataFrame, a: str, b: str) -> float:
@@ -135,13 +195,17 @@ def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
         load[f] += r["count"]
         placed.append((r[0], f))
     kind = df.schema[group].dataType.simpleString()
-    return df.join(F.broadcast(df.sparkSession.createDataFrame(placed, f"`{group}` {kind}, fold int")), group)
+    return df.join(df.sparkSession.createDataFrame(placed, f"`{group}` {kind}, fold int"), group)
 
 
 def hash_folds(df: DataFrame, key: str, k: int = 5, seed: int = 0, stratum: str | None = None) -> DataFrame:
     """Folds of near equal size, by stratum if there is one, in hash order."""
-    w = Window.partitionBy(stratum) if stratum else Window.partitionBy()
-    return df.withColumn("fold", F.pmod(F.row_number().over(w.orderBy(F.xxhash64(key, F.lit(seed)), key)) - 1, F.lit(k)))
+    hashed = df.withColumn("_h", F.xxhash64(key, F.lit(seed)))
+    if stratum:
+        rank = F.row_number().over(Window.partitionBy(stratum).orderBy("_h", key)) - 1
+        return hashed.withColumn("fold", F.pmod(rank, F.lit(k)).cast("int")).drop("_h")
+    spread = hashed.withColumn("_bucket", F.shiftright("_h", 56) + 128)  # 256 of equal width
+    return running(spread, ["_h", key], {"r": F.lit(1)}).withColumn("fold", F.pmod("_r_before", F.lit(k)).cast("int")).drop("_h", "_r_before", "_r_all")
 
 
 def classification_metrics(df: DataFrame, label: str, score: str, cut: float = 0.5) -> DataFrame:
@@ -154,21 +218,19 @@ def classification_metrics(df: DataFrame, label: str, score: str, cut: float = 0
 
 
 def roc_auc(df: DataFrame, label: str, score: str, one_class: float | None = 0.5) -> DataFrame:
-    """(auc): the mean-rank statistic.  Scores are counted first, so the ordered
-    window runs over distinct scores, not over rows."""
+    """(auc): the mean-rank statistic, over counts by distinct score."""
     s = df.dropna(subset=[label, score]).groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = s.withColumn("w", F.col("p") * (below + F.col("n") / 2))
-    auc = F.try_divide(F.sum("w"), (F.sum("p") * F.sum("n")).cast("double"))
-    return wins.agg(F.coalesce(auc, F.lit(one_class).cast("double")).alias("auc"))
+    below = running(bucketed(s, score), [score], {"n": F.col("n")})
+    auc = F.try_divide(F.sum(F.col("p") * (F.col("_n_before") + F.col("n") / 2)), (F.sum("p") * F.sum("n")).cast("double"))
+    return below.agg(F.coalesce(auc, F.lit(one_class).cast("double")).alias("auc"))
 
 
 def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """(threshold, tpr, fpr) at each distinct score, descending."""
     s = df.dropna(subset=[label, score]).groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
-    up, every = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    rate = lambda c: F.coalesce(F.try_divide(F.sum(c).over(up).cast("double"), F.sum(c).over(every).cast("double")), F.lit(0.0))
-    return s.select("threshold", rate("p").alias("tpr"), rate("n").alias("fpr"))
+    below = running(bucketed(s, "threshold"), ["threshold"], {"p": F.col("p"), "n": F.col("n")})
+    rate = lambda c: F.coalesce(F.try_divide((F.col(f"_{c}_all") - F.col(f"_{c}_before")).cast("double"), F.col(f"_{c}_all").cast("double")), F.lit(0.0))
+    return below.select("threshold", rate("p").alias("tpr"), rate("n").alias("fpr"))
 
 
 def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -195,6 +257,20 @@ def per_class(df: DataFrame, truth: str, guess: str, labels: list[str]) -> DataF
     return rows.join(cols, "label").select("label", ratio(F.col("tp"), F.col("predicted")).alias("precision"), ratio(F.col("tp"), F.col("support")).alias("recall"), ratio(2 * F.col("tp"), F.col("predicted") + F.col("support")).alias("f1"), "support")
 
 
+def macro_f1(df: DataFrame, truth: str, guess: str, labels: list[str]) -> DataFrame:
+    """(macro_f1): the mean of f1 over a fixed list of labels."""
+    return per_class(df, truth, guess, labels).agg(F.avg("f1").alias("macro_f1"))
+
+
+def agreements(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(a, b, n, agreement, kappa) of each pair of annotator columns; a row counts
+    for a pair if both filled it."""
+    out = [agreement(df, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "agreement", "kappa") for a, b in pairs]
+    for more in out[1:]:
+        out[0] = out[0].unionByName(more)
+    return out[0]
+
+
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     """(n, agreement, kappa) of rows that both annotators filled; kappa is
     missing where chance agreement is 1."""

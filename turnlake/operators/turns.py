@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from turnlake.functions import roles as R
 from turnlake.functions.scalars import guarded_ratio, word_count
+from turnlake.sources.tables import decode_turns
 
 #: Words, and turns of prepared remarks, that a session needs before it opens.
 SPEECH_WORDS, STRONG_TURNS, WEAK_TURNS = 200, 2, 3
@@ -126,6 +127,18 @@ def parse_calls(calls: DataFrame) -> DataFrame:
     return out.drop("roles").withColumn("speech_word_count", word_count("speech_text")).withColumn("qa_word_count", word_count("qa_text")).withColumn("num_qa_exchanges", asked)
 
 
+def parse_batch(calls: DataFrame, cell: str = "structured_content") -> tuple[DataFrame, DataFrame]:
+    """(parsed calls, (doc_id, error) of rows that can't be parsed).
+
+    A row without an id, without content, or whose id is there more than once is
+    an error of its own; all others are parsed.
+    """
+    reason = F.when(F.col("doc_id").isNull(), "no id").when(F.col(cell).isNull() | (F.trim(F.col(cell)) == ""), "no content").when(F.col("_n") > 1, "repeated id")
+    marked = calls.withColumn("_n", F.count("*").over(Window.partitionBy("doc_id"))).withColumn("error", reason).drop("_n")
+    good = marked.filter("error IS NULL").drop("error").withColumn("turns", decode_turns(cell)).drop(cell)
+    return parse_calls(good), marked.filter("error IS NOT NULL").select("doc_id", "error")
+
+
 def turns_of_sentences(sentences: DataFrame) -> DataFrame:
     """Question-session sentences to turns: ordered text, first speaker."""
     return sentences.filter(F.col("section") == "qa").groupBy("doc_id", "turn_idx").agg(

@@ -400,6 +400,11 @@ def quadrants_median_nonzero(spark: SparkSession, d: str) -> DataFrame:
     return rankings.quadrants(_entities(spark, d), "x", "y", "median_nonzero").select("ticker", "quadrant")
 
 
+@query(_quadrant_sql("median({v})", ">=").replace("'Aligned'", "'High-High'").replace("'Passive'", "'Low AI / High Analyst'").replace("'Self-Promoting'", "'High AI / Low Analyst'").replace("'Silent'", "'Low-Low'"))
+def quadrants_association(spark: SparkSession, d: str) -> DataFrame:
+    return rankings.quadrants(_entities(spark, d), "x", "y", "median", inclusive=True, labels=rankings.ASSOCIATION).select("ticker", "quadrant")
+
+
 @query(_quadrant_sql("median({v})", ">="))
 def quadrants_ge_median(spark: SparkSession, d: str) -> DataFrame:
     return rankings.quadrants(_entities(spark, d), "x", "y", "median", inclusive=True).select("ticker", "quadrant")
