@@ -256,6 +256,55 @@ def test_toxicity(spark):
     assert toxicity.score(docs, none).filter("toxic").count() == 0 and toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_equals_a_dense_model(spark):
+    """Every text by plain Python: distinct features, a dense dot product, the grades' probabilities."""
+    import math
+
+    rng = np.random.default_rng(13)
+    filler, bad = [f"wörd{i}x" for i in range(40)], ["vile", "scummy", "trash", "scummier"]
+    data = [(i, " ".join([*rng.choice(filler, 20), *(rng.choice(bad, rng.integers(1, 8)) if i % 4 == 0 else [])])) for i in range(300)]
+    data += [(1_000 + i, t) for i, t in rows()] + [(5_000, None), (5_001, ""), (5_002, "VILE vile " * 30_000), (None, "vile trash")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int"))
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    found = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    kept = {r.doc_id for r in toxicity.accepted(docs, model).collect()}
+    for i, text in data:
+        lower = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+        features = {f for w in set(re.findall(rb"[a-z\x80-\xff]+", lower)) for f in toxicity.features_of(w)}
+        logit = sum(weight.get(f, 0.0) for f in features)
+        upto = [0.0, *(sigmoid(t - logit) for t in model.thresholds), 1.0]
+        p = [b - a for a, b in zip(upto[:-1], upto[1:], strict=True)]
+        r = found[i]
+        assert abs(r.expected_severity - sum(k * x for k, x in enumerate(p))) < 1e-9 and abs(r.p_toxic - 1 + p[0]) < 1e-9, i
+        assert r.grade == max(range(3), key=lambda k: p[k]) and r.toxic == (1 - p[0] >= 0.5) and (i in kept) == (not r.toxic), i
+    assert sum(r.toxic for i, r in found.items() if i is not None and i < 300) >= 74 and found[5_002].toxic
+
+
+def test_sparse_fit_equals_a_dense_one():
+    rng = np.random.default_rng(2)
+    x = (rng.random((200, 12)) < 0.3).astype(float)
+    grades = np.digitize(x @ rng.normal(size=12) + rng.logistic(size=200), [0.0, 1.0])
+    at = np.nonzero(x)
+    weights, thresholds = toxicity.fit_ordinal(*at, grades, 12, 3, steps=60, rate=0.1, l2=1e-3)
+
+    def loss(free):
+        theta, z = np.array([free[12], free[12] + np.exp(free[13])]), x @ free[:12]
+        upto = np.stack([np.zeros(200), *(1 / (1 + np.exp(z - t)) for t in theta), np.ones(200)])
+        return -np.log(upto[grades + 1, np.arange(200)] - upto[grades, np.arange(200)]).mean() + 0.5e-3 * (free[:12] ** 2).sum()
+
+    share = [(np.sum(grades <= j) + 0.5) / 201 for j in (0, 1)]
+    start = np.log(np.array(share) / (1 - np.array(share)))
+    free = np.concatenate([np.zeros(12), start[:1], np.log(np.diff(start))])
+    m, v = np.zeros(14), np.zeros(14)
+    for step in range(1, 61):  # Adam on numeric slopes of the dense likelihood
+        g = np.array([(loss(free + d) - loss(free - d)) / 2e-6 for d in 1e-6 * np.eye(14)])
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
+        free = free - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    assert np.allclose(weights, free[:12], atol=1e-4) and np.allclose(thresholds, [free[12], free[12] + np.exp(free[13])], atol=1e-4)
+
+
 def test_ordinal_fit_recovers_order():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2, (2_000, 3))
