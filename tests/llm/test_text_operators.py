@@ -162,7 +162,7 @@ def test_jaccard_classes(spark, parts, k, percent):
     assert found[None].component_id is None
 
 
-@pytest.mark.parametrize("tile", [2, 40, 4_000])
+@pytest.mark.parametrize("tile", [1, 2, 3, 40, 4_000])
 def test_jaccard_counts_every_link(spark, monkeypatch, tile):
     monkeypatch.setattr(jaccard, "TILE", tile)
     rng = np.random.default_rng(5)
