@@ -84,7 +84,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, target).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_media_chunks, op3_best_fit_packing, op4_substring_dedup, op5_jaccard_join, op6_suffix_dedup, op7_exact_topk, op8_toxicity, op9_bpe_codec, op10_token_files)}
+def op11_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnlake.llm.sharding import sharded
+
+    return sharded(documents(spark, sf_dir), shards=16)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_media_chunks, op3_best_fit_packing, op4_substring_dedup, op5_jaccard_join, op6_suffix_dedup, op7_exact_topk, op8_toxicity, op9_bpe_codec, op10_token_files, op11_external_shuffle)}
 
 _WORDS = """w AS (
             SELECT doc_id, unnest(x) AS word, generate_subscripts(x, 1) AS pos
