@@ -90,7 +90,14 @@ def op11_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(documents(spark, sf_dir), shards=16)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_media_chunks, op3_best_fit_packing, op4_substring_dedup, op5_jaccard_join, op6_suffix_dedup, op7_exact_topk, op8_toxicity, op9_bpe_codec, op10_token_files, op11_external_shuffle)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnlake.llm.trie import prefix_trie
+
+    nodes = prefix_trie(table(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_media_chunks, op3_best_fit_packing, op4_substring_dedup, op5_jaccard_join, op6_suffix_dedup, op7_exact_topk, op8_toxicity, op9_bpe_codec, op10_token_files, op11_external_shuffle, op13_prefix_trie)}
 
 _WORDS = """w AS (
             SELECT doc_id, unnest(x) AS word, generate_subscripts(x, 1) AS pos
@@ -151,4 +158,42 @@ ORACLE_SQL: dict[str, str] = {
         FROM scored
         QUALIFY rank <= 5
     """,
+    "op13_prefix_trie": """
+        WITH t AS (
+            SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (
+                PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))
+            ) AS i
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), c AS (
+            SELECT conv_id, conv_id - conv_id % 100 AS base, n, xor(list_reduce(
+                list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda y: CAST(ord(y) AS BIGINT)),
+                lambda crc, y: list_reduce(range(8), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)), xor(crc, y)),
+                CAST(4294967295 AS BIGINT)), 4294967295) % 6 AS h
+            FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id)
+        ), b AS (
+            SELECT c.*, least(c.h, coalesce(o.n, 0)) AS taken FROM c LEFT JOIN c o ON o.conv_id = c.base
+        ), rebuilt AS (
+            SELECT b.conv_id, t.i AS d, r, x FROM b JOIN t ON t.conv_id = b.base AND t.i <= b.taken
+            UNION ALL
+            SELECT b.conv_id, b.taken + t.i - b.h, r, x FROM b JOIN t ON t.conv_id = b.conv_id AND t.i > b.h
+        ), path AS (
+            SELECT conv_id, d, length(x) AS len, string_agg(length(r) || ':' || r || length(x) || ':' || x, '') OVER (PARTITION BY conv_id ORDER BY d) AS p FROM rebuilt
+            UNION ALL
+            SELECT conv_id, 0, 0, '' FROM c
+        ), step AS (
+            SELECT *, lag(p) OVER w AS parent, lead(p) OVER w IS NULL AS last FROM path WINDOW w AS (PARTITION BY conv_id ORDER BY d)
+        ), node AS (
+            SELECT p, any_value(parent) AS parent, any_value(d) AS depth, any_value(len) AS len, min(conv_id) AS conv_id, count(*) AS n,
+                   string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last) AS ends
+            FROM step GROUP BY p
+        ), child AS (
+            SELECT parent AS p, count(*) AS n FROM node WHERE depth > 0 GROUP BY parent
+        ), below AS (
+            SELECT s.p, sum((u.n - 1) * u.len) AS saved, count(*) FILTER (k.p IS NULL) AS leaves
+            FROM node u JOIN step s ON s.conv_id = u.conv_id AND s.d <= u.depth LEFT JOIN child k ON k.p = u.p GROUP BY s.p
+        )
+        SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, o.conv_id AS parent_conv_id, v.n AS n_convs, coalesce(k.n, 0) AS n_children,
+               below.leaves AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+        FROM node v JOIN below ON below.p = v.p LEFT JOIN child k ON k.p = v.p LEFT JOIN node o ON v.depth > 0 AND o.p = v.parent
+    """,
 }
