@@ -14,6 +14,12 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 #: Any secret will do; every query of one corpus must use the same.
 PII_KEY = "a key that the owner of the corpus keeps"
 
@@ -90,6 +96,12 @@ def op11_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(documents(spark, sf_dir), shards=16)
 
 
+def op12_segment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnlake.llm.align import align_documents
+
+    return align_documents(documents(spark, sf_dir), vocabulary_path(), pieces_path(), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnlake.llm.trie import prefix_trie
 
@@ -97,7 +109,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_media_chunks, op3_best_fit_packing, op4_substring_dedup, op5_jaccard_join, op6_suffix_dedup, op7_exact_topk, op8_toxicity, op9_bpe_codec, op10_token_files, op11_external_shuffle, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_media_chunks, op3_best_fit_packing, op4_substring_dedup, op5_jaccard_join, op6_suffix_dedup, op7_exact_topk, op8_toxicity, op9_bpe_codec, op10_token_files, op11_external_shuffle, op12_segment_alignment, op13_prefix_trie)}
 
 _WORDS = """w AS (
             SELECT doc_id, unnest(x) AS word, generate_subscripts(x, 1) AS pos
