@@ -42,7 +42,7 @@ def test_fixed_effects_equal_dummies(spark, data):
     assert np.allclose([r["coef"] for r in found], beta) and np.allclose([r["std_err"] for r in found], errors) and found[3]["term"] == "g[1]" and found[0]["n"] == 500
     assert [r["term"] for r in stats.fixed_effects(df, ["a"], "y", ["g"])] == ["Intercept", "a"] and stats.fixed_effects(df, ["a"], "y", ["g"], least=501) == []
     with pytest.raises(ValueError, match="levels"):
-        stats.fixed_effects(spark.range(5_000).select(F.col("id").cast("double").alias("y"), F.col("id").cast("double").alias("a"), F.col("id").alias("g")), ["a"], "y", ["g"])
+        stats.fixed_effects(spark.range(5_000).select(F.col("id").cast("double").alias("y"), F.col("id").cast("double").alias("a"), F.col("id").alias("g")), ["a"], "y", ["g"], dummies=True)
 
 
 def test_demeaning_gives_the_same_slope(spark, data):

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnlake.operators.effects import absorb, absorbed_ols, absorbed_poisson
 from turnlake.operators.ordered import bucketed, running
 
 
@@ -43,19 +44,20 @@ def ols_hc1(df: DataFrame, x: list[str], y: str) -> list[dict]:
     return _terms(["Intercept", *x], beta, cov, n)
 
 
-def demeaned(df: DataFrame, columns: list[str], groups: list[str], rounds: int = 20) -> DataFrame:
-    """Remove the means of one or more groupings (fixed effects), in turn."""
-    for _ in range(rounds if len(groups) > 1 else 1):
-        for g in groups:
-            w = Window.partitionBy(g)
-            df = df.select(*[c for c in df.columns if c not in columns], *[(F.col(c) - F.avg(c).over(w)).alias(c) for c in columns])
-    return df
+def demeaned(df: DataFrame, columns: list[str], groups: list[str]) -> DataFrame:
+    """Remove what one or more groupings (fixed effects) explain of columns."""
+    return absorb(df, columns, groups)
 
 
-#: Levels of all effects together; their normal matrix is solved on the driver.
+#: Levels of all effects together whose dummies have coefficients of their own;
+#: their normal matrix is solved on the driver.
 LEVELS = 4_000
 
 
+class TooManyLevels(ValueError):
+    """The effects have to be absorbed."""
+
+
 class _Dummies:
     """Sums over regressors and the dummies of effects, by grouping rather than
     by one expression for each pair: only cells that hold rows are returned."""
@@ -69,7 +71,7 @@ class _Dummies:
             self.levels[g] = {v: len(self.names) + i for i, v in enumerate(found)}
             self.names += [f"{g}[{v}]" for v in found]
         if len(self.names) > LEVELS:
-            raise ValueError(f"more than {LEVELS} levels: take their means out first (demeaned)")
+            raise TooManyLevels(f"more than {LEVELS} levels")
 
     def products(self, rows: DataFrame, weight: Column) -> np.ndarray:
         """D'WD of the design D with a weight for each row."""
@@ -121,12 +123,19 @@ def _terms(names: list[str], beta: np.ndarray, cov: np.ndarray, n: int) -> list[
 
 def fixed_effects(df: DataFrame, x: list[str], y: str, effects: list[str], least: int = 400, dummies: bool = False) -> list[dict]:
     """OLS with dummies of the effects and HC1 errors, on complete rows; none
-    below ``least``.  With ``dummies`` their coefficients are returned as well."""
+    below ``least``.  With ``dummies`` their coefficients are returned as well, an
+    error beyond LEVELS.  Else more levels are absorbed: the coefficients are the
+    same, but there is no intercept."""
     rows = df.dropna(subset=[*x, y, *effects])
     n = rows.count()
     if n < least:
         return []
-    design = _Dummies(rows, x, effects)
+    try:
+        design = _Dummies(rows, x, effects)
+    except TooManyLevels:
+        if dummies:
+            raise
+        return absorbed_ols(rows, x, y, effects, least)
     inverse = np.linalg.pinv(design.products(rows, F.lit(1.0)))
     beta = inverse @ design.sums(rows, F.col(y).cast("double"))
     error = F.col(y) - F.col("_fitted")
@@ -137,13 +146,17 @@ def fixed_effects(df: DataFrame, x: list[str], y: str, effects: list[str], least
 
 def poisson(df: DataFrame, x: list[str], y: str, steps: int = 25, effects: list[str] | None = None, least: int = 1) -> list[dict]:
     """Poisson regression by reweighted least squares, HC1 errors, with dummies
-    of ``effects`` if there are any; none below ``least`` complete rows."""
+    of ``effects`` if there are any; none below ``least`` complete rows.  More
+    than LEVELS levels are absorbed, without an intercept."""
     effects = effects or []
     rows = df.dropna(subset=[*x, y, *effects])
     n, total = rows.agg(F.count("*"), F.sum(y)).first()
     if n < least or not total:
         return []
-    design = _Dummies(rows, x, effects)
+    try:
+        design = _Dummies(rows, x, effects)
+    except TooManyLevels:
+        return absorbed_poisson(rows, x, y, effects, least)
     beta = np.zeros(len(design.names))
     beta[0] = math.log(total / n)
     for _ in range(steps + 1):
