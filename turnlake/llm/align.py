@@ -30,7 +30,7 @@ from turnlake.llm.bpe import Encoder, Vocabulary
 from turnlake.llm.common import Scratch, only, prepare
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 
 #: White space beyond ASCII, after which no cut is made.  Fixed values: U+0085,
 #: U+00A0, U+1680, U+180E, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000.
@@ -87,8 +87,10 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     good = before > 0x20
     for i in np.flatnonzero(before >= 0x80).tolist():
         good[i] = not data[max(0, at[i] - 3) : at[i]].tobytes().endswith(_WIDE_BLANKS)
-    lead = offsets[:-1][offsets[:-1] < offsets[1:]]
-    return np.union1d(at[good], lead)
+    starts = np.zeros(len(data), bool)
+    starts[at[good]] = True
+    starts[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    return np.flatnonzero(starts)
 
 
 def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,6 +141,7 @@ def aligned(segments: pa.Array, path_a: str, path_b: str) -> pa.Array:
     bytes aren't those of its tokens."""
     (encoder, tokens_a), (model, tokens_b) = _encoder_a(path_a), _encoder_b(path_b)
     data, offsets = flat(segments)
+    encoder.forget()  # segments are distinct: what it keeps of others is of no use
     a, before = encoder.encode(data, offsets)
     # B adds the space that each segment begins with, but not to an empty text.
     lone = model.piece_to_id("▁")
@@ -197,10 +200,28 @@ class _Alignments:
         self.n_links = np.diff(total[self.pair_before])
 
 
+#: Segments of documents that are composed at once.
+_SLICE = 400_000
+
+
 def _compose(left: pa.Table, right: pa.Table, digest: bool) -> pa.Table:
     """A block's documents, each with its links as pair numbers and weights, and
     the block's pairs with how many of its documents hold them."""
     known = _Alignments(right)
+    size, docs, hits, row = np.concatenate([[0], np.cumsum(left["size"].to_numpy())]), [], np.zeros(len(known.pairs), np.int64), 0
+    while row < left.num_rows:
+        end = max(row + 1, int(np.searchsorted(size, size[row] + _SLICE, "right")) - 1)
+        docs.append(_some(left.slice(row, end - row), known, hits, digest))
+        row = end
+    some = np.flatnonzero(hits)
+    m = len(some)
+    void = [pa.nulls(m, docs[0].schema.field(c).type) for c in _names(_COMPOSED)[1:9]]
+    pairs = pa.table([pa.repeat(left["block"][0], m), *void, pa.array(some, pa.int32()), pa.array(known.pairs[some], pa.int64()), pa.array(hits[some], pa.int64())], _names(_COMPOSED))
+    return pa.concat_tables([*docs, pairs])
+
+
+def _some(left: pa.Table, known: _Alignments, hits: np.ndarray, digest: bool) -> pa.Table:
+    """Some documents of a block; ``hits`` gets those that hold each pair."""
     codec, size = pa.Codec("zstd", compression_level=1), left["size"].to_numpy()
     parts = [np.frombuffer(codec.decompress(x, decompressed_size=4 * n, asbytes=True), np.uint32) for x, n in zip(left["codes"].to_pylist(), size.tolist(), strict=True) if n]
     codes = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
@@ -227,14 +248,8 @@ def _compose(left: pa.Table, right: pa.Table, digest: bool) -> pa.Table:
     key = key[new]
     pair, edge = key % p, np.searchsorted(key // p, np.arange(n + 1))
     vectors = [codec.compress(pair[a:b].astype("<u4").tobytes() + weight[a:b].astype("<u8").tobytes(), asbytes=True) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-    docs = pa.table([left["block"], left["doc_id"], *[pa.array(x, pa.int64()) for x in facts.values()], pa.array(groups, pa.string()), pa.array(np.diff(edge), pa.int32()), pa.array(vectors, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], _names(_COMPOSED))
-    hits = np.bincount(pair, minlength=len(known.pairs))
-    some = np.flatnonzero(hits)
-    m = len(some)
-    if not m:
-        return docs
-    void = [pa.nulls(m, docs.schema.field(c).type) for c in _names(_COMPOSED)[1:9]]
-    return pa.concat_tables([docs, pa.table([pa.repeat(left["block"][0], m), *void, pa.array(some, pa.int32()), pa.array(known.pairs[some], pa.int64()), pa.array(hits[some], pa.int64())], _names(_COMPOSED))])
+    hits += np.bincount(pair, minlength=len(hits))
+    return pa.table([left["block"], left["doc_id"], *[pa.array(x, pa.int64()) for x in facts.values()], pa.array(groups, pa.string()), pa.array(np.diff(edge), pa.int32()), pa.array(vectors, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], _names(_COMPOSED))
 
 
 def _scored(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -264,21 +279,23 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
     spark = prepare(docs.sparkSession)
     check_cuts(path_a, path_b)
     steps = Scratch(spark)
-    coded = steps.stored(only(docs, id_col, text_col).mapInArrow(_code, _CODED), "coded")
+    coded = steps.stored(only(docs, id_col, text_col).mapInArrow(_code, _CODED), "coded", compression="zstd")
     words = coded.filter("code IS NOT NULL").select("block", "code", "segment")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, _ in blocks(batches, "segment"):
             yield pa.record_batch([rows.column(0), aligned(rows.column(0), path_a, path_b)], ["segment", "tokens"])
 
-    once = steps.stored(words.select("segment").distinct().mapInArrow(align, "segment binary, tokens binary"), "alignments")
-    joined = steps.stored(words.join(once, "segment").select("block", "code", "tokens"), "segments")
+    aligning = Scratch(spark)
+    once = aligning.stored(words.select("segment").distinct().mapInArrow(align, "segment binary, tokens binary"), "alignments", compression="zstd")
+    joined = steps.stored(words.join(once, "segment").select("block", "code", "tokens"), "segments", compression="zstd")
+    aligning.clear()
 
     def compose(left: pa.Table, right: pa.Table) -> pa.Table:
         return _compose(left, right, digest)
 
     numbered = coded.filter("code IS NULL").select("block", "doc_id", "size", "codes")
-    composed = steps.stored(numbered.groupBy("block").cogroup(joined.groupBy("block")).applyInArrow(compose, _COMPOSED), "composed")
+    composed = steps.stored(numbered.groupBy("block").cogroup(joined.groupBy("block")).applyInArrow(compose, _COMPOSED), "composed", compression="zstd")
     found = composed.filter("code IS NOT NULL").select(F.col("block").alias("home"), "code", "pair", "n")
     counts = found.groupBy("pair").agg(F.sum("n").alias("n"))
     most = F.max("n").over(Window.partitionBy(F.shiftright("pair", 16)))  # over the B ids that one A id meets

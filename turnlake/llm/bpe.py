@@ -218,9 +218,9 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, lexicon=None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.pool, self.filled = np.zeros(1 << 20, np.uint16), 0
         self.begin, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
@@ -240,7 +240,7 @@ class Encoder:
     def table(self, words: list[bytes]) -> np.ndarray:
         """Row of each distinct word in the table; unseen words are merged now."""
         if len(self.known) + len(words) > KEEP_PIECES:
-            self._clear()
+            self.forget()
         get = self.known.get
         rows = [get(w, -1) for w in words]
         out = np.array(rows, np.int64)

@@ -63,12 +63,12 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut, and
     a lost executor costs no recomputation of what is already written."""
     path = new_path(df.sparkSession, what)
     with shuffles_freed(df.sparkSession):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -81,8 +81,8 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def stored(self, df: DataFrame, what: str) -> DataFrame:
-        out = stored(df, what)
+    def stored(self, df: DataFrame, what: str, **options: str) -> DataFrame:
+        out = stored(df, what, **options)
         self.paths.append(out._stored_at)
         return out
 
