@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from turnlake.plans import queries as plans
+from turnlake.plans import catalogue as plans
 from turnlake.plans.report import report
 from turnlake.plans.stages import Pipeline, check_calls, check_dataset, research_dataset
 from turnlake.sources import tables

@@ -68,11 +68,12 @@ def test_poisson(spark, data):
     assert stats.poisson(df, ["a"], "c", least=501) == []
 
 
-def test_running_sums_and_folds(spark):
+@pytest.mark.parametrize("rows", [90, 10_000])
+def test_running_sums_and_folds(spark, rows):
     rng = np.random.default_rng(4)
     values = [(i, float(v) if i % 17 else None, int(i % 3)) for i, v in enumerate(rng.integers(0, 40, 700))]
     df = spark.createDataFrame(values, "i int, v double, w int")
-    out = ordered.running(ordered.bucketed(df, "v", 8), ["v", "i"], {"w": F.col("w"), "n": F.lit(1)}).collect()
+    out = ordered.running(ordered.laid(df, ["v", "i"], rows), ["v", "i"], {"w": F.col("w"), "n": F.lit(1)}).collect()
     want, total = {}, 0
     for place, (i, _, w) in enumerate(sorted(values, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))):
         want[i] = (total, place)

@@ -10,7 +10,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from turnlake.plans.queries import QUERIES
+from turnlake.plans.catalogue import QUERIES
 from turnlake.plans.report import report
 from turnlake.plans.stages import Pipeline
 from turnlake.sources.tables import first_rows, read_table

@@ -29,8 +29,9 @@ class NotSettled(RuntimeError):
     """The sweeps or steps allowed weren't enough."""
 
 
-def _levels(rows: DataFrame, columns: list[str], effects: list[str], weight: str | None, keep: Steps) -> list[DataFrame]:
-    """For each effect (level, coefficient of each column as ``_a<effect>_<column>``)."""
+def _levels(rows: DataFrame, columns: list[str], effects: list[str], weight: str | None, keep: Steps, start: list[DataFrame] | None, still: float) -> list[DataFrame]:
+    """For each effect (level, coefficient of each column as ``_a<effect>_<column>``),
+    from where ``start``, levels of a like problem, ended."""
     w = F.col(weight) if weight else F.lit(1.0)
     k = range(len(columns))
     summed = rows.groupBy(*effects).agg(F.sum(w).alias("_w"), *[F.sum(w * F.col(c)).alias(f"_s{i}") for i, c in enumerate(columns)])
@@ -45,8 +46,8 @@ def _levels(rows: DataFrame, columns: list[str], effects: list[str], weight: str
         return left.groupBy(effects[j]).agg(F.sum("_w").alias(f"_w{j}"), *[(F.sum(rest(i)) / F.sum("_w")).alias(f"_a{j}_{i}") for i in k])
 
     # The first effect follows from the others, so it needn't be written.
-    now, steps = {}, Steps(rows.sparkSession)
-    for j in range(len(effects)):
+    now, steps = dict(enumerate(start or [])), Steps(rows.sparkSession)
+    for j in range(len(now), len(effects)):
         now[j] = steps.stored(solved(j, now), "levels") if j else solved(j, now)
     for _ in range(SWEEPS if len(effects) > 1 else 0):
         new, next_steps, moved = dict(now), Steps(rows.sparkSession), np.zeros(len(columns))
@@ -58,7 +59,7 @@ def _levels(rows: DataFrame, columns: list[str], effects: list[str], weight: str
                 moved += [v or 0.0 for v in new[j].join(before, effects[j]).agg(*[F.sum(change(i)) for i in k]).first()]
         steps.clear()
         now, steps = new, next_steps
-        if all(m <= STILL**2 * (s or 0.0) for m, s in zip(moved, scale, strict=True)):
+        if all(m <= still**2 * (s or 0.0) for m, s in zip(moved, scale, strict=True)):
             break
     else:
         if len(effects) > 1:
@@ -69,13 +70,16 @@ def _levels(rows: DataFrame, columns: list[str], effects: list[str], weight: str
 
 
 def absorb(rows: DataFrame, columns: list[str], effects: list[str], weight: str | None = None, keep: Steps | None = None) -> DataFrame:
-    """``rows`` with each column less what the effects explain of it.
+    """``rows`` with each column less what the effects explain of it, weighted.
 
     Rows are complete in all columns named, or they are an error of the caller;
     extra columns pass.  ``keep`` holds the written steps, for its owner to clear
     once the result is used; without it they stay in the shared folder.
     """
-    found = _levels(rows, columns, effects, weight, keep or Steps(rows.sparkSession))
+    return _less(rows, columns, effects, _levels(rows, columns, effects, weight, keep or Steps(rows.sparkSession), None, STILL))
+
+
+def _less(rows: DataFrame, columns: list[str], effects: list[str], found: list[DataFrame]) -> DataFrame:
     out = rows
     for j, (g, t) in enumerate(zip(effects, found, strict=True)):
         out = out.join(t.drop(f"_w{j}"), g)
@@ -125,7 +129,7 @@ def _terms(x: list[str], held: list[bool], beta: np.ndarray, cov: np.ndarray, n:
     out = []
     for name, gone, b, v in zip(x, held, beta, np.diag(cov), strict=True):
         s = math.sqrt(max(v, 0.0))
-        z = None if gone or not s else b / s
+        z = None if gone or not s else float(b / s)
         out.append({"term": name, "coef": None if gone else float(b), "std_err": None if gone else s, "z": z, "p": None if z is None else math.erfc(abs(z) / math.sqrt(2)), "n": n, "absorbed": rank})
     return out
 
@@ -186,12 +190,15 @@ def absorbed_poisson(df: DataFrame, x: list[str], y: str, effects: list[str], le
         return []
     mean = rows.agg(F.avg(y)).first()[0]
     now = rows.withColumn("_eta", F.ln((F.col(y) + mean) / 2))
-    beta, whole = np.zeros(len(x)), None
+    beta, moved, found = np.zeros(len(x)), 1.0, None
     for _ in range(steps):
         mu = F.exp("_eta")
         ready = keep.stored(now.withColumn("_mu", mu).withColumn("_z", F.col("_eta") + (F.col(y) - mu) / mu).withColumn("_work", F.col("_z")).withColumns({f"_x{i}": F.col(c) for i, c in enumerate(x)}), "step")
-        flat = keep.stored(absorb(ready, [*[f"_x{i}" for i in range(len(x))], "_work"], effects, "_mu", keep), "absorbed")
         names = [f"_x{i}" for i in range(len(x))]
+        # Early steps needn't be exact, and each begins where the last one ended.
+        still = max(STILL, min(1e-4, moved * 1e-4))
+        found = _levels(ready, [*names, "_work"], effects, "_mu", keep, found, still)
+        flat = keep.stored(_less(ready, [*names, "_work"], effects, found), "absorbed")
         both = _products(flat, [*names, "_work"], F.col("_mu"))
         whole = flat.agg(*[F.sum(F.col("_mu") * F.col(c) * F.col(c)) for c in x]).first()
         held = [both[i, i] <= HELD * (whole[i] or 0.0) for i in range(len(x))]
@@ -202,7 +209,7 @@ def absorbed_poisson(df: DataFrame, x: list[str], y: str, effects: list[str], le
         drift = fitted.agg(F.max(F.abs(F.exp("_eta") - F.col("_mu")) / (1 + F.col("_mu")))).first()[0]
         moved, beta = np.abs(new - beta).max(), new
         now = fitted.select(*rows.columns, "_eta")
-        if moved < tolerance and drift < math.sqrt(tolerance):
+        if moved < tolerance and drift < math.sqrt(tolerance) and still < tolerance:
             break
     else:
         raise NotSettled(f"coefficients still move after {steps} steps")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnlake.functions.scalars import guarded_ratio, open_ratio
+from turnlake.operators.ordered import quantile_row
 
 
 def section_metrics(sentences: DataFrame, flag: str = "kw_is_ai") -> DataFrame:
@@ -80,14 +81,11 @@ def funnel(parsed: DataFrame, sentences: DataFrame, initiation: DataFrame) -> Da
 def ratio_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """(metric, n, mean, median, std, p90, p95, zero_share, nonzero_share); the
     standard deviation is the population's."""
-    parts = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        parts.append(df.agg(F.lit(c).alias("metric"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_pop(x).alias("std"), F.percentile(x, 0.9).alias("p90"), F.percentile(x, 0.95).alias("p95"), F.avg((x == 0).cast("int")).alias("zero_share"), F.avg((x != 0).cast("int")).alias("nonzero_share")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    x = {c: F.col(c).cast("double") for c in columns}
+    moments = [e for c in columns for e in (F.count(x[c]).alias(f"n_{c}"), F.avg(x[c]).alias(f"mean_{c}"), F.stddev_pop(x[c]).alias(f"std_{c}"), F.avg((x[c] == 0).cast("int")).alias(f"zero_{c}"), F.avg((x[c] != 0).cast("int")).alias(f"nonzero_{c}"))]
+    cuts = quantile_row(df, {f"q{int(100 * s)}_{c}": (c, s) for c in columns for s in (0.5, 0.9, 0.95)})
+    row = lambda c: F.struct(F.lit(c).alias("metric"), F.col(f"n_{c}").alias("n"), F.col(f"mean_{c}").alias("mean"), F.col(f"q50_{c}").alias("median"), F.col(f"std_{c}").alias("std"), F.col(f"q90_{c}").alias("p90"), F.col(f"q95_{c}").alias("p95"), F.col(f"zero_{c}").alias("zero_share"), F.col(f"nonzero_{c}").alias("nonzero_share"))
+    return df.agg(*moments).crossJoin(cuts).select(F.inline(F.array(*[row(c) for c in columns])))  # one row each
 
 
 def zero_split(df: DataFrame, column: str) -> DataFrame:
@@ -99,6 +97,6 @@ def histogram(df: DataFrame, column: str, bins: int = 60, top: float = 0.995, le
     """(bin, n): zeros in bin 0 apart; equal bins up to the quantile ``top`` (at
     least ``least``); what lies above is in bin bins + 1."""
     x = F.col(column).cast("double")
-    edge = df.agg(F.greatest(F.percentile(x, top), F.lit(least)).alias("edge"))
+    edge = quantile_row(df, {"top": (column, top)}).select(F.greatest("top", F.lit(least)).alias("edge"))
     binned = df.filter(x.isNotNull()).crossJoin(F.broadcast(edge)).withColumn("bin", F.when(x == 0, 0).otherwise(F.least(F.floor(x / F.col("edge") * bins) + 1, F.lit(bins + 1))).cast("int"))
     return binned.groupBy("bin").agg(F.count("*").alias("n"))

@@ -5,11 +5,14 @@ Windows are by entity; ratios are missing where they can't be formed.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.functions.scalars import open_ratio, positive_flag
-from turnlake.operators.ordered import bucketed, running
+from turnlake.operators.ordered import laid, quantile_row, quantiles, running
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -67,8 +70,10 @@ def asof_backward(left: DataFrame, right: DataFrame, by: str, left_time: str, ri
 
 def above_group_median(df: DataFrame, value: str, groups: list[str], name: str) -> DataFrame:
     """1 above the median of the group, 0 at or below it, missing where missing."""
-    med = F.median(value).over(Window.partitionBy(*groups))
-    return df.withColumn(name, F.when(F.col(value).isNotNull(), (F.col(value) > med).cast("int")))
+    med = quantiles(df, [value], [0.5], groups).select(*[F.col(g).alias(f"_m{i}") for i, g in enumerate(groups)], F.col("value").alias("_med"))
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_m{i}")) for i, g in enumerate(groups)])
+    out = df.join(med, same, "left")
+    return out.select(*df.columns, F.when(F.col(value).isNotNull(), (F.col(value) > F.col("_med")).cast("int")).alias(name))
 
 
 def binary_target(panel: DataFrame, target: str = "target", groups: tuple[str, ...] = ("year", "quarter", "sector")) -> tuple[DataFrame, str]:
@@ -88,17 +93,18 @@ def binary_target(panel: DataFrame, target: str = "target", groups: tuple[str, .
 
 
 def winsorised(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Clip to the quantiles of the whole column; one pass finds all of them."""
-    bounds = F.broadcast(df.agg(*[F.percentile(F.col(c), [low, high]).alias(f"_b_{c}") for c in columns]))  # one row
+    """Clip to the quantiles of the whole column, found for all columns together."""
+    sides = {"l": low, "h": high}
+    bounds = F.broadcast(quantile_row(df, {f"_{s}_{c}": (c, q) for c in columns for s, q in sides.items()}))  # one row
     out = df.crossJoin(bounds)
     for c in columns:
-        out = out.withColumn(c, F.when(F.col(c).isNotNull(), F.greatest(F.col(f"_b_{c}")[0], F.least(F.col(f"_b_{c}")[1], F.col(c)))))
-    return out.drop(*[f"_b_{c}" for c in columns])
+        out = out.withColumn(c, F.when(F.col(c).isNotNull(), F.greatest(F.col(f"_l_{c}"), F.least(F.col(f"_h_{c}"), F.col(c)))))
+    return out.drop(*[f"_{s}_{c}" for c in columns for s in sides])
 
 
 def deciles(df: DataFrame, value: str, order: list[str], bins: int = 10) -> DataFrame:
     """Quantile bins of the first-come rank, 0 to bins - 1."""
-    ranked = running(bucketed(df.filter(F.col(value).isNotNull()), value), [value, *order], {"r": F.lit(1)})
+    ranked = running(laid(df.filter(F.col(value).isNotNull()), [value, *order]), [value, *order], {"r": F.lit(1)})
     return ranked.withColumn("decile", F.greatest(F.ceil(F.col("_r_before") * bins / F.greatest(F.col("_r_all") - 1, F.lit(1))) - 1, F.lit(0)).cast("int")).drop("_r_before", "_r_all")
 
 

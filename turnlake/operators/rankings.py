@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnlake.operators.ordered import quantile_row
+
 
 def quarter_trends(df: DataFrame, metrics: list[str]) -> DataFrame:
     """Mean, sample standard deviation and count by quarter."""
@@ -35,16 +37,17 @@ def extremes(df: DataFrame, metric: str, k: int, tie: str) -> DataFrame:
     return high.unionByName(low).dropDuplicates([tie])
 
 
-def threshold(df: DataFrame, column: str, rule: str = "mean") -> Column:
-    """Aggregate of a cut: the mean, the median, or the median of what isn't 0."""
-    x = F.col(column)
+def thresholds(df: DataFrame, cuts: dict[str, str], rule: str = "mean") -> DataFrame:
+    """One row with the cut of each column under its name: the mean, the median,
+    or the median of what isn't 0 (0.0 where all is)."""
     if rule == "mean":
-        return F.avg(x)
-    if rule == "median":
-        return F.median(x)
-    if rule == "median_nonzero":
-        return F.coalesce(F.median(F.when(x != 0, x)), F.lit(0.0))
-    raise ValueError(f"no rule {rule}")
+        return df.agg(*[F.avg(c).alias(name) for name, c in cuts.items()])
+    if rule not in ("median", "median_nonzero"):
+        raise ValueError(f"no rule {rule}")
+    x = {name: F.col(c).cast("double") for name, c in cuts.items()}
+    values = df.select(*[(v if rule == "median" else F.when(v != 0, v)).alias(name) for name, v in x.items()])
+    found = quantile_row(values, {name: (name, 0.5) for name in cuts})
+    return found if rule == "median" else found.fillna(0.0)
 
 
 QUADRANTS = ["Aligned", "Passive", "Self-Promoting", "Silent"]
@@ -59,7 +62,7 @@ def quadrants(df: DataFrame, x: str, y: str, rule: str = "mean", inclusive: bool
     low y Self-Promoting, else Silent, or the four ``labels`` in that order.
     ``inclusive``: a value at the cut is high."""
     both, second, first, neither = labels or QUADRANTS
-    cuts = F.broadcast(df.agg(threshold(df, x, rule).alias("_x"), threshold(df, y, rule).alias("_y")))  # one row
+    cuts = F.broadcast(thresholds(df, {"_x": x, "_y": y}, rule))  # one row
     high = (lambda v, c: F.col(v) >= F.col(c)) if inclusive else (lambda v, c: F.col(v) > F.col(c))
     a, b = F.coalesce(high(x, "_x"), F.lit(False)), F.coalesce(high(y, "_y"), F.lit(False))
     label = F.when(a & b, both).when(~a & b, second).when(a, first).otherwise(neither)

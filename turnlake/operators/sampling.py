@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnlake.operators.ordered import quantile_row
+
 
 def _order(key: list[str], seed: int):
     return [F.xxhash64(*key, F.lit(seed)), *[F.col(k) for k in key]]
@@ -29,10 +31,10 @@ def distinct_texts(df: DataFrame, shown: list[str], key: list[str]) -> DataFrame
 
 def bands(df: DataFrame, score: str, n: int, key: list[str], seed: int = 42) -> DataFrame:
     """n rows each from around the low, middle and high quantiles of a score."""
-    cut = F.broadcast(df.agg(F.percentile(score, [0.1, 0.45, 0.55, 0.9]).alias("_q")))  # one row
-    q = F.col("_q")
+    cut = F.broadcast(quantile_row(df, {f"_q{i}": (score, s) for i, s in enumerate((0.1, 0.45, 0.55, 0.9))}))  # one row
+    q = [F.col(f"_q{i}") for i in range(4)]
     band = F.when(F.col(score) <= q[0], "low").when(F.col(score).between(q[1], q[2]), "mid").when(F.col(score) >= q[3], "high")
-    marked = df.crossJoin(cut).withColumn("band", band).drop("_q").filter("band IS NOT NULL")
+    marked = df.crossJoin(cut).withColumn("band", band).drop(*[f"_q{i}" for i in range(4)]).filter("band IS NOT NULL")
     return stratified(marked, "band", n, key, seed)
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.operators.effects import absorb, absorbed_ols, absorbed_poisson
-from turnlake.operators.ordered import bucketed, running
+from turnlake.operators.ordered import laid, running
+from turnlake.operators.ranks import kendall
+from turnlake.sources.scratch import Steps
 
 
 def _sums(df: DataFrame, x: list[str], y: str) -> tuple[np.ndarray, np.ndarray, int]:
@@ -172,53 +174,65 @@ def poisson(df: DataFrame, x: list[str], y: str, steps: int = 25, effects: list[
 
 
 def kendall_tau(pairs: DataFrame, a: str, b: str) -> float:
-    """Tau-b, 0.0 where it isn't defined.  n log n on the driver over the two
-    columns: a score is taken over held-out rows of one model, a bounded frame."""
-    rows = np.array([(r[0], r[1]) for r in pairs.select(a, b).dropna().collect()], float).reshape(-1, 2)
-    n = len(rows)
-    if n < 2:
-        return 0.0
-    order = np.lexsort([rows[:, 1], rows[:, 0]])
-    y = np.unique(rows[order, 1], return_inverse=True)[1]
-    tree, discordant = np.zeros(n + 1, np.int64), 0
-    for seen, v in enumerate(y.tolist()):  # pairs in order of a with b falling
-        i, lower = v + 1, 0
-        while i:
-            lower += tree[i]
-            i &= i - 1
-        discordant += seen - lower
-        i = v + 1
-        while i <= n:
-            tree[i] += 1
-            i += i & -i
-    ties = lambda x: int(sum(c * (c - 1) // 2 for c in np.unique(x, axis=0, return_counts=True)[1]))
-    whole, ta, tb, tab = n * (n - 1) // 2, ties(rows[:, 0]), ties(rows[:, 1]), ties(rows)
-    concordant = whole - ta - tb + tab - discordant
-    below = math.sqrt((whole - ta) * (whole - tb))
-    return (concordant - discordant) / below if below else 0.0
+    """Tau-b, 0.0 where it isn't defined."""
+    return kendall(pairs, a, b)["tau"]
+
+
+def _dealt(sizes: list[tuple[int, int]], k: int) -> list[tuple[int, int, int, int, int]]:
+    """(size, first rank, last rank, stride, fold): which groups of each size go
+    where if the largest go first, always to the lightest fold, of (size, how many
+    groups have it).
+
+    Folds that lie less than a size apart are filled in rounds of one order until
+    the next fold is reached, so a class has at most some k * k lines.
+    """
+    load, out = [0] * k, []
+    for size, many in sorted(sizes, reverse=True):
+        at = 0
+        while at < many:
+            order = sorted(range(k), key=lambda i: (load[i], i))
+            low = [i for i in order if load[i] - load[order[0]] < size]
+            m, top = len(low), max(load[i] for i in low)
+            rounds = (many - at) // m
+            if m < k:
+                rounds = min(rounds, -(-(load[order[m]] - top) // size))
+            for i, fold in enumerate(low if rounds else low[: many - at]):
+                turns = max(rounds, 1)
+                out.append((size, at + i, at + i + (turns - 1) * m, m, fold))
+                load[fold] += turns * size
+            at += rounds * m or many - at
+    return out
 
 
 def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     """Add ``fold``: no group in two folds, largest groups dealt first to the
-    lightest fold.  Sizes, one row a group, are dealt on the driver."""
-    sizes = df.groupBy(group).count().orderBy(F.desc("count"), group).collect()
-    load, placed = [0] * k, []
-    for r in sizes:
-        f = min(range(k), key=lambda i: (load[i], i))
-        load[f] += r["count"]
-        placed.append((r[0], f))
-    kind = df.schema[group].dataType.simpleString()
-    return df.join(df.sparkSession.createDataFrame(placed, f"`{group}` {kind}, fold int"), group)
+    lightest fold.
+
+    The driver sees how many groups have each size, and lists a class of equal
+    sizes only until it goes round; a group finds its fold by size and by its
+    rank among groups of its size.  Rows without a group go.
+    """
+    sizes = Steps(df.sparkSession).stored(df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("_size")), "sizes")
+    classes = [(r[0], r[1]) for r in sizes.groupBy("_size").count().collect()]  # distinct sizes: at most the root of twice the rows
+    table = df.sparkSession.createDataFrame(_dealt(classes, k), "_of long, _from long, _to long, _stride long, fold int")
+    ranked = running(laid(sizes.withColumn("_down", -F.col("_size")), ["_down", group]), ["_down", group], {"r": F.lit(1)})
+    larger, before = [], 0
+    for size, many in sorted(classes, reverse=True):
+        larger.append((size, before))
+        before += many
+    offsets = df.sparkSession.createDataFrame(larger, "_size long, _larger long")
+    own = ranked.join(offsets, "_size").withColumn("_rank", F.col("_r_before") - F.col("_larger"))
+    hit = (F.col("_size") == F.col("_of")) & F.col("_rank").between(F.col("_from"), F.col("_to")) & ((F.col("_rank") - F.col("_from")) % F.col("_stride") == 0)
+    folds = own.join(table, hit).select(group, "fold")
+    return df.join(folds, group)
 
 
 def hash_folds(df: DataFrame, key: str, k: int = 5, seed: int = 0, stratum: str | None = None) -> DataFrame:
     """Folds of near equal size, by stratum if there is one, in hash order."""
-    hashed = df.withColumn("_h", F.xxhash64(key, F.lit(seed)))
-    if stratum:
-        rank = F.row_number().over(Window.partitionBy(stratum).orderBy("_h", key)) - 1
-        return hashed.withColumn("fold", F.pmod(rank, F.lit(k)).cast("int")).drop("_h")
-    spread = hashed.withColumn("_bucket", F.shiftright("_h", 56) + 128)  # 256 of equal width
-    return running(spread, ["_h", key], {"r": F.lit(1)}).withColumn("fold", F.pmod("_r_before", F.lit(k)).cast("int")).drop("_h", "_r_before", "_r_all")
+    order = [*([stratum] if stratum else []), "_h", key]
+    dealt = running(laid(df.withColumn("_h", F.xxhash64(key, F.lit(seed))), order), order, {"r": F.lit(1)})
+    # Rows of a stratum follow each other, so dealing them in turn is even in each.
+    return dealt.withColumn("fold", F.pmod("_r_before", F.lit(k)).cast("int")).drop("_h", "_r_before", "_r_all")
 
 
 def classification_metrics(df: DataFrame, label: str, score: str, cut: float = 0.5) -> DataFrame:
@@ -233,7 +247,7 @@ def classification_metrics(df: DataFrame, label: str, score: str, cut: float = 0
 def roc_auc(df: DataFrame, label: str, score: str, one_class: float | None = 0.5) -> DataFrame:
     """(auc): the mean-rank statistic, over counts by distinct score."""
     s = df.dropna(subset=[label, score]).groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
-    below = running(bucketed(s, score), [score], {"n": F.col("n")})
+    below = running(laid(s, [score]), [score], {"n": F.col("n")})
     auc = F.try_divide(F.sum(F.col("p") * (F.col("_n_before") + F.col("n") / 2)), (F.sum("p") * F.sum("n")).cast("double"))
     return below.agg(F.coalesce(auc, F.lit(one_class).cast("double")).alias("auc"))
 
@@ -241,7 +255,7 @@ def roc_auc(df: DataFrame, label: str, score: str, one_class: float | None = 0.5
 def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """(threshold, tpr, fpr) at each distinct score, descending."""
     s = df.dropna(subset=[label, score]).groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
-    below = running(bucketed(s, "threshold"), ["threshold"], {"p": F.col("p"), "n": F.col("n")})
+    below = running(laid(s, ["threshold"]), ["threshold"], {"p": F.col("p"), "n": F.col("n")})
     rate = lambda c: F.coalesce(F.try_divide((F.col(f"_{c}_all") - F.col(f"_{c}_before")).cast("double"), F.col(f"_{c}_all").cast("double")), F.lit(0.0))
     return below.select("threshold", rate("p").alias("tpr"), rate("n").alias("fpr"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from turnlake.operators import stats
 from turnlake.operators.ml import balanced
+from turnlake.operators.ordered import quantile_row
 from turnlake.operators.tokens import tfidf
 
 #: Strengths tried, how much a strength is relaxed while nothing is chosen, and
@@ -180,7 +181,7 @@ def cases(predictions: DataFrame, sentences: DataFrame, k: int = 3, snippets: in
 def series_by_size(df: DataFrame, value: str, size: str) -> DataFrame:
     """Mean of a value by quarter for entities at or above, and below, the
     median size of all rows."""
-    cut = F.broadcast(df.agg(F.median(size).alias("_m")))  # one row
+    cut = F.broadcast(quantile_row(df, {"_m": (size, 0.5)}))  # one row
     return df.crossJoin(cut).withColumn("size_group", F.when(F.col(size) >= F.col("_m"), "large").otherwise("small")).groupBy("year", "quarter", "size_group").agg(F.avg(value).alias(value), F.count("*").alias("n"))
 
 

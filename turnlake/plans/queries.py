@@ -591,12 +591,6 @@ def ols_robust(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spark.createDataFrame(rows))
 
 
-@query(None)
-def fixed_effects(spark: SparkSession, d: str) -> DataFrame:
-    rows = stats.fixed_effects(panel.panel_features(_panel(spark, d)), ["rd_intensity"], "y_next_mktcap_growth", ["sector", "year"])
-    return rounded(spark.createDataFrame(rows, "coef double, n long, p double, std_err double, term string, z double"))
-
-
 @query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS dominant FROM embeddings")
 def dominant_component(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", S.dominant("embedding").alias("dominant"))
