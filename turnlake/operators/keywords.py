@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The topic dictionary, its strong categories, and the contexts.
@@ -102,25 +101,112 @@ class Lexicon:
         return topical, len(found), score, strong, len(weak), len(kept), *[sum(c == k for c, _, _ in found) for k in self.categories]
 
 
-def with_keywords(sentences: DataFrame, lexicon: Lexicon | None = None, text_col: str = "text") -> DataFrame:
-    """Add the keyword columns.
+#: A character of a word, and white space, as Python's expressions have them.
+_W, _SPACE = r"[\p{L}\p{N}_]", r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+#: Letters that are another letter in a different case, beyond what lower() does.
+_CASED = "".join(map(chr, (0x17F, 0x212A, 0x130))), "ski"
+
+
+def _pattern(patterns: list[str]) -> str:
+    """The same expression for the JVM: its own classes are those of ASCII."""
+    edge = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
+    joined = "|".join(f"(?:{p})" for p in patterns)
+    inner = _SPACE[1:-1]
+    return "(?iud)" + joined.replace("[-\\s]", f"[-{inner}]").replace("\\b", edge).replace("\\d", r"\p{Nd}").replace("\\s", _SPACE)
+
+
+def _folded(x: Column) -> Column:
+    return F.lower(F.translate(x, *_CASED))
+
 
-    Only texts that hold a keyword at all, which is seen natively, are sent to
-    Python, and only they, no other column; all others get zeros.
+def _forms(lexicon: Lexicon) -> list[tuple[str, str, str]]:
+    """(form, category, keyword): each keyword as it is, and its plural."""
+    out = []
+    for category, word, _ in lexicon.terms:
+        out.append((word, category, word))
+        if not (word in lexicon.exact or len(word) <= 3):
+            out.append((word + "s", category, word))
+    return out
+
+
+def keyword_hits_in(text: Column, lexicon: Lexicon) -> Column:
+    """array<struct<form, routine>>: keywords of a text in any letter case that
+    no neighbour cancels, and whether a routine context surrounds them.
+
+    The text is cut into runs of word and other characters.  A form of n words is
+    2n - 1 runs; where its first word stands, the rest is compared run by run, so
+    a text is read once however many keywords there are.  Contexts are cut from
+    the runs around a hit: each has a character at least.
     """
-    lexicon = lexicon or Lexicon()
-    names = [c.split()[0] for c in COLUMNS[:6]] + [f"kw_{c}_count" for c in lexicon.categories]
-    schema = ", ".join([*COLUMNS[:6], *[f"kw_{c}_count int" for c in lexicon.categories]])
-    nothing = lexicon.signals(None)
+    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{_W}+|[^{_W[1:-1]}]+"), F.lit(0))
+    split = lambda form: re.findall(r"\w+|\W+", form)
+    forms: dict[int, set[str]] = {}
+    for form, _, _ in _forms(lexicon):
+        forms.setdefault(len(split(form)), set()).add(form)
+    first = sorted({split(form)[0] for own in forms.values() for form in own})
+
+    def cut(z: Column, start: Column, n: Column) -> Column:
+        return F.array_join(F.slice(z, start, n), "")
+
+    def around(z: Column, m: Column, chars: int) -> Column:
+        """The hit with so many characters on both sides; ``at`` is from 0."""
+        before = F.right(cut(z, F.greatest(m["at"] - chars, F.lit(0)) + 1, F.least(m["at"], F.lit(chars))), F.lit(chars))
+        after = F.left(cut(z, m["at"] + m["n"] + 1, F.lit(chars)), F.lit(chars))
+        return F.concat(before, cut(z, m["at"] + 1, m["n"]), after)
 
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.DataFrame([nothing if t is None else lexicon.signals(t) for t in texts], columns=names)
+    def hits(z: Column) -> Column:
+        starts = F.filter(F.transform(z, lambda x, i: F.when(_folded(x).isin(first), i)), lambda i: i.isNotNull())
 
-    # A keyword in any letter case, anywhere: what each pattern needs at least.
-    hint = "(?iu)" + "|".join(sorted({re.sub(r"([^\w\s])", r"\\\1", w) for _, w, _ in lexicon.terms}))
-    scanned = F.pandas_udf(found, schema)(F.when(F.col(text_col).rlike(hint), F.col(text_col)))
-    return sentences.withColumn("_kw", scanned).select(*sentences.columns, *[F.col("_kw")[n].alias(n) for n in names])
+        def of(n: int, own: set[str]) -> Column:
+            made = F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), _folded(cut(z, i + 1, F.lit(n))).alias("form")))
+            return F.filter(made, lambda m: m["form"].isin(sorted(own)) & (m["at"] + m["n"] <= F.size(z)))
+
+        found = [of(n, own) for n, own in sorted(forms.items())]
+        kept = F.filter(F.concat(*found), lambda m: ~around(z, m, NEAR).rlike(_pattern(lexicon.neighbours)))
+        return F.transform(kept, lambda m: F.struct(m["form"].alias("form"), around(z, m, WIDE).rlike(_pattern(lexicon.routine)).alias("routine")))
+
+    # The runs are made once, and only texts that hold a keyword get further.
+    return F.element_at(F.transform(F.array(runs), hits), 1)
+
+
+def with_keywords(sentences: DataFrame, lexicon: Lexicon | None = None, text_col: str = "text") -> DataFrame:
+    """Add the keyword columns, all of them by column expressions.
+
+    A null text has zeros; other columns, whatever their names, pass unchanged.
+    """
+    lexicon = lexicon or Lexicon()
+    forms = _forms(lexicon)
+    hits = "_kw_hits" + "_" * max((len(c) for c in sentences.columns), default=0)
+    found = sentences.withColumn(hits, keyword_hits_in(F.col(text_col), lexicon))
+
+    def total(array: Column, pick) -> Column:
+        """How often the hits are forms of chosen keywords."""
+        times = Counter(form for form, category, word in forms if pick(category, word))
+        by: dict[int, list[str]] = {}
+        for form, n in times.items():
+            by.setdefault(n, []).append(form)
+        each = lambda m: sum((F.when(m["form"].isin(own), n).otherwise(0) for n, own in sorted(by.items())), F.lit(0))
+        return F.aggregate(array, F.lit(0), lambda acc, m: acc + each(m))
+
+    weak = lambda c, _: c not in lexicon.strong
+    free = F.filter(F.col(hits), lambda m: ~m["routine"])
+    def held(family: str) -> Column:
+        own = [x for x, c, w in forms if weak(c, w) and lexicon.family[w] == family]
+        return F.exists(free, lambda m: m["form"].isin(own)).cast("int")
+
+    kinds = sum((held(f) for f in sorted({lexicon.family[w] for c, w, _ in lexicon.terms if weak(c, w)})), F.lit(0))
+    strong_n, weak_n, kept_n = total(F.col(hits), lambda c, _: c in lexicon.strong), total(F.col(hits), weak), total(free, weak)
+    words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(f"[^{_SPACE[1:-1]}]+"))
+    none = F.size(hits) == 0  # most texts: nothing to count
+    count = lambda x: F.when(none, 0).otherwise(x).cast("int")
+    return found.select(
+        *[F.col(f"`{c}`") for c in sentences.columns],
+        F.when(none, False).otherwise((strong_n >= 1) | (kinds >= WEAK_NEEDED)).alias("kw_is_ai"), count(total(F.col(hits), lambda *_: True)).alias("kw_match_count"),
+        F.when(none | (words == 0), 0.0).otherwise((strong_n + kept_n) / words.cast("double") * 100).alias("kw_ai_score"),
+        count(strong_n).alias("kw_strong_count"), count(weak_n).alias("kw_weak_count"), count(kept_n).alias("kw_weak_nonexcluded_count"),
+        *[count(total(F.col(hits), lambda c, _, own=own: c == own)).alias(f"kw_{own}_count") for own in lexicon.categories],
+    )
 
 
 def topical(text: F.Column, strong: list[str], weak: list[str]) -> F.Column:
@@ -132,8 +218,25 @@ def topical(text: F.Column, strong: list[str], weak: list[str]) -> F.Column:
     return F.coalesce(any_word(text, strong) | (kinds >= WEAK_NEEDED), F.lit(False))
 
 
+def term_places(texts: DataFrame, terms: DataFrame, keep: list[str], term: str = "term") -> DataFrame:
+    """(keep..., term, place): where terms of one word or more stand in texts.
+
+    Words are runs of a-z.  Terms are a relation of any size: a place meets the
+    terms that begin with its word, and the words after it are compared then.
+    Longest terms decide how many words a place carries; no terms, no places.
+    """
+    words = F.regexp_extract_all(F.lower(F.col(term)), F.lit("[a-z]+"), F.lit(0))
+    wanted = terms.select(F.col(term).alias("term"), words.alias("_words")).filter(F.size("_words") > 0).distinct()
+    longest = wanted.agg(F.max(F.size("_words"))).first()[0] or 0
+    text = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("_w")
+    # Texts are cut to the words and what follows them before any join.
+    ahead = F.posexplode(F.transform("_w", lambda x, i: F.struct(x.alias("first"), F.slice("_w", i + 1, F.lit(max(longest, 1))).alias("ahead"))))
+    places = texts.select(*keep, text).select(*keep, ahead.alias("place", "_p")).select(*keep, "place", F.col("_p.first").alias("_first"), F.col("_p.ahead").alias("_ahead"))
+    met = places.join(wanted.withColumn("_first", F.element_at("_words", 1)), "_first")
+    return met.filter(F.slice("_ahead", 1, F.size("_words")) == F.col("_words")).select(*keep, "term", "place")
+
+
 def term_hits(texts: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, term, hits): single-word terms in texts, by a join on words rather
-    than a scan of every text for every term."""
-    words = texts.select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term"))
-    return words.join(terms.select("term").distinct(), "term").groupBy(key, "term").agg(F.count("*").alias("hits"))
+    """(key, term, hits): how often terms of one word or more stand in texts, by
+    a join on words rather than a scan of every text for every term."""
+    return term_places(texts, terms, [key]).groupBy(key, "term").agg(F.count("*").alias("hits"))

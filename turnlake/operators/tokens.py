@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.functions.scalars import count_in, guarded_ratio, words_in
+from turnlake.operators.keywords import term_places
 
 # Word lists of the measures.
 POSITIVE = ["benefit", "confidence", "efficient", "efficiency", "gain", "growth", "improve", "innovation", "lead", "margin", "opportunity", "optimize", "progress", "strong", "upgrade", "value"]
@@ -104,6 +105,8 @@ def tfidf(texts: DataFrame, low: int = 1, high: int = 2, min_df: int = 1, max_df
 
 
 def example_sentences(sentences: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, text): the first sentence that holds each one-word term."""
-    words = sentences.select("doc_id", "original_idx", "text", F.explode(F.array_distinct(words_in("text"))).alias("term"))
-    return words.join(terms.select("term").distinct(), "term").groupBy("term").agg(F.min_by("text", F.struct("doc_id", "original_idx")).alias("text"))
+    """(term, text): the first sentence that holds each term, of one word or more."""
+    places = term_places(sentences, terms, ["doc_id", "original_idx"]).select("doc_id", "original_idx", "term").distinct()
+    first = places.groupBy("term").agg(F.min(F.struct("doc_id", "original_idx")).alias("at")).select("term", "at.doc_id", "at.original_idx")
+    # Only the chosen sentences' texts are joined, not one for each place.
+    return first.join(sentences.select("doc_id", "original_idx", "text"), ["doc_id", "original_idx"]).groupBy("term").agg(F.min("text").alias("text"))
