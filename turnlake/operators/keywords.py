@@ -6,7 +6,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The topic dictionary, its strong categories, and the contexts.
@@ -104,20 +104,28 @@ class Lexicon:
 #: A character of a word, and white space, as Python's expressions have them.
 _W, _SPACE = r"[\p{L}\p{N}_]", r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+_BLANKS = "".join(map(chr, (*range(0x9, 0xE), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
 #: Letters that are another letter in a different case, beyond what lower() does.
 _CASED = "".join(map(chr, (0x17F, 0x212A, 0x130))), "ski"
 
 
 def _pattern(patterns: list[str]) -> str:
-    """The same expression for the JVM: its own classes are those of ASCII."""
+    """The same expression for the JVM, over folded text: its own classes are
+    those of ASCII."""
     edge = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
     joined = "|".join(f"(?:{p})" for p in patterns)
     inner = _SPACE[1:-1]
-    return "(?iud)" + joined.replace("[-\\s]", f"[-{inner}]").replace("\\b", edge).replace("\\d", r"\p{Nd}").replace("\\s", _SPACE)
+    return "(?d)" + joined.replace("[-\\s]", f"[-{inner}]").replace("\\b", edge).replace("\\d", r"\p{Nd}").replace("\\s", _SPACE)
+
 
+def _text(x: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def _folded(x: Column) -> Column:
-    return F.lower(F.translate(x, *_CASED))
+
+def _among(x: str, values) -> str:
+    return f"{x} IN ({', '.join(map(_text, sorted(values)))})" if values else "false"
 
 
 def _forms(lexicon: Lexicon) -> list[tuple[str, str, str]]:
@@ -130,44 +138,36 @@ def _forms(lexicon: Lexicon) -> list[tuple[str, str, str]]:
     return out
 
 
-def keyword_hits_in(text: Column, lexicon: Lexicon) -> Column:
-    """array<struct<form, routine>>: keywords of a text in any letter case that
-    no neighbour cancels, and whether a routine context surrounds them.
+def keyword_hits_sql(text_col: str, lexicon: Lexicon) -> str:
+    """SQL of array<struct<form, routine>>: keywords of a text in any letter case
+    that no neighbour cancels, and whether a routine context surrounds them.
 
     The text is cut into runs of word and other characters.  A form of n words is
     2n - 1 runs; where its first word stands, the rest is compared run by run, so
     a text is read once however many keywords there are.  Contexts are cut from
     the runs around a hit: each has a character at least.
     """
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{_W}+|[^{_W[1:-1]}]+"), F.lit(0))
+    folded = f"lower(translate(coalesce(`{text_col}`, ''), {_text(_CASED[0])}, {_text(_CASED[1])}))"
+    runs = f"regexp_extract_all({folded}, {_text(f'{_W}+|[^{_W[1:-1]}]+')}, 0)"
     split = lambda form: re.findall(r"\w+|\W+", form)
-    forms: dict[int, set[str]] = {}
+    weak, forms = {form for form, c, _ in _forms(lexicon) if c not in lexicon.strong}, {}
     for form, _, _ in _forms(lexicon):
         forms.setdefault(len(split(form)), set()).add(form)
-    first = sorted({split(form)[0] for own in forms.values() for form in own})
-
-    def cut(z: Column, start: Column, n: Column) -> Column:
-        return F.array_join(F.slice(z, start, n), "")
-
-    def around(z: Column, m: Column, chars: int) -> Column:
-        """The hit with so many characters on both sides; ``at`` is from 0."""
-        before = F.right(cut(z, F.greatest(m["at"] - chars, F.lit(0)) + 1, F.least(m["at"], F.lit(chars))), F.lit(chars))
-        after = F.left(cut(z, m["at"] + m["n"] + 1, F.lit(chars)), F.lit(chars))
-        return F.concat(before, cut(z, m["at"] + 1, m["n"]), after)
-
-    def hits(z: Column) -> Column:
-        starts = F.filter(F.transform(z, lambda x, i: F.when(_folded(x).isin(first), i)), lambda i: i.isNotNull())
-
-        def of(n: int, own: set[str]) -> Column:
-            made = F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), _folded(cut(z, i + 1, F.lit(n))).alias("form")))
-            return F.filter(made, lambda m: m["form"].isin(sorted(own)) & (m["at"] + m["n"] <= F.size(z)))
+    first = {split(form)[0] for own in forms.values() for form in own}
+    cut = lambda start, n: f"array_join(slice(z, {start}, {n}), '')"
 
-        found = [of(n, own) for n, own in sorted(forms.items())]
-        kept = F.filter(F.concat(*found), lambda m: ~around(z, m, NEAR).rlike(_pattern(lexicon.neighbours)))
-        return F.transform(kept, lambda m: F.struct(m["form"].alias("form"), around(z, m, WIDE).rlike(_pattern(lexicon.routine)).alias("routine")))
+    def around(chars: int) -> str:
+        """A hit m with so many characters on both sides; m.at is from 0."""
+        before = f"right({cut(f'greatest(m.at - {chars}, 0) + 1', f'least(m.at, {chars})')}, {chars})"
+        return f"concat({before}, {cut('m.at + 1', 'm.n')}, left({cut('m.at + m.n + 1', chars)}, {chars}))"
 
-    # The runs are made once, and only texts that hold a keyword get further.
-    return F.element_at(F.transform(F.array(runs), hits), 1)
+    starts = f"filter(transform(z, (x, i) -> CASE WHEN {_among('x', first)} THEN i END), i -> i IS NOT NULL)"
+    of = lambda n, own: f"filter(transform(s, i -> named_struct('at', i, 'n', {n}, 'form', {cut('i + 1', n)})), m -> {_among('m.form', own)} AND m.at + m.n <= size(z))"
+    found = f"concat({', '.join(of(n, own) for n, own in sorted(forms.items()))})"
+    kept = f"filter(flatten(transform(array({starts}), s -> {found})), m -> NOT rlike({around(NEAR)}, {_text(_pattern(lexicon.neighbours))}))"
+    routine = f"CASE WHEN {_among('m.form', weak)} THEN rlike({around(WIDE)}, {_text(_pattern(lexicon.routine))}) ELSE false END"
+    # The arrays of one element bind the runs and the starts to a name each.
+    return f"transform(array({runs}), z -> transform({kept}, m -> named_struct('form', m.form, 'routine', {routine})))[0]"
 
 
 def with_keywords(sentences: DataFrame, lexicon: Lexicon | None = None, text_col: str = "text") -> DataFrame:
@@ -178,35 +178,31 @@ def with_keywords(sentences: DataFrame, lexicon: Lexicon | None = None, text_col
     lexicon = lexicon or Lexicon()
     forms = _forms(lexicon)
     hits = "_kw_hits" + "_" * max((len(c) for c in sentences.columns), default=0)
-    found = sentences.withColumn(hits, keyword_hits_in(F.col(text_col), lexicon))
+    found = sentences.withColumn(hits, F.expr(keyword_hits_sql(text_col, lexicon)))
+    free = f"filter(`{hits}`, m -> NOT m.routine)"
 
-    def total(array: Column, pick) -> Column:
+    def total(pick, array: str = f"`{hits}`") -> str:
         """How often the hits are forms of chosen keywords."""
-        times = Counter(form for form, category, word in forms if pick(category, word))
         by: dict[int, list[str]] = {}
-        for form, n in times.items():
+        for form, n in Counter(form for form, category, _ in forms if pick(category)).items():
             by.setdefault(n, []).append(form)
-        each = lambda m: sum((F.when(m["form"].isin(own), n).otherwise(0) for n, own in sorted(by.items())), F.lit(0))
-        return F.aggregate(array, F.lit(0), lambda acc, m: acc + each(m))
-
-    weak = lambda c, _: c not in lexicon.strong
-    free = F.filter(F.col(hits), lambda m: ~m["routine"])
-    def held(family: str) -> Column:
-        own = [x for x, c, w in forms if weak(c, w) and lexicon.family[w] == family]
-        return F.exists(free, lambda m: m["form"].isin(own)).cast("int")
-
-    kinds = sum((held(f) for f in sorted({lexicon.family[w] for c, w, _ in lexicon.terms if weak(c, w)})), F.lit(0))
-    strong_n, weak_n, kept_n = total(F.col(hits), lambda c, _: c in lexicon.strong), total(F.col(hits), weak), total(free, weak)
-    words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(f"[^{_SPACE[1:-1]}]+"))
-    none = F.size(hits) == 0  # most texts: nothing to count
-    count = lambda x: F.when(none, 0).otherwise(x).cast("int")
-    return found.select(
-        *[F.col(f"`{c}`") for c in sentences.columns],
-        F.when(none, False).otherwise((strong_n >= 1) | (kinds >= WEAK_NEEDED)).alias("kw_is_ai"), count(total(F.col(hits), lambda *_: True)).alias("kw_match_count"),
-        F.when(none | (words == 0), 0.0).otherwise((strong_n + kept_n) / words.cast("double") * 100).alias("kw_ai_score"),
-        count(strong_n).alias("kw_strong_count"), count(weak_n).alias("kw_weak_count"), count(kept_n).alias("kw_weak_nonexcluded_count"),
-        *[count(total(F.col(hits), lambda c, _, own=own: c == own)).alias(f"kw_{own}_count") for own in lexicon.categories],
-    )
+        each = " ".join(f"WHEN {_among('m.form', own)} THEN {n}" for n, own in sorted(by.items()))
+        return f"aggregate({array}, 0, (n, m) -> n + CASE {each} ELSE 0 END)" if by else "0"
+
+    weak = lambda c: c not in lexicon.strong
+    kinds = {}
+    for form, category, word in forms:
+        if weak(category):
+            kinds.setdefault(lexicon.family[word], set()).add(form)
+    families = " + ".join(f"int(exists({free}, m -> {_among('m.form', own)}))" for own in kinds.values()) or "0"
+    strong_n, kept_n = total(lambda c: not weak(c)), total(weak, free)
+    words = f"regexp_count(translate(`{text_col}`, {_text(_BLANKS)}, '{' ' * len(_BLANKS)}'), '[^ ]+')"
+    values = {
+        "kw_is_ai": f"{strong_n} >= 1 OR {families} >= {WEAK_NEEDED}", "kw_match_count": total(lambda _: True), "kw_ai_score": f"coalesce(({strong_n} + {kept_n}) / double(nullif({words}, 0)) * 100, 0D)",
+        "kw_strong_count": strong_n, "kw_weak_count": total(weak), "kw_weak_nonexcluded_count": kept_n, **{f"kw_{own}_count": total(lambda c, own=own: c == own) for own in lexicon.categories},
+    }
+    none = {"kw_is_ai": "false", "kw_ai_score": "0D"}  # of most texts: nothing to count
+    return found.select(*[F.col(f"`{c}`") for c in sentences.columns], *[F.expr(f"CASE WHEN size(`{hits}`) = 0 THEN {none.get(c, '0')} ELSE {x} END").alias(c) for c, x in values.items()])
 
 
 def topical(text: F.Column, strong: list[str], weak: list[str]) -> F.Column:
