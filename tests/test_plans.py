@@ -112,6 +112,9 @@ def test_sql_agrees_on_made_texts(spark, tmp_path):
         [("system", "hello"), ("user", "hm"), ("system", "The first question, then."), ("assistant", "yes")],
         [("assistant", "hi"), ("assistant", "hi"), ("user", "what? " * 3)],
         [("user", None), ("assistant", "")],
+        # A line break ends what a rule may span.
+        [("assistant", long), ("assistant", long), ("assistant", "x"), ("system", "open the lines now\nfor your questions please"), ("user", "so")],
+        [("assistant", long), ("assistant", long), ("assistant", "x"), ("system", "open the lines now for your questions please"), ("user", "so")],
     ]
     spark.createDataFrame([(c, t, r, x) for c, s in enumerate(sessions) for t, (r, x) in enumerate(s)], "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
     con = duckdb.connect()
@@ -120,4 +123,4 @@ def test_sql_agrees_on_made_texts(spark, tmp_path):
     for name in ("keyword_signal_exact", "question_session_start", "sentence_explode"):
         _same(spark, con, name, str(tmp_path))
     starts = [r.qa_start for r in plans.QUERIES["question_session_start"](spark, str(tmp_path)).orderBy("doc_id").collect()]
-    assert starts == [0, 3, 3, 1, 2, 1, 2]
+    assert starts == [0, 3, 3, 1, 2, 1, 2, 5, 3]

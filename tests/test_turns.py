@@ -37,15 +37,84 @@ def test_boundary_passes(spark):
     assert _start(spark, [(ceo, LONG), (ceo, LONG)]).qa_start == 2  # none
 
 
-def test_session_roles():
-    infer = turns._infer
-    ops, none = ["operator"], [None]
-    assert infer(["operator", "unknown", "unknown"], ["operator", "bob lee", "ann"], [False, False, False], set(), ["bob lee", None, None]) == ["operator", "analyst", "management"]
-    assert infer(["unknown"], ["jane"], [True], {"jane"}, none) == ["management"]
-    assert infer(["unknown", "unknown"], ["x", "y"], [False, True], set(), none * 2) == ["management", "analyst"]
-    assert infer(ops, ["operator"], [False], set(), none) == ops
-    # What is learnt of a speaker holds for the rest of the session.
-    assert infer(["operator", "unknown", "unknown", "unknown"], ["operator", "bob", "ann", "bob"], [False] * 4, set(), [None] * 4) == ["operator", "analyst", "management", "analyst"]
+def _infer(first, names, asks, known, announced):
+    """Roles of a session, turn by turn."""
+    out, cache, expected = [], {}, set()
+    for role, name, told in zip(first, names, announced, strict=True):
+        if role == "operator":
+            if told:
+                expected.add(told)
+                cache[told] = "analyst"
+            out.append("operator")
+            continue
+        found = "management" if name in known else role if role in ("analyst", "management") else "analyst" if name in expected else None
+        if found:
+            cache[name] = found
+        out.append(found or cache.get(name))
+    after, before = {"operator": "analyst", "analyst": "management"}, None
+    for i, role in enumerate(out):
+        if role is None:
+            role = cache.get(names[i]) or after.get(before) or ("analyst" if asks[i] else "management" if before == "management" else None)
+            if role:
+                cache[names[i]] = role
+            out[i] = role
+        before = role or before
+    return [role or cache.get(name) or ("analyst" if ask else "management") for role, name, ask in zip(out, names, asks, strict=True)]
+
+
+def _roles(spark, sessions):
+    df = spark.createDataFrame(list(enumerate(sessions)), "i int, s struct<f:array<string>,n:array<string>,a:array<boolean>,k:array<string>,t:array<string>>").select("i", "s.*")
+    out = df.select("i", F.expr(turns.roles_sql("f", "n", "a", "k", "t")).alias("r"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    return [r.r for r in out.orderBy("i").collect()]
+
+
+def test_session_roles(spark):
+    none = [None]
+    sessions = [
+        (["operator", "unknown", "unknown"], ["operator", "bob lee", "ann"], [False] * 3, [], ["bob lee", None, None]), (["unknown"], ["jane"], [True], ["jane"], none),
+        (["unknown", "unknown"], ["x", "y"], [False, True], [], none * 2), (["operator"], ["operator"], [False], [], none), ([], [], [], [], []),
+        # What is learnt of a speaker holds for the rest of the session.
+        (["operator", "unknown", "unknown", "unknown"], ["operator", "bob", "ann", "bob"], [False] * 4, [], [None] * 4),
+    ]
+    assert _roles(spark, sessions) == [["operator", "analyst", "management"], ["management"], ["management", "analyst"], ["operator"], [], ["operator", "analyst", "management", "analyst"]]
+
+
+def test_session_roles_of_many_sessions(spark):
+    rng = random.Random(5)
+    sessions = []
+    for _ in range(20_000):
+        n, people = rng.randrange(0, 9), ["a", "b", "c", "d", ""][: rng.randrange(1, 6)]
+        first = [rng.choice(["operator", "analyst", "management", "unknown", "unknown", "unknown"]) for _ in range(n)]
+        told = [rng.choice([*people, None, None]) if r == "operator" else None for r in first]
+        sessions.append((first, [rng.choice(people) for _ in range(n)], [rng.random() < 0.4 for _ in range(n)], rng.sample(people, rng.randrange(0, 2)), told))
+    assert _roles(spark, sessions) == [_infer(*s) for s in sessions]
+
+
+def test_rows_that_share_an_id_keep_their_own_roles(spark):
+    kind = "doc_id string, speech_turns array<struct<speaker:string,text:string>>, qa_turns array<struct<speaker:string,text:string>>"
+    rows = [("a", [("Jane", "x")], [("Jane", "why?"), ("Bob", "so")]), ("a", [], [("Jane", "why?"), ("Bob", "so")]), (None, None, None)]
+    out = turns.session_roles(spark.createDataFrame(rows, kind))
+    assert sorted((len(r.speech_turns or []), r.roles) for r in out.collect() if r.doc_id) == [(0, ["analyst", "management"]), (1, ["management", "management"])] and out.count() == 3
+
+
+def test_broken_cells_are_named(spark):
+    good = json.dumps([{"speaker": "Jane CEO", "text": "Hello."}, {"speaker": "Bob", "text": None, "more": 1}])
+    cells = {
+        "good": good, "broken": good[:-2], "object": '{"speaker": "A"}', "number": "[1]", "missing": '[{"speaker": "A", "text": "x"}, {"text": "y"}]', "no text": '[{"speaker": "A"}]',
+        "typed": '[{"speaker": 5, "text": "x"}]', "listed": '[{"speaker": "A", "text": ["x"]}]', "empty": "[]", "blank": " ",
+    }
+    df = spark.createDataFrame(list(cells.items()), "doc_id string, structured_content string")
+    parsed, errors = turns.parse_batch(df, strict=True)
+    assert {r.doc_id for r in parsed.collect()} == {"good", "empty"}
+    assert {r.doc_id: r.error for r in errors.collect()} == {
+        "broken": "not JSON", "object": "not a list but object<speaker: string>", "number": "turn 0 is bigint", "missing": "turn 1: no speaker", "no text": "turn 0: no text",
+        "typed": "turn 0: speaker is bigint", "listed": "turn 0: text is array<string>", "blank": "no content",
+    }
+    lenient, errors = turns.parse_batch(df)
+    assert lenient.count() == 9 and [tuple(r) for r in errors.collect()] == [("blank", "no content")]
+    same = lambda frame: frame.filter("doc_id = 'good'").first().asDict(True)
+    assert same(lenient) == same(parsed)
 
 
 def test_parse_calls(spark):

@@ -5,9 +5,6 @@ All windows are partitioned by document, so a plan shuffles turns once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,53 +58,55 @@ def question_start(turns: DataFrame, key: str = "doc_id") -> DataFrame:
 _ROLES = "array<struct<speaker:string,role:string,text:string,is_question:boolean>>"
 
 
-def _infer(first: list[str | None], names: list[str], asks: list[bool], known: set[str], announced: list[str | None]) -> list[str]:
-    """Roles of one question session.  What is learnt of a speaker holds for all
-    of their turns, so this is a recurrence over the turns."""
-    out: list[str | None] = []
-    cache: dict[str, str] = {}
-    expected: set[str] = set()
-    for role, name, told in zip(first, names, announced, strict=True):
-        if role == "operator":
-            if told:
-                expected.add(told)
-                cache[told] = "analyst"
-            out.append("operator")
-            continue
-        found = "management" if name in known else role if role in ("analyst", "management") else "analyst" if name in expected else None
-        if found:
-            cache[name] = found
-        out.append(found or cache.get(name))
-    after = {"operator": "analyst", "analyst": "management"}
-    before = None  # the last role settled so far
-    for i, role in enumerate(out):
-        if role is None:
-            name = names[i]
-            role = cache.get(name) or after.get(before) or ("analyst" if asks[i] else "management" if before == "management" else None)
-            if role:
-                cache[name] = role
-            out[i] = role
-        before = role or before
-    return [role or cache.get(name) or ("analyst" if ask else "management") for role, name, ask in zip(out, names, asks, strict=True)]
+def _known(cache: str, name: str) -> str:
+    """SQL: what is noted last of a name in array<struct<name, role>>."""
+    return f"try_element_at(filter({cache}, c -> c.name = {name}), -1).role"
 
 
-def session_roles(calls: DataFrame) -> DataFrame:
-    """Add ``roles`` (one per question turn) to (speech_turns, qa_turns)."""
+def _noted(cache: str, name: str, role: str) -> str:
+    """SQL: a note added if it is new, so that notes are as many as names."""
+    return f"CASE WHEN {role} <=> {_known(cache, name)} THEN {cache} ELSE array_append({cache}, named_struct('name', {name}, 'role', {role})) END"
+
+
+def roles_sql(first: str, names: str, asks: str, known: str, announced: str) -> str:
+    """SQL of the roles of one question session, from arrays with an entry for
+    each turn: the role of the label alone, the speaker, whether the turn asks,
+    and whom an operator announces; ``known``: who spoke before the session.
+
+    What is learnt of a speaker holds for all of their turns, so this is a
+    recurrence: a fold over the turns notes what labels and announcements tell,
+    a second one fills the gaps from who spoke before.  Time grows with the
+    square of the turns of one call, by a copy of short arrays a turn.
+    """
+    none, notes = "cast(array() AS array<string>)", "cast(array() AS array<struct<name: string, role: string>>)"
+    let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
+    turn = f"transform({names}, (n, i) -> named_struct('f', {first}[i], 'n', n, 't', {announced}[i], 'a', {asks}[i]))"
+    told = "x.t IS NOT NULL AND x.t <> ''"
+    operator = f"named_struct('notes', CASE WHEN {told} THEN {_noted('s.notes', 'x.t', chr(39) + 'analyst' + chr(39))} ELSE s.notes END, 'expected', CASE WHEN {told} THEN array_append(s.expected, x.t) ELSE s.expected END, 'out', array_append(s.out, 'operator'))"
+    found = f"CASE WHEN array_contains({known}, x.n) THEN 'management' WHEN x.f IN ('analyst', 'management') THEN x.f WHEN array_contains(s.expected, x.n) THEN 'analyst' END"
+    speaker = let(found, "g", f"named_struct('notes', CASE WHEN g IS NULL THEN s.notes ELSE {_noted('s.notes', 'x.n', 'g')} END, 'expected', s.expected, 'out', array_append(s.out, coalesce(g, {_known('s.notes', 'x.n')})))")
+    start = f"named_struct('notes', {notes}, 'expected', {none}, 'out', {none})"
+    told_first = f"aggregate(z, {start}, (s, x) -> CASE WHEN x.f = 'operator' THEN {operator} ELSE {speaker} END)"
+
+    follows = "CASE s.before WHEN 'operator' THEN 'analyst' WHEN 'analyst' THEN 'management' END"
+    guess = f"coalesce({_known('s.notes', 'x.n')}, {follows}, CASE WHEN x.a THEN 'analyst' WHEN s.before = 'management' THEN 'management' END)"
+    settled = "named_struct('notes', s.notes, 'before', x.o, 'out', array_append(s.out, x.o))"
+    filled = let(guess, "g", f"named_struct('notes', CASE WHEN g IS NULL THEN s.notes ELSE {_noted('s.notes', 'x.n', 'g')} END, 'before', coalesce(g, s.before), 'out', array_append(s.out, g))")
+    second = f"aggregate(transform(z, (x, i) -> named_struct('n', x.n, 'a', x.a, 'o', p.out[i])), named_struct('notes', p.notes, 'before', cast(NULL AS string), 'out', {none}), (s, x) -> CASE WHEN x.o IS NULL THEN {filled} ELSE {settled} END)"
+    last = let(second, "q", f"transform(z, (x, i) -> coalesce(q.out[i], {_known('q.notes', 'x.n')}, CASE WHEN x.a THEN 'analyst' ELSE 'management' END))")
+    return let(turn, "z", let(told_first, "p", last))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["roles"] = [_infer(list(f), list(n), list(a), set(k), list(t)) for f, n, a, k, t in zip(pdf.f_, pdf.n_, pdf.a_, pdf.k_, pdf.t_, strict=True)]
-            yield pdf[["row_", "roles"]]
 
+def session_roles(calls: DataFrame) -> DataFrame:
+    """Add ``roles`` (one per question turn) to (speech_turns, qa_turns), in the
+    row: calls aren't moved, and rows that share an id stay apart."""
     name = lambda s: F.lower(F.regexp_replace(F.trim(F.coalesce(s, F.lit(""))), r"\s+", " "))
     spoke = F.filter("speech_turns", lambda t: ~R.is_operator(t["speaker"]))
-    facts = calls.select(
-        F.col("doc_id").alias("row_"), F.transform("qa_turns", lambda t: R.role_of(t["speaker"])).alias("f_"), F.transform("qa_turns", lambda t: name(t["speaker"])).alias("n_"),
-        F.transform("qa_turns", lambda t: R.is_question(t["text"])).alias("a_"), F.array_distinct(F.transform(spoke, lambda t: name(t["speaker"]))).alias("k_"),
-        F.transform("qa_turns", lambda t: F.when(R.is_operator(t["speaker"]), R.introduced_analyst(t["text"]))).alias("t_"),
-    )
-    kind = calls.schema["doc_id"].dataType.simpleString()
-    return calls.join(facts.mapInPandas(run, f"row_ {kind}, roles array<string>").withColumnRenamed("row_", "doc_id"), "doc_id")
+    facts = {
+        "_first": F.transform("qa_turns", lambda t: R.role_of(t["speaker"])), "_names": F.transform("qa_turns", lambda t: name(t["speaker"])), "_asks": F.transform("qa_turns", lambda t: R.is_question(t["text"])),
+        "_known": F.array_distinct(F.transform(spoke, lambda t: name(t["speaker"]))), "_announced": F.transform("qa_turns", lambda t: F.when(R.is_operator(t["speaker"]), R.introduced_analyst(t["text"]))),
+    }
+    return calls.withColumns(facts).withColumn("roles", F.expr(roles_sql(*facts))).drop(*facts)
 
 
 def parse_calls(calls: DataFrame) -> DataFrame:
@@ -127,13 +126,28 @@ def parse_calls(calls: DataFrame) -> DataFrame:
     return out.drop("roles").withColumn("speech_word_count", word_count("speech_text")).withColumn("qa_word_count", word_count("qa_text")).withColumn("num_qa_exchanges", asked)
 
 
-def parse_batch(calls: DataFrame, cell: str = "structured_content") -> tuple[DataFrame, DataFrame]:
+def broken_turns(cell: str) -> Column:
+    """Why a JSON cell isn't a list of turns with a speaker and a text, or null:
+    the first thing that is wrong, with its turn."""
+    turns = f"cast(try_parse_json(`{cell}`) AS array<variant>)"
+    kind = f"schema_of_variant(try_parse_json(`{cell}`))"
+    field = lambda c: f"CASE WHEN try_variant_get(x, '$.{c}', 'variant') IS NULL THEN concat('turn ', i, ': no {c}') WHEN schema_of_variant(try_variant_get(x, '$.{c}', 'variant')) NOT IN ('STRING', 'VOID') THEN concat('turn ', i, ': {c} is ', lower(schema_of_variant(try_variant_get(x, '$.{c}', 'variant')))) END"
+    turn = f"CASE WHEN schema_of_variant(x) NOT LIKE 'OBJECT%' THEN concat('turn ', i, ' is ', lower(schema_of_variant(x))) ELSE coalesce({field('speaker')}, {field('text')}) END"
+    first = f"filter(transform({turns}, (x, i) -> {turn}), r -> r IS NOT NULL)"
+    return F.expr(f"CASE WHEN try_parse_json(`{cell}`) IS NULL THEN 'not JSON' WHEN {kind} NOT LIKE 'ARRAY%' THEN concat('not a list but ', lower({kind})) ELSE try_element_at({first}, 1) END")
+
+
+def parse_batch(calls: DataFrame, cell: str = "structured_content", strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(parsed calls, (doc_id, error) of rows that can't be parsed).
 
     A row without an id, without content, or whose id is there more than once is
-    an error of its own; all others are parsed.
+    an error of its own; all others are parsed.  A cell that isn't a list of turns
+    is read as one turn of an unknown speaker; if ``strict`` it is an error, with
+    what is wrong and where, and its row isn't parsed.
     """
     reason = F.when(F.col("doc_id").isNull(), "no id").when(F.col(cell).isNull() | (F.trim(F.col(cell)) == ""), "no content").when(F.col("_n") > 1, "repeated id")
+    if strict:
+        reason = reason.otherwise(broken_turns(cell))
     marked = calls.withColumn("_n", F.count("*").over(Window.partitionBy("doc_id"))).withColumn("error", reason).drop("_n")
     good = marked.filter("error IS NULL").drop("error").withColumn("turns", decode_turns(cell)).drop(cell)
     return parse_calls(good), marked.filter("error IS NOT NULL").select("doc_id", "error")

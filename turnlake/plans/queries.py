@@ -146,7 +146,7 @@ def question_turns(spark: SparkSession, d: str) -> DataFrame:
 
 def _session_sql() -> str:
     """The six rules as windows over what was said before."""
-    found = lambda patterns: "regexp_matches(x, '(?is)" + "|".join(patterns).replace("'", "''") + "')"
+    found = lambda patterns: "regexp_matches(x, '(?i)" + "|".join(patterns).replace("'", "''") + "')"
     holds = lambda phrases: "(" + " OR ".join(f"contains(lower(x), '{p}')" for p in [y.replace("'", "''") for y in phrases]) + ")"
     return f"""WITH {_TURNS}, t AS (SELECT doc_id, turn_idx AS pos, coalesce(text, '') AS x, role = 'operator' AS op, role, trim(regexp_replace(coalesce(text, ''), '[ \\t-\\r]+', ' ', 'g')) AS flat FROM turns),
 b AS (SELECT *, sum(CASE WHEN role = 'management' AND flat <> '' THEN len(string_split(flat, ' ')) ELSE 0 END) OVER before AS words, sum(CAST(role = 'management' AS INTEGER)) OVER before AS talks, sum(CAST(NOT op AS INTEGER)) OVER before AS others FROM t
