@@ -1,6 +1,9 @@
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from turnlake.operators import ml
 from turnlake.operators import textmodels as M
 
 
@@ -43,3 +46,43 @@ def test_cases_and_rows(spark):
     assert [tuple(r) for r in M.terms_by_year(years, ["ai", "ai models"]).orderBy("term").collect()] == [(2020, "ai", 1), (2020, "ai models", 1)]
     mixed = spark.createDataFrame([("a", [0.3, 0.7], 1)], "doc_id string, mixture array<double>, dominant_topic int")
     assert {r.doc_id: (r.topic_1, r.dominant_1) for r in M.topic_features(mixed, p.select("doc_id"), 2).collect()} == {"a": (0.7, 1), "b": (0.0, 0), "c": (0.0, 0)}
+
+
+def _fold_texts(spark):
+    rows = [(i, i % 3, " ".join(f"w{(i * k) % 11}x" if k % 4 else "only" + "abc"[i % 3] for k in range(1, 9)), i % 2) for i in range(30)] + [(90, 0, "", 1), (91, 1, None, 0)]
+    return rows, spark.createDataFrame(rows, "doc_id long, fold int, text string, target int")
+
+
+def test_vocabularies_of_folds_know_nothing_of_what_is_held_out(spark):
+    rows, df = _fold_texts(spark)
+    found = {}
+    for r in M.fold_weights(df, 3, 1, 2, min_df=2, max_df=0.9, max_terms=12).collect():
+        found[r.held, r.doc_id, r.term] = r.weight
+    want = {}
+    for held in range(3):
+        of = {}
+        for i, fold, text, _ in rows:
+            w = "".join(c if "a" <= c <= "z" else " " for c in (text or "").lower()).split()
+            of[i] = (fold, Counter([*w, *map(" ".join, zip(w, w[1:], strict=False))]))
+        train = [c for fold, c in of.values() if fold != held]
+        df_, n = Counter(t for c in train for t in c), sum(train, Counter())
+        kept = sorted((t for t in df_ if df_[t] >= 2 and df_[t] <= len(train) * 0.9), key=lambda t: (-n[t], t))[:12]
+        assert not any("only" + "abc"[held] in t for t in kept)  # a word of the held-out fold alone
+        for i, (_, c) in of.items():
+            w = {t: (1 + np.log(c[t])) * (np.log((1 + len(train)) / (1 + df_[t])) + 1) for t in kept if c[t]}
+            norm = np.sqrt(sum(v * v for v in w.values()))
+            want |= {(held, i, t): v / norm for t, v in w.items()}
+    assert found.keys() == want.keys() and all(abs(found[k] - v) < 1e-12 for k, v in want.items())
+
+
+def test_benchmark_of_four_models(spark):
+    rows = [(i, f"g{i % 8}", float(i % 5), "ab"[i % 2], "growth strong orders" if i // 8 % 2 else "weak decline costs", i // 8 % 2) for i in range(64)]
+    df = spark.createDataFrame(rows, "doc_id long, ticker string, x double, sector string, text string, target int")
+    out = ml.compared(df, "target", "ticker", ["x"], [], folds=2, trees=3, text="text")
+    summary = {r.model: r for r in out["summary"].collect()}
+    assert set(summary) == {"majority", "logistic_l1", "random_forest", "text_l1"} and out["overlap"] == 0
+    assert summary["text_l1"].auc_mean == 1.0 and summary["majority"].auc_mean == 0.5 and summary["text_l1"].folds == 2
+    curve = [(r.tpr, r.fpr) for r in out["roc"].filter("model = 'text_l1'").orderBy("threshold").collect()]
+    assert curve[0] == (1.0, 1.0) and out["folds"].count() == 8
+    one = M.fold_scores(df.select("doc_id", "text", (F.col("doc_id") % 2).cast("int").alias("fold"), F.lit(1).alias("target")), "target", 2)
+    assert {r.score for r in one.collect()} == {1.0}

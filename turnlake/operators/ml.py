@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from turnlake.functions.scalars import dominant
 from turnlake.operators import stats
+from turnlake.sources.scratch import Steps
 
 #: A quarter with fewer documents has no topics; most topics, terms.
 TOPIC_DOCS, TOPICS, TOPIC_TERMS = 10, 20, 5_000
@@ -74,24 +75,43 @@ def out_of_fold(df: DataFrame, model, label: str, numeric: list[str], categorica
     return out
 
 
-def benchmark(df: DataFrame, label: str, group: str, numeric: list[str], categorical: list[str], folds: int = 5, trees: int = 300) -> DataFrame:
-    """(model, auc_mean, auc_std, f1_mean, ...) over group folds, best first.
-    No group is in the training and the test rows of a fold."""
-    dealt = stats.group_folds(df, group, folds).cache()
-    models = {"majority": None, "logistic_l1": lambda n: lasso_logistic(n, label=label), "random_forest": lambda n: forest(label, trees)}
-    rows = []
-    for name, model in models.items():
-        scored = dealt.withColumn("score", F.lit(0.5)) if model is None else out_of_fold(dealt, model, label, numeric, categorical, folds)
-        scored = scored.cache()
+_MEASURES = ("auc", "accuracy", "precision", "recall", "f1")
+
+
+def compared(df: DataFrame, label: str, group: str, numeric: list[str], categorical: list[str], folds: int = 5, trees: int = 300, text: str | None = None) -> dict:
+    """The models of a benchmark over group folds.
+
+    ``summary``: (model, auc_mean, auc_std, ..., folds), best first; ``folds``:
+    the measures of each fold; ``roc``: (model, threshold, tpr, fpr) over all
+    held-out rows; ``overlap``: groups that are in two folds, 0 by construction
+    and counted here.  Models: the majority, L1 logistic regression and a forest
+    on the columns, and with ``text`` L1 logistic regression on that column
+    (rows have doc_id), whose vocabulary and idf are those of the training folds.
+    """
+    from turnlake.operators import textmodels
+
+    keep = Steps(df.sparkSession)
+    dealt = keep.stored(stats.group_folds(df, group, folds), "folds")
+    made = {"majority": lambda: dealt.withColumn("score", F.lit(0.5)), "logistic_l1": lambda: out_of_fold(dealt, lambda n: lasso_logistic(n, label=label), label, numeric, categorical, folds), "random_forest": lambda: out_of_fold(dealt, lambda n: forest(label, trees), label, numeric, categorical, folds)}
+    if text:
+        made["text_l1"] = lambda: textmodels.fold_scores(dealt.select("doc_id", F.col(text).alias("text"), "fold", label), label, folds)
+    rows, curves = [], []
+    for name, scores in made.items():
+        scored = keep.stored(scores().select("fold", label, "score"), "scored")
         for f in range(folds):
             one = scored.filter(F.col("fold") == f)
             m = stats.classification_metrics(one, label, "score").first()
             rows.append((name, f, stats.roc_auc(one, label, "score").first()["auc"], m["accuracy"], m["precision"], m["recall"], m["f1"]))
-        scored.unpersist()
-    dealt.unpersist()
-    each = df.sparkSession.createDataFrame(rows, "model string, fold int, auc double, accuracy double, precision double, recall double, f1 double")
-    parts = [e for c in ("auc", "accuracy", "precision", "recall", "f1") for e in (F.avg(c).alias(f"{c}_mean"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{c}_std"))]
-    return each.groupBy("model").agg(*parts, F.count("*").alias("folds")).orderBy(F.desc("auc_mean"), "model")
+        curves.append(stats.roc_curve(scored, label, "score").select(F.lit(name).alias("model"), "threshold", "tpr", "fpr"))
+    each = df.sparkSession.createDataFrame(rows, "model string, fold int, " + ", ".join(f"{m} double" for m in _MEASURES))
+    parts = [e for c in _MEASURES for e in (F.avg(c).alias(f"{c}_mean"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{c}_std"))]
+    overlap = dealt.groupBy(group).agg(F.count_distinct("fold").alias("n")).filter("n > 1").count()
+    return {"summary": each.groupBy("model").agg(*parts, F.count("*").alias("folds")).orderBy(F.desc("auc_mean"), "model"), "folds": each, "roc": reduce(DataFrame.unionByName, curves), "overlap": overlap}
+
+
+def benchmark(df: DataFrame, label: str, group: str, numeric: list[str], categorical: list[str], folds: int = 5, trees: int = 300, text: str | None = None) -> DataFrame:
+    """(model, auc_mean, auc_std, f1_mean, ...) over group folds, best first."""
+    return compared(df, label, group, numeric, categorical, folds, trees, text)["summary"]
 
 
 def later_quarters(df: DataFrame, k: int = 4) -> tuple[DataFrame, DataFrame]:

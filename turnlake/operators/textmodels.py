@@ -6,72 +6,111 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnlake.operators import stats
+from turnlake.operators import sparse, stats
 from turnlake.operators.ml import balanced
 from turnlake.operators.ordered import quantile_row
-from turnlake.operators.tokens import tfidf
+from turnlake.operators.tokens import grams, tfidf
+from turnlake.sources.scratch import Steps
 
 #: Strengths tried, how much a strength is relaxed while nothing is chosen, and
 #: how often at most.
 STRENGTHS, RELAX, RELAXATIONS = [1e-5, 1e-4, 1e-3, 1e-2], 0.3, 6
 
 
-def text_vectors(texts: DataFrame, terms: int = 2_000, extra: list[str] | None = None, key: str = "doc_id", **weights) -> tuple[DataFrame, list[str]]:
-    """(texts with ``features``, names): TF-IDF weights of the ``terms`` most
-    frequent terms, then the extra columns.  A text without terms has zeros."""
-    w = tfidf(texts.select(key, "text"), max_terms=terms, key=key, **weights)
-    names = sorted(r["term"] for r in w.select("term").distinct().collect())  # at most ``terms``
-    index = texts.sparkSession.createDataFrame(list(enumerate(names)), "i int, term string")
-    rows = w.join(F.broadcast(index), "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("w"))
-    size, more = len(names), extra or []
+def text_weights(texts: DataFrame, terms: int = 2_000, extra: list[str] | None = None, **weights) -> DataFrame:
+    """(doc_id, term, weight): TF-IDF weights of the ``terms`` most frequent
+    terms, and each extra column as a term of its name in brackets."""
+    w = tfidf(texts.select("doc_id", "text"), max_terms=terms, **weights).select("doc_id", "term", "weight")
+    for c in extra or []:
+        w = w.unionByName(texts.select("doc_id", F.lit(f"[{c}]").alias("term"), F.col(c).cast("double").alias("weight")).filter("weight <> 0"))
+    return w
 
-    @F.udf(VectorUDT())
-    def vector(pairs, values):
-        at = [(p["i"], p["weight"]) for p in pairs or []] + [(size + j, v) for j, v in enumerate(values or []) if v]
-        return Vectors.sparse(size + len(more), at)
 
-    values = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in more]).cast("array<double>")
-    return texts.join(rows, key, "left").withColumn("features", vector("w", values)).drop("w"), [*names, *more]
+def fold_weights(texts: DataFrame, folds: int, low: int = 1, high: int = 2, min_df: int = 1, max_df: float = 1.0, max_terms: int = 2_000, stop: list[str] | None = None) -> DataFrame:
+    """(held, doc_id, term, weight): TF-IDF weights of every document for each
+    held-out fold, from the statistics of the other folds alone.
+
+    ``texts`` has doc_id, text and fold, a row a document.  Texts are scanned
+    once: what the other folds count is the total less the fold's own, so the
+    vocabularies of all folds follow from one table.  A term that only the
+    held-out fold has takes no part; a document of unknown terms has no row.
+    """
+    keep = Steps(texts.sparkSession)
+    counted = keep.stored(grams(texts, low, high, "doc_id", stop).groupBy("doc_id", "term").agg(F.count("*").alias("tf")).join(texts.select("doc_id", "fold"), "doc_id"), "counts")
+    own = texts.groupBy("fold").agg(F.count("*").alias("docs"))
+    sizes = own.agg(F.sum("docs").alias("all")).crossJoin(own).select("fold", (F.col("all") - F.col("docs")).alias("docs"))
+    by = lambda c, f: F.sum(F.when(F.col("fold") == f, c).otherwise(0))
+    total = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"), *[e for f in range(folds) for e in (by(F.lit(1), f).alias(f"df{f}"), by(F.col("tf"), f).alias(f"n{f}"))])
+    total = keep.stored(total, "terms")
+    left = []
+    for f in range(folds):
+        train = total.select("term", (F.col("df") - F.col(f"df{f}")).alias("df"), (F.col("n") - F.col(f"n{f}")).alias("n")).crossJoin(F.broadcast(sizes.filter(F.col("fold") == f)))  # one row
+        kept = train.filter((F.col("df") >= max(min_df, 1)) & (F.col("df") <= F.col("docs") * max_df))
+        left.append(kept.orderBy(F.desc("n"), "term").limit(max_terms).select(F.lit(f).alias("held"), "term", "df", "docs"))
+    vocabulary = left[0]
+    for more in left[1:]:
+        vocabulary = vocabulary.unionByName(more)
+    raw = counted.drop("fold").join(vocabulary, "term").withColumn("w", (1 + F.ln("tf")) * (F.ln((1 + F.col("docs")) / (1 + F.col("df"))) + 1))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("held", "doc_id")))
+    return raw.select("held", "doc_id", "term", (F.col("w") / norm).alias("weight"))
+
+
+def fold_scores(texts: DataFrame, label: str, folds: int, c: float = 0.8, **weights) -> DataFrame:
+    """``texts`` (doc_id, text, fold, label) with ``score``: the chance that an L1
+    logistic regression on the text, fitted on the other folds with classes of
+    equal weight, gives; the training share where one class or no term is left."""
+    keep = Steps(texts.sparkSession)
+    w = keep.stored(fold_weights(texts, folds, **weights), "weights")
+    rows = texts.filter(F.col(label).isNotNull())
+    parts = []
+    for f in range(folds):
+        own, train, test = w.filter(F.col("held") == f).drop("held"), rows.filter(F.col("fold") != f), texts.filter(F.col("fold") == f)
+        n, share = train.agg(F.count("*"), F.avg(F.col(label).cast("double"))).first()
+        if not n or share in (0.0, 1.0):
+            parts.append(test.withColumn("score", F.lit(0.5 if share is None else share)))
+            continue
+        fitted = sparse.fit(own, balanced(train, label), label, 1 / (c * n), logistic=True, weight="weight")
+        scored = sparse.margins(own, test, fitted).withColumn("score", 1 / (1 + F.exp(-F.col("margin")))).drop("margin")
+        parts.append(keep.stored(scored, "scores"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def sparse_classifier(texts: DataFrame, label: str, extra: list[str] | None = None, c: float = 0.8, folds: int = 4, terms: int = 2_000, least: int = 12) -> dict | None:
     """L1 logistic regression on text: out-of-fold scores and their measures,
     and the terms with a coefficient, with document frequencies.  None with
     fewer than ``least`` texts or one class."""
+    keep = Steps(texts.sparkSession)
     rows = texts.dropna(subset=[label])
     classes = [r[0] for r in rows.select(label).distinct().collect()]
     n = rows.count()
     if n < least or len(classes) < 2:
         return None
-    made, names = text_vectors(rows, terms, extra)
-    made = stats.hash_folds(balanced(made, label), "doc_id", folds, stratum=label).cache()
-    model = lambda k: LogisticRegression(labelCol=label, weightCol="weight", elasticNetParam=1.0, regParam=1 / (c * max(k, 1)), standardization=False, maxIter=200)
+    weights = keep.stored(text_weights(rows, terms, extra), "weights")
+    made = keep.stored(stats.hash_folds(balanced(rows, label), "doc_id", folds, stratum=label), "rows")
+    whole = sparse.fit(weights, made, label, 1 / (c * n), logistic=True, weight="weight")
     parts = []
     for f in range(folds):
         train, test = made.filter(F.col("fold") != f), made.filter(F.col("fold") == f)
-        fitted = model(train.count()).fit(train)
-        parts.append(fitted.transform(test).select("doc_id", label, vector_to_array("probability")[1].alias("score")))
+        fitted = sparse.fit(weights, train, label, 1 / (c * max(train.count(), 1)), logistic=True, weight="weight", start=whole)
+        parts.append(sparse.margins(weights, test, fitted).select("doc_id", label, (1 / (1 + F.exp(-F.col("margin")))).alias("score")))
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)
-    whole = model(n).fit(made)
-    chosen = [(name, float(v)) for name, v in zip(names, whole.coefficients.toArray(), strict=True) if v]
-    df = tfidf(rows.select("doc_id", "text"), max_terms=terms).groupBy("term").agg(F.max("df").alias("df"))
-    terms_out = rows.sparkSession.createDataFrame(chosen, "term string, coefficient double").join(df, "term", "left").orderBy(F.desc(F.abs("coefficient")), "term")
+    scored = keep.stored(scored, "scores")
+    df = weights.groupBy("term").agg(F.count("*").alias("df"))
+    terms_out = rows.sparkSession.createDataFrame(list(whole.coefficients.items()), "term string, coefficient double").join(df, "term", "left").orderBy(F.desc(F.abs("coefficient")), "term")
     measures = stats.classification_metrics(scored, label, "score").first().asDict() | {"roc_auc": stats.roc_auc(scored, label, "score", None).first()["auc"], "n": n, "target": label}
-    made.unpersist()
     return {"scores": scored, "terms": terms_out, "measures": measures}
 
 
 def _r2(df: DataFrame, y: str) -> float:
-    value = stats.regression_metrics(df, y, "prediction").first()["r2"]
+    value = stats.regression_metrics(df, y, "margin").first()["r2"]
     return -math.inf if value is None else value
 
 
@@ -82,38 +121,42 @@ def text_regression(texts: DataFrame, y: str, terms: int = 2_000, ratio: float =
     is chosen it is relaxed; if none ever is, terms are ranked by their
     correlation with y.  Stability: share of half samples that choose the term.
     """
-    made, names = text_vectors(texts.dropna(subset=[y]), terms)
-    t = F.col("year") * 4 + F.col("quarter")
-    made = made.withColumn("_t", t).cache()
-    quarters = sorted(r[0] for r in made.select("_t").distinct().collect())
-    net = lambda a: LinearRegression(labelCol=y, elasticNetParam=ratio, regParam=a, standardization=False, maxIter=100)
-
-    def judged(a: float) -> float:
-        found = []
-        for part in (1, 2):
-            cut = quarters[len(quarters) * part // 3] if len(quarters) >= 3 else None
-            if cut is not None:
-                end = quarters[min(len(quarters) * (part + 1) // 3, len(quarters) - 1)]
-                found.append(_r2(net(a).fit(made.filter(F.col("_t") < cut)).transform(made.filter(F.col("_t").between(cut, end))), y))
-        return float(np.mean(found)) if found else 0.0
-
-    strength = max(STRENGTHS, key=lambda a: (judged(a), a))
-    coefficients = np.zeros(len(names))
+    keep = Steps(texts.sparkSession)
+    rows = keep.stored(texts.dropna(subset=[y]).withColumn("_t", F.col("year") * 4 + F.col("quarter")), "rows")
+    weights = keep.stored(text_weights(rows, terms), "weights")
+    quarters = sorted(r[0] for r in rows.select("_t").distinct().collect())  # a bounded calendar
+    judged: dict[float, list[float]] = {a: [] for a in STRENGTHS}
+    for part in (1, 2) if len(quarters) >= 3 else ():
+        cut, end = quarters[len(quarters) * part // 3], quarters[min(len(quarters) * (part + 1) // 3, len(quarters) - 1)]
+        train, test, found = rows.filter(F.col("_t") < cut), rows.filter(F.col("_t").between(cut, end)), None
+        for a in sorted(STRENGTHS, reverse=True):  # each begins where the stronger one ended
+            found = sparse.fit(weights, train, y, a, ratio, start=found)
+            judged[a].append(_r2(sparse.margins(weights, test, found), y))
+    strength = max(STRENGTHS, key=lambda a: (float(np.mean(judged[a])) if judged[a] else 0.0, a))
+    found = sparse.Fit(0.0)
     for _ in range(RELAXATIONS):
-        coefficients = net(strength).fit(made).coefficients.toArray()
-        if np.any(coefficients):
+        found = sparse.fit(weights, rows, y, strength, ratio)
+        if found.coefficients:
             break
         strength *= RELAX
-    if not np.any(coefficients):
-        at = made.withColumn("_a", vector_to_array("features"))
-        row = at.agg(*[F.corr(F.col("_a")[i], F.col(y)) for i in range(len(names))]).first()
-        coefficients = np.array([v or 0.0 for v in row])
-    chosen = np.zeros(len(names))
+    chosen = found.coefficients or _correlations(weights, rows, y)
+    times = dict.fromkeys(chosen, 0)
     for d in range(draws):
-        half = made.filter(F.pmod(F.xxhash64("doc_id", F.lit(d)), F.lit(2)) == 0)
-        chosen += net(strength).fit(half).coefficients.toArray() != 0
-    made.unpersist()
-    return texts.sparkSession.createDataFrame([(n, float(c), float(s) / draws) for n, c, s in zip(names, coefficients, chosen, strict=True) if c], "term string, coefficient double, stability double").orderBy(F.desc(F.abs("coefficient")), "term")
+        half = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(d)), F.lit(2)) == 0)
+        for t in sparse.fit(weights, half, y, strength, ratio, start=found).coefficients:
+            times[t] = times.get(t, 0) + 1
+    return texts.sparkSession.createDataFrame([(t, c, times[t] / max(draws, 1)) for t, c in chosen.items() if c], "term string, coefficient double, stability double").orderBy(F.desc(F.abs("coefficient")), "term")
+
+
+def _correlations(weights: DataFrame, rows: DataFrame, y: str) -> dict[str, float]:
+    """Correlation of each term's weight with y over all rows, zeros included; at
+    most the terms of the weights."""
+    n, mean, dev = rows.agg(F.count("*"), F.avg(y), F.stddev_pop(y)).first()
+    if not n or not dev:
+        return {}
+    sums = weights.join(rows.select("doc_id", F.col(y).cast("double").alias("_y")), "doc_id").groupBy("term").agg(F.sum("weight").alias("s"), F.sum(F.col("weight") * F.col("weight")).alias("q"), F.sum(F.col("weight") * F.col("_y")).alias("p"))
+    spread = F.sqrt(F.col("q") / n - F.pow(F.col("s") / n, 2))
+    return {r["term"]: r["r"] for r in sums.filter(spread > 0).select("term", ((F.col("p") / n - F.col("s") / n * mean) / spread / dev).alias("r")).collect() if r["r"]}
 
 
 def out_of_fold_tau(df: DataFrame, x: list[str], y: str, group: str, folds: int = 5, least: int = 10) -> tuple[DataFrame, float]:
