@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from turnlake.operators.keywords import CATEGORIES, Lexicon
 from turnlake.plans import catalogue as plans
 from turnlake.plans.report import report
 from turnlake.plans.stages import Pipeline, check_calls, check_dataset, research_dataset
@@ -65,6 +66,34 @@ def test_pipeline_end_to_end(spark, tmp_path):
     assert "| AAA_2024Q1 |" in report("Run", {"Scores": out["initiation_scores"], "Note": "text"})
 
 
+def test_stages_know_what_they_are_made_from(spark, tmp_path):
+    calls = _calls(spark)
+    first = Pipeline(spark, str(tmp_path))
+    first.run(calls)
+    assert len(first.made) == 7
+    same = Pipeline(spark, f"file://{tmp_path}")  # a path of the store, rows in another order
+    same.run(calls.orderBy(F.desc("ticker")).repartition(3))
+    assert same.made == []
+    fewer = Lexicon(categories={c: w for c, w in CATEGORIES.items() if c != "automation"})
+    other = Pipeline(spark, str(tmp_path), lexicon=fewer)
+    other.run(calls)
+    assert other.made == ["sentences_with_keywords", "section_metrics", "document_metrics", "exchanges", "initiation_scores"]
+    changed = Pipeline(spark, str(tmp_path), lexicon=fewer)
+    changed.run(calls.withColumn("structured_content", F.regexp_replace("structured_content", "margins", "costs")))
+    assert len(changed.made) == 7
+    changed.manifest()
+    assert tables.read_json(f"{tmp_path}/manifest.json")["made"] == changed.made and tables.read_json(f"{tmp_path}/none.json") is None
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "x.json").write_text("{")
+    assert tables.read_json(f"{tmp_path}/cut/x.json") is None
+
+
+def test_digests_of_rows(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, None, 1.0), (2, None, 1.0)], "i int, s string, d double")
+    one = tables.content_digest(df)
+    assert one == tables.content_digest(df.repartition(3)) and len({one, *(tables.content_digest(x) for x in (df.distinct(), df.withColumn("s", F.lit("b")), df.select("s", "i", "d"), df.limit(0), df.unionByName(df.filter("i = 2"))))}) == 6
+
+
 def test_checks(spark):
     calls = _calls(spark)
     with pytest.raises(ValueError, match="missing"):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
 from dataclasses import dataclass, field
 
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from turnlake.operators import metrics, panel, turns
 from turnlake.operators.keywords import Lexicon, with_keywords
 from turnlake.operators.sentences import split_turns
-from turnlake.sources.tables import decode_turns, materialised, write_json
+from turnlake.sources.tables import FINGERPRINT, code_digest, content_digest, decode_turns, materialised, read_json, write_json
 
 #: Columns that calls must have, and the key that must be unique.
 CALL_COLUMNS, CALL_KEY = ["ticker", "year", "quarter", "structured_content"], ["ticker", "year", "quarter"]
@@ -42,38 +44,64 @@ def check_dataset(df: DataFrame) -> dict:
 
 @dataclass
 class Pipeline:
-    """Stages 1 to 6 of a run under ``output``; ``force`` redoes what is there."""
+    """Stages 1 to 6 of a run under ``output``; ``force`` redoes what is there.
+
+    A stage knows digests of the calls, of its parameters, of the code and of the
+    stages it reads; if one is another than when it was written, it and what
+    follows from it are made anew, and nothing else is.
+    """
 
     spark: SparkSession
     output: str
     lexicon: Lexicon = field(default_factory=Lexicon)
     force: bool = False
     took: dict[str, float] = field(default_factory=dict)
+    made: list[str] = field(default_factory=list)
+    prints: dict[str, str] = field(default_factory=dict)
 
-    def _stage(self, name: str, make) -> DataFrame:
+    def stage(self, name: str, make, reads: list[str], **parameters) -> DataFrame:
+        """A relation, written once for the same inputs; ``reads`` are stages and
+        inputs whose digests are known."""
         began = time.time()
-        out = materialised(self.spark, f"{self.output}/{name}", make, self.force)
+        inputs = {"code": self._code(), "parameters": json.dumps(parameters, sort_keys=True, default=str), **{r: self.prints[r] for r in reads}}
+        self.prints[name] = hashlib.sha256(json.dumps([name, inputs], sort_keys=True).encode()).hexdigest()
+
+        def noted() -> DataFrame:
+            self.made.append(name)
+            return make()
+
+        out = materialised(self.spark, f"{self.output}/{name}", noted, self.force, inputs)
         self.took[name] = round(time.time() - began, 3)
         return out
 
+    def _code(self) -> str:
+        if "code" not in self.prints:
+            self.prints["code"] = code_digest()
+        return self.prints["code"]
+
     def run(self, calls: DataFrame, start: int = 1) -> dict[str, DataFrame]:
         """Relations by name.  Stages before ``start`` must have been written."""
         check_calls(calls)
+        self.prints["calls"] = content_digest(calls.select(CALL_COLUMNS))
         key = F.concat("ticker", F.lit("_"), F.col("year").cast("string"), F.lit("Q"), F.col("quarter").cast("string"))
         turned = calls.select(key.alias("doc_id"), "ticker", "year", "quarter", decode_turns("structured_content").alias("turns"))
-        read = lambda n: (lambda: self.spark.read.parquet(f"{self.output}/{n}"))
         out: dict[str, DataFrame] = {}
 
-        def step(i: int, name: str, make) -> None:
-            out[name] = read(name)() if i < start else self._stage(name, make)
-
-        step(1, "parsed_transcripts", lambda: turns.parse_calls(turned))
-        step(2, "sentences", lambda: split_turns(out["parsed_transcripts"]))
-        step(3, "sentences_with_keywords", lambda: with_keywords(out["sentences"], self.lexicon))
-        step(5, "section_metrics", lambda: metrics.section_metrics(out["sentences_with_keywords"]))
-        step(5, "document_metrics", lambda: metrics.document_metrics(out["section_metrics"]))
-        step(6, "exchanges", lambda: self.exchanges(out["sentences_with_keywords"]))
-        step(6, "initiation_scores", lambda: turns.initiation_scores(out["exchanges"]))
+        def step(i: int, name: str, make, reads: list[str], **parameters) -> None:
+            if i < start:
+                out[name] = self.spark.read.parquet(f"{self.output}/{name}")
+                self.prints[name] = json.dumps(read_json(f"{self.output}/{name}/{FINGERPRINT}", self.spark), sort_keys=True)
+            else:
+                out[name] = self.stage(name, make, reads, **parameters)
+
+        words = {"lexicon": [self.lexicon.categories, self.lexicon.strong, self.lexicon.exact, self.lexicon.neighbours, self.lexicon.routine, self.lexicon.families]}
+        step(1, "parsed_transcripts", lambda: turns.parse_calls(turned), ["calls"])
+        step(2, "sentences", lambda: split_turns(out["parsed_transcripts"]), ["parsed_transcripts"])
+        step(3, "sentences_with_keywords", lambda: with_keywords(out["sentences"], self.lexicon), ["sentences"], **words)
+        step(5, "section_metrics", lambda: metrics.section_metrics(out["sentences_with_keywords"]), ["sentences_with_keywords"])
+        step(5, "document_metrics", lambda: metrics.document_metrics(out["section_metrics"]), ["section_metrics"])
+        step(6, "exchanges", lambda: self.exchanges(out["sentences_with_keywords"]), ["sentences_with_keywords"], **words)
+        step(6, "initiation_scores", lambda: turns.initiation_scores(out["exchanges"]), ["exchanges"])
         return out
 
     def exchanges(self, sentences: DataFrame) -> DataFrame:
@@ -85,7 +113,7 @@ class Pipeline:
         return pairs.join(flags, ["doc_id", "exchange_idx"]).withColumn("initiation_type", turns.initiation_type(F.col("question_is_ai"), F.col("answer_is_ai")))
 
     def manifest(self) -> None:
-        write_json({"seconds": self.took, "output": self.output, "spark": self.spark.version}, f"{self.output}/manifest.json")
+        write_json({"seconds": self.took, "made": self.made, "fingerprints": self.prints, "output": self.output, "spark": self.spark.version}, f"{self.output}/manifest.json", self.spark)
 
 
 def research_dataset(out: dict[str, DataFrame], fundamentals: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 from collections.abc import Callable
 from pathlib import Path
 
@@ -71,10 +70,39 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_json(content: dict, path: str) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as file:
-        json.dump(content, file, indent=2, sort_keys=True, default=str)
+def _place(spark: SparkSession, path: str):
+    """(file system, path) of a path of any store that Spark reaches."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def write_json(content: dict, path: str, spark: SparkSession | None = None) -> None:
+    """A document, written where Spark writes: the folder is made, a file that is
+    there is replaced."""
+    files, place = _place(spark or SparkSession.active(), path)
+    stream = files.create(place, True)
+    try:
+        stream.write(bytearray(json.dumps(content, indent=2, sort_keys=True, default=str).encode()))
+    finally:
+        stream.close()
+
+
+def read_json(path: str, spark: SparkSession | None = None) -> dict | None:
+    """The document, or None if there is none or it isn't one."""
+    spark = spark or SparkSession.active()
+    files, place = _place(spark, path)
+    if not files.exists(place):
+        return None
+    stream = files.open(place)
+    try:
+        text = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")
+    finally:
+        stream.close()
+    try:
+        found = json.loads(text)
+    except json.JSONDecodeError:
+        return None
+    return found if isinstance(found, dict) else None
 
 
 def file_digests(spark: SparkSession, pattern: str) -> DataFrame:
@@ -90,11 +118,39 @@ def digest(path: str) -> str:
     return found.hexdigest()
 
 
-def materialised(spark: SparkSession, path: str, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:
-    """Write a stage once: an output that is there is read unless forced."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    if force or not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+def content_digest(df: DataFrame) -> str:
+    """A digest of the rows and columns of a table, in one pass: the same
+    whatever the order of rows and however many files hold them."""
+    row = F.xxhash64(*[F.to_json(F.struct(f"`{c}`")) if t.startswith(("map", "variant")) else F.col(f"`{c}`") for c, t in df.dtypes], F.concat_ws(",", *[F.col(f"`{c}`").isNull().cast("string") for c in df.columns]))
+    n, mixed, total = df.select(row.alias("h")).agg(F.count("*"), F.bit_xor("h"), F.sum(F.col("h").cast("decimal(38,0)"))).first()
+    return hashlib.sha256(repr((df.dtypes, n, mixed, total and int(total))).encode()).hexdigest()
+
+
+def code_digest() -> str:
+    """A digest of the package's own sources."""
+    root, found = Path(__file__).resolve().parents[1], hashlib.sha256()
+    for file in sorted(p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts):
+        found.update(str(file.relative_to(root)).encode() + b"\0" + file.read_bytes())
+    return found.hexdigest()
+
+
+FINGERPRINT = "_fingerprint.json"
+
+
+def materialised(spark: SparkSession, path: str, make: Callable[[], DataFrame], force: bool = False, inputs: dict[str, str] | None = None) -> DataFrame:
+    """Write a stage once: an output that is there is read unless forced.
+
+    With ``inputs``, digests of what the stage is made from (tables, parameters,
+    code), they are kept beside the output, and an output made from others is made
+    anew.  An output that was cut short has no digests and is made anew too.
+    """
+    files, done = _place(spark, path + "/_SUCCESS")
+    kept = f"{path}/{FINGERPRINT}"
+    stale = inputs is not None and read_json(kept, spark) != inputs
+    if force or stale or not files.exists(done):
         make().write.mode("overwrite").parquet(path)
+        if inputs is not None:
+            write_json(inputs, kept, spark)
     return spark.read.parquet(path)
 
 
