@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnlake.operators.ordered import quantile_row
+from turnlake.operators.ordered import quantile_row, quantiles
 
 
 def quarter_trends(df: DataFrame, metrics: list[str]) -> DataFrame:
@@ -18,6 +18,30 @@ def entity_year(df: DataFrame, entity: str, means: list[str], sums: list[str]) -
     return df.groupBy(entity, "year").agg(*[F.avg(c).alias(c) for c in means], *[F.sum(c).alias(c) for c in sums], F.count("*").alias("n"))
 
 
+def company_years(documents: DataFrame) -> DataFrame:
+    """(ticker, year, mean ratios, sums of sentences by section, the same of both
+    sections together, num_calls) of document metrics with ticker and year.
+    Documents without either go; a missing count adds nothing to a total."""
+    sections, kinds = ("speech", "qa"), ("kw_ai_sentences", "total_sentences")
+    means = ["overall_kw_ai_ratio", *[f"{s}_kw_ai_ratio" for s in sections]]
+    out = entity_year(documents.dropna(subset=["ticker", "year"]), "ticker", means, [f"{s}_{k}" for k in kinds for s in sections]).withColumnRenamed("n", "num_calls")
+    both = lambda k: sum((F.coalesce(f"{s}_{k}", F.lit(0)) for s in sections), F.lit(0)).cast("long")
+    return out.withColumns({f"overall_{k}": both(k) for k in kinds})
+
+
+def boxes(df: DataFrame, group: str, metrics: list[str]) -> DataFrame:
+    """(group, metric, n, low, q1, median, q3, high): what a box plot draws, with
+    whiskers at the outermost values within one and a half boxes."""
+    q = quantiles(df, metrics, [0.25, 0.5, 0.75], [group])
+    of = lambda s: F.max(F.when(F.col("share") == s, F.col("value")))
+    box = q.groupBy(group, "metric").agg(of(0.25).alias("q1"), of(0.5).alias("median"), of(0.75).alias("q3"))
+    long = df.unpivot([group], [F.col(m).cast("double").alias(m) for m in metrics], "metric", "value").filter("value IS NOT NULL AND NOT isnan(value)")
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
+    met = long.alias("l").join(box.alias("b"), F.col(f"l.{group}").eqNullSafe(F.col(f"b.{group}")) & (F.col("l.metric") == F.col("b.metric")))
+    return met.select("b.*", "value").groupBy(group, "metric", "q1", "median", "q3").agg(F.count("*").alias("n"), F.min(F.when(inside, F.col("value"))).alias("low"), F.max(F.when(inside, F.col("value"))).alias("high")).select(group, "metric", "n", "low", "q1", "median", "q3", "high")
+
+
 def group_year(entities: DataFrame, group: str, entity: str, metric: str) -> DataFrame:
     return entities.groupBy(group, "year").agg(F.avg(metric).alias(metric), F.count_distinct(entity).alias("n_entities"))
 

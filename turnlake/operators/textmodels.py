@@ -81,7 +81,7 @@ def fold_scores(texts: DataFrame, label: str, folds: int, c: float = 0.8, **weig
     return out
 
 
-def sparse_classifier(texts: DataFrame, label: str, extra: list[str] | None = None, c: float = 0.8, folds: int = 4, terms: int = 2_000, least: int = 12) -> dict | None:
+def sparse_classifier(texts: DataFrame, label: str, extra: list[str] | None = None, c: float = 0.8, folds: int = 4, terms: int = 2_000, least: int = 12, longest: int = 2) -> dict | None:
     """L1 logistic regression on text: out-of-fold scores and their measures,
     and the terms with a coefficient, with document frequencies.  None with
     fewer than ``least`` texts or one class."""
@@ -91,7 +91,7 @@ def sparse_classifier(texts: DataFrame, label: str, extra: list[str] | None = No
     n = rows.count()
     if n < least or len(classes) < 2:
         return None
-    weights = keep.stored(text_weights(rows, terms, extra), "weights")
+    weights = keep.stored(text_weights(rows, terms, extra, high=longest), "weights")
     made = keep.stored(stats.hash_folds(balanced(rows, label), "doc_id", folds, stratum=label), "rows")
     whole = sparse.fit(weights, made, label, 1 / (c * n), logistic=True, weight="weight")
     parts = []
@@ -248,8 +248,27 @@ def head_and_tail(df: DataFrame, order: list[str], n: int) -> DataFrame:
     return first.unionByName(last).dropDuplicates(order)
 
 
-def terms_by_year(sentences: DataFrame, terms: list[str], top: int = 50) -> DataFrame:
-    """(year, term, n): the most frequent of the given terms in each year."""
+def terms_by_year(sentences: DataFrame, terms: list[str], top: int = 50, overall: bool = False) -> DataFrame:
+    """(year, term, n): the most frequent of the given terms in each year, and
+    with ``overall`` of all years together, whose year is null."""
     hits = sentences.select("year", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b(?:" + "|".join(sorted(terms, key=len, reverse=True)) + r")\b"), F.lit(0))).alias("term"))
-    rank = F.row_number().over(Window.partitionBy("year").orderBy(F.desc("n"), "term"))
-    return hits.groupBy("year", "term").agg(F.count("*").alias("n")).withColumn("_n", rank).filter(F.col("_n") <= top).drop("_n")
+    counted = hits.groupBy("year", "term").agg(F.count("*").alias("n"))
+    if overall:
+        counted = counted.filter("year IS NOT NULL").unionByName(counted.groupBy("term").agg(F.sum("n").alias("n")).select(F.lit(None).cast(counted.schema["year"].dataType).alias("year"), "term", "n"))
+    rank = F.row_number().over(Window.partitionBy("year").orderBy(F.desc("n"), "term"))  # a row a term
+    return counted.withColumn("_n", rank).filter(F.col("_n") <= top).drop("_n")
+
+
+def volcano(weights: DataFrame, rows: DataFrame, y: str, coefficients: DataFrame) -> DataFrame:
+    """(term, df, correlation, t, coefficient): each term's correlation with y
+    over all rows, zeros included, its t statistic, and its coefficient (0.0 if
+    it isn't chosen).  A term that every row has alike has no correlation."""
+    keep = rows.select("doc_id", F.col(y).cast("double").alias("_y")).dropna()
+    facts = F.broadcast(keep.agg(F.count("*").alias("_n"), F.avg("_y").alias("_m"), F.stddev_pop("_y").alias("_d")))  # one row
+    w = F.col("weight")
+    sums = weights.join(keep, "doc_id").groupBy("term").agg(F.count("*").alias("df"), F.sum(w).alias("s"), F.sum(w * w).alias("q"), F.sum(w * F.col("_y")).alias("p")).crossJoin(facts)
+    n = F.col("_n")
+    spread = F.sqrt(F.greatest(F.col("q") / n - F.pow(F.col("s") / n, 2), F.lit(0.0))) * F.col("_d")
+    r = (F.col("p") / n - F.col("s") / n * F.col("_m")) / F.nullif(spread, F.lit(0.0))
+    t = F.col("r") * F.sqrt((n - 2) / F.nullif(F.greatest(1 - F.col("r") * F.col("r"), F.lit(0.0)), F.lit(0.0)))
+    return sums.withColumn("r", r).join(coefficients.select("term", "coefficient"), "term", "left").select("term", "df", F.col("r").alias("correlation"), t.alias("t"), F.coalesce("coefficient", F.lit(0.0)).alias("coefficient"))

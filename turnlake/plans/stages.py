@@ -42,6 +42,10 @@ def check_dataset(df: DataFrame) -> dict:
     return found | {"ok": bool(found["rows"]) and found["rows"] == found["documents"] and not found["null_keys"] and not found["not_ascending"]}
 
 
+def _print(name: str, inputs: dict | None) -> str:
+    return hashlib.sha256(json.dumps([name, inputs], sort_keys=True).encode()).hexdigest()
+
+
 @dataclass
 class Pipeline:
     """Stages 1 to 6 of a run under ``output``; ``force`` redoes what is there.
@@ -64,7 +68,7 @@ class Pipeline:
         inputs whose digests are known."""
         began = time.time()
         inputs = {"code": self._code(), "parameters": json.dumps(parameters, sort_keys=True, default=str), **{r: self.prints[r] for r in reads}}
-        self.prints[name] = hashlib.sha256(json.dumps([name, inputs], sort_keys=True).encode()).hexdigest()
+        self.prints[name] = _print(name, inputs)
 
         def noted() -> DataFrame:
             self.made.append(name)
@@ -90,7 +94,7 @@ class Pipeline:
         def step(i: int, name: str, make, reads: list[str], **parameters) -> None:
             if i < start:
                 out[name] = self.spark.read.parquet(f"{self.output}/{name}")
-                self.prints[name] = json.dumps(read_json(f"{self.output}/{name}/{FINGERPRINT}", self.spark), sort_keys=True)
+                self.prints[name] = _print(name, read_json(f"{self.output}/{name}/{FINGERPRINT}", self.spark))
             else:
                 out[name] = self.stage(name, make, reads, **parameters)
 
