@@ -74,9 +74,10 @@ def quantiles(df: DataFrame, columns: list[str], shares: list[float], by: list[s
     extent = values.groupBy(*keys, "metric").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).select("*", sought)
     at = F.floor((F.col("n") - 1) * F.col("q.share"))
     state = extent.select(*keys, "metric", "q.share", "q.side", "n", F.least(at + F.col("q.side"), F.col("n") - 1).alias("k"), "low", "high", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"))
-    state = steps.stored(state, "ranks")
     who = [*keys, "metric", "share", "side"]
-    while (state.filter("low < high").agg(F.max("inside")).first()[0] or 0) > FEW:
+    few = values.count() <= FEW  # then every interval is short enough as it is
+    state = state if few else steps.stored(state, "ranks")
+    while not few and (state.filter("low < high").agg(F.max("inside")).first()[0] or 0) > FEW:
         open_ = _within(values, state.filter("low < high"), keys)
         bins = open_.groupBy(*who, _place(F.col("low"), F.col("high"), F.col("v")).alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("l"), F.max("v").alias("h"), F.first("n").alias("n"), F.first("k").alias("k"), F.first("below").alias("below"))
         before = F.col("below") + F.coalesce(F.sum("c").over(Window.partitionBy(*who).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over BINS rows
