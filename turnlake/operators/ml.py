@@ -14,8 +14,9 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.functions.scalars import dominant
+from turnlake.functions.scalars import dominant, quarter_index
 from turnlake.operators import stats
+from turnlake.operators import topics as quarterly
 from turnlake.sources.scratch import Steps
 
 #: A quarter with fewer documents has no topics; most topics, terms.
@@ -152,16 +153,16 @@ def topics(docs: DataFrame, seed: int = 42, stop: list[str] | None = None, top:
 
 
 def topics_by_quarter(docs: DataFrame, seed: int = 42, stop: list[str] | None = None, top: int = 10) -> tuple[DataFrame, DataFrame] | None:
-    """The same for every quarter of (doc_id, year, quarter, text), one model
-    each, with year and quarter in both frames; quarters with too few texts give
-    none, and None is returned if no quarter gives any."""
-    quarters = sorted((r[0], r[1]) for r in docs.select("year", "quarter").dropna().distinct().collect())  # a bounded calendar
-    out: list[tuple[DataFrame, DataFrame]] = []
-    for year, quarter in quarters:
-        own = topics(docs.filter((F.col("year") == year) & (F.col("quarter") == quarter)).select("doc_id", "text"), seed, stop, top)
-        if own:
-            out.append(tuple(df.select(F.lit(year).alias("year"), F.lit(quarter).alias("quarter"), "*") for df in own))
-    return (reduce(DataFrame.unionByName, [a for a, _ in out]), reduce(DataFrame.unionByName, [b for _, b in out])) if out else None
+    """(topics, documents) of every quarter of (doc_id, year, quarter, text), with
+    year and quarter in both frames, all quarters fitted together; quarters with
+    fewer than TOPIC_DOCS texts give none, and None is returned if none gives any."""
+    when = docs.dropna(subset=["year", "quarter"]).select(quarter_index("year", "quarter").cast("long").alias("q"), "doc_id", "text")
+    if when.groupBy("q").count().filter(F.col("count") >= TOPIC_DOCS).isEmpty():
+        return None
+    words = [*StopWordsRemover.loadDefaultStopWords("english"), *(stop or [])]
+    found = quarterly.fitted(when, TOPICS, seed, TOPIC_DOCS, top, words)
+    quarter = F.when(F.col("q") % 4 == 0, 4).otherwise(F.col("q") % 4).cast("int")
+    return tuple(df.select(((F.col("q") - quarter) / 4).cast("int").alias("year"), quarter.alias("quarter"), *[c for c in df.columns if c != "q"]) for df in found)
 
 
 def principal(df: DataFrame, column: str, k: int = 2) -> DataFrame:
