@@ -84,8 +84,8 @@ def quantiles(df: DataFrame, columns: list[str], shares: list[float], by: list[s
         hit = bins.withColumn("below", before).filter((F.col("below") <= F.col("k")) & (F.col("k") < F.col("below") + F.col("c")))
         state = steps.stored(hit.select(*who, "n", "k", F.col("l").alias("low"), F.col("h").alias("high"), "below", F.col("c").alias("inside")).unionByName(state.filter("low = high").select(*who, "n", "k", "low", "high", "below", "inside")), "ranks")
     rank = F.row_number().over(Window.partitionBy(*who).orderBy("v")) - 1 + F.col("below")
-    ordered = _within(values, state.filter("low < high"), keys).withColumn("_r", rank).filter(F.col("_r") == F.col("k")).select(*who, "n", F.col("v").alias("value"))
-    found = ordered.unionByName(state.filter("low = high").select(*who, "n", F.col("low").alias("value")))
+    in_order = lambda some: _within(values, some, keys).withColumn("_r", rank).filter(F.col("_r") == F.col("k")).select(*who, "n", F.col("v").alias("value"))
+    found = in_order(state) if few else in_order(state.filter("low < high")).unionByName(state.filter("low = high").select(*who, "n", F.col("low").alias("value")))
     side = lambda s: F.max(F.when(F.col("side") == s, F.col("value")))
     wide = found.groupBy(*keys, "metric", "share").agg(F.max("n").alias("n"), side(0).alias("a"), side(1).alias("b"))
     t = (F.col("n") - 1) * F.col("share")
