@@ -181,6 +181,22 @@ def test_jaccard_counts_every_link(spark, monkeypatch, tile):
     assert 33 < sum(links.values()) < 34 * 33  # more than a spanning tree, fewer than all pairs
 
 
+def test_jaccard_copies_meet_once(spark):
+    """Pairs and texts of copies don't grow with the square of their number."""
+    texts = [" ".join(f"t{t}w{i}" for i in range(30)) for t in range(5)]
+    df = spark.createDataFrame([(10 * c + t, text) for c in range(60) for t, text in enumerate(texts)] + [(3000, texts[0] + " end")], "doc_id long, text string")
+    met = jaccard.meetings(df, 4, 85, 3, np.zeros(0, np.uint64)).filter("kind = 0").collect()
+    assert sum(len(anchors.unpacked(r.blob)[0]) for r in met) <= 20  # of one near copy, in 3 buckets; 60 * 59 / 2 * 5 pairs before
+    found = by_id(jaccard_classes(df, 4, 85))
+    assert {i: (r.component_id, r.n_links) for i, r in found.items()} == {10 * c + t: (t, 59 + (t == 0)) for c in range(60) for t in range(5)} | {3000: (0, 60)}
+
+
+def test_jaccard_id_with_two_texts_joins_their_classes(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    found = by_id(jaccard_classes(spark.createDataFrame([(7, one), (7, two), (8, one), (9, two), (9, two), (5, two + " end"), (None, one)], "doc_id long, text string").distinct(), 4, 85))
+    assert {i: (r.component_id, r.n_links) for i, r in found.items()} == {7: (5, 3), 8: (5, 1), 9: (5, 2), 5: (5, 2), None: (None, None)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (None, 3), (200, 90)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
