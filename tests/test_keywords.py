@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tests.test_texts import KEYWORD_TEXTS
-from turnlake.operators import tokens
+from turnlake.operators import keywords, tokens
 from turnlake.operators.keywords import Lexicon, term_hits, term_places, with_keywords
 
 LONG_S, KELVIN, DOTTED, NBSP, LINE = map(chr, (0x17F, 0x212A, 0x130, 0xA0, 0x2028))
@@ -41,6 +41,22 @@ def test_a_lexicon_of_ones_own(spark):
         assert tuple(r)[1:] == lex.signals(r.text), r.text
 
 
+def test_few_terms_go_to_the_texts(spark, monkeypatch):
+    """No word is shuffled for them, whatever is known of the terms' size."""
+    df = spark.createDataFrame([(1, "a b a c"), (2, "c a b")], "doc_id int, text string")
+    terms = spark.createDataFrame([("a b",), ("c",)], "term string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, sent in ((2, True), (1, False)):
+            monkeypatch.setattr(keywords, "SENT_TERMS", most)
+            found = term_hits(df, terms)
+            assert ("BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()) == sent
+            assert sorted(map(tuple, found.collect())) == [(1, "a b", 1), (1, "c", 1), (2, "a b", 1), (2, "c", 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_terms_of_many_words(spark):
     rng = random.Random(2)
     texts = [(i % 20, " ".join(rng.choice(["a", "b", "c", "d1e"]) for _ in range(rng.randrange(0, 40)))) for i in range(60)] + [(99, None)]

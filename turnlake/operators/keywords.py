@@ -53,6 +53,9 @@ NEAR, WIDE = 10, 120
 #: Distinct families of weak keywords that make a sentence topical without a strong one.
 WEAK_NEEDED = 2
 
+#: Terms that are sent to the texts; more are met in a join that shuffles the words.
+SENT_TERMS = 100_000
+
 COLUMNS = ["kw_is_ai boolean", "kw_match_count int", "kw_ai_score double", "kw_strong_count int", "kw_weak_count int", "kw_weak_nonexcluded_count int", *[f"kw_{c}_count int" for c in CATEGORIES]]
 
 
@@ -219,16 +222,18 @@ def term_places(texts: DataFrame, terms: DataFrame, keep: list[str], term: str =
 
     Words are runs of a-z.  Terms are a relation of any size: a place meets the
     terms that begin with its word, and the words after it are compared then.
+    Up to SENT_TERMS of them go to the texts, and no word is shuffled.
     Longest terms decide how many words a place carries; no terms, no places.
     """
     words = F.regexp_extract_all(F.lower(F.col(term)), F.lit("[a-z]+"), F.lit(0))
     wanted = terms.select(F.col(term).alias("term"), words.alias("_words")).filter(F.size("_words") > 0).distinct()
-    longest = wanted.agg(F.max(F.size("_words"))).first()[0] or 0
+    longest, n = wanted.agg(F.max(F.size("_words")), F.count("*")).first()
     text = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("_w")
     # Texts are cut to the words and what follows them before any join.
-    ahead = F.posexplode(F.transform("_w", lambda x, i: F.struct(x.alias("first"), F.slice("_w", i + 1, F.lit(max(longest, 1))).alias("ahead"))))
+    ahead = F.posexplode(F.transform("_w", lambda x, i: F.struct(x.alias("first"), F.slice("_w", i + 1, F.lit(longest or 1)).alias("ahead"))))
     places = texts.select(*keep, text).select(*keep, ahead.alias("place", "_p")).select(*keep, "place", F.col("_p.first").alias("_first"), F.col("_p.ahead").alias("_ahead"))
-    met = places.join(wanted.withColumn("_first", F.element_at("_words", 1)), "_first")
+    wanted = wanted.withColumn("_first", F.element_at("_words", 1))
+    met = places.join(F.broadcast(wanted) if n <= SENT_TERMS else wanted, "_first")
     return met.filter(F.slice("_ahead", 1, F.size("_words")) == F.col("_words")).select(*keep, "term", "place")
 
 
