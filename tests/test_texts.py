@@ -1,4 +1,6 @@
 import math
+import re
+from collections import Counter
 
 from turnlake.functions import scalars as S
 from turnlake.operators import metrics, rankings, sampling, tokens
@@ -89,6 +91,30 @@ def test_tfidf_is_normalised(spark):
     assert abs(w[1, "red"] - red / math.hypot(red, blue)) < 1e-12 and abs(sum(v * v for (d, _), v in w.items() if d == 2) - 1) < 1e-12
 
 
+def test_tfidf_keeps_pairs_where_they_are(spark, monkeypatch):
+    """Parts exchange terms, not pairs of key and term; keys may repeat and be null."""
+    monkeypatch.setattr(tokens, "PART_BYTES", 40)
+    rows = [("a", "red red blue"), ("b", "blue green"), ("a", "Blue sky"), (None, "red sky"), (None, None), ("c", ""), ("d", "1 2"), ("e", "green sea sea sea")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    want = {}
+    for i, t in rows:
+        words = re.findall("[a-z]+", (t or "").lower())
+        want.setdefault(i, Counter()).update(words + [" ".join(x) for x in zip(words, words[1:])])
+    seen = Counter(term for c in want.values() for term in c)
+    for least, sublinear, terms in ((1, True, None), (2, False, None), (1, True, 3)):
+        out = tokens.tfidf(df, 1, 2, min_df=least, sublinear=sublinear, max_terms=terms)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "CoGroups" in plan and "Window" not in plan
+        total = Counter(term for c in want.values() for term in c.elements())
+        kept = sorted((x for x in seen if seen[x] >= least), key=lambda x: (-total[x], x))[:terms]
+        raw = {(i, x): (1 + math.log(n) if sublinear else n) * (math.log(6 / (1 + seen[x])) + 1) for i, c in want.items() for x, n in c.items() if x in kept}
+        norm = {i: math.sqrt(sum(v * v for (j, _), v in raw.items() if j == i)) for i, _ in raw}
+        found = {(r.doc_id, r.term): r for r in out.collect()}
+        assert found.keys() == raw.keys() and out.columns == ["doc_id", "term", "tf", "df", "weight"]
+        assert all((r.tf, r.df) == (want[i][x], seen[x]) and abs(r.weight - raw[i, x] / norm[i]) < 1e-12 for (i, x), r in found.items())
+    assert tokens.tfidf(df.limit(0)).count() == 0 and tokens.tfidf(df, min_df=99).count() == 0
+
+
 def test_keys(spark):
     df = spark.createDataFrame([("A_B_2024Q1",), ("X_bad",), (None,)], "doc_id string")
     out = [tuple(r) for r in df.select(S.key_ticker("doc_id"), S.key_year("doc_id"), S.key_quarter("doc_id")).collect()]

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.functions.scalars import count_in, guarded_ratio, words_in
 from turnlake.operators.keywords import term_places
+from turnlake.sources.session import importable
+
+#: Text bytes of the documents that are counted together.
+PART_BYTES = 8 << 20
 
 # Word lists of the measures.
 POSITIVE = ["benefit", "confidence", "efficient", "efficiency", "gain", "growth", "improve", "innovation", "lead", "margin", "opportunity", "optimize", "progress", "strong", "upgrade", "value"]
@@ -52,24 +59,29 @@ def document_text(sentences: DataFrame, mode: str = "all", section: str | None =
     return ordered.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]), " ").alias("text"))
 
 
-def grams(texts: DataFrame, low: int = 1, high: int = 1, key: str = "doc_id", stop: list[str] | None = None, distinct: bool = False) -> DataFrame:
-    """(key, term): all word n-grams of low to high words; with ``distinct``
-    each once a row."""
+def _gram_lists(low: int, high: int, stop: list[str] | None) -> F.Column:
+    """All word n-grams of a row's text, in an array."""
     words = words_in(F.coalesce("text", F.lit("")))
     if stop:
         words = F.filter(words, lambda w: ~w.isin(*stop))
-    base = texts.select(key, words.alias("w"))
-    size = F.size("w")
 
-    def of(n: int) -> F.Column:
+    def of(n: int, w: F.Column) -> F.Column:
         if n == 1:
-            return F.col("w")
-        joined = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
-        return F.when(size >= n, joined).otherwise(F.array().cast("array<string>"))
+            return w
+        joined = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+        return F.when(F.size(w) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    if low == high == 1:
+        return words
+    # The array of one element binds the words to a name.
+    return F.transform(F.array(words), lambda w: F.concat(*[of(n, w) for n in range(low, high + 1)]))[0]
 
-    all_ = [of(n) for n in range(low, high + 1)]
-    terms = all_[0] if len(all_) == 1 else F.concat(*all_)
-    return base.select(key, F.explode(F.array_distinct(terms) if distinct else terms).alias("term"))
+
+def grams(texts: DataFrame, low: int = 1, high: int = 1, key: str = "doc_id", stop: list[str] | None = None, distinct: bool = False) -> DataFrame:
+    """(key, term): all word n-grams of low to high words; with ``distinct``
+    each once a row."""
+    terms = _gram_lists(low, high, stop)
+    return texts.select(key, F.explode(F.array_distinct(terms) if distinct else terms).alias("term"))
 
 
 def term_frequency(texts: DataFrame, low: int = 1, high: int = 1, key: str = "doc_id") -> DataFrame:
@@ -91,17 +103,57 @@ def tfidf(texts: DataFrame, low: int = 1, high: int = 2, min_df: int = 1, max_df
     """(key, term, tf, df, weight): smoothed idf ln((1+n)/(1+df))+1, tf or
     1+ln tf, rows scaled to length 1.
 
-    Texts are shuffled by their key once: counting terms by key needs no more.
+    Texts are shuffled by their key once, in parts.  A part sends each of its terms
+    once, with its counts, and gets the counts of all; the pairs of key and term,
+    which are many more, stay where they are.
     """
-    counts = grams(texts.repartition(key), low, high, key, stop).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    importable(texts.sparkSession)
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    part = F.pmod(F.xxhash64(key), F.lit(max(1, -(-total // PART_BYTES)))).cast("int")
+    # The texts of a key are in one part; the words are cut where they arrive.
+    placed = texts.select(part.alias("part"), F.col(key).alias("key"), "text").repartition("part")
+    rows = placed.select("part", "key", _gram_lists(low, high, stop).alias("terms"))
+    here = rows.groupBy("part").applyInArrow(_part_terms, "part int, term string, df long, total long")
     n = F.broadcast(texts.agg(F.count_distinct(key).alias("docs")))  # one row
-    kept = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).crossJoin(n).filter((F.col("df") >= min_df) & (F.col("df") <= F.col("docs") * max_df))
+    kept = here.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).crossJoin(n).filter((F.col("df") >= min_df) & (F.col("df") <= F.col("docs") * max_df))
     if max_terms:
         kept = kept.orderBy(F.desc("total"), "term").limit(max_terms)
-    tf = F.when(F.lit(sublinear), 1 + F.ln("tf")).otherwise(F.col("tf").cast("double"))
-    raw = counts.join(kept.select("term", "df", "docs"), "term").withColumn("w", tf * (F.ln((1 + F.col("docs")) / (1 + F.col("df"))) + 1))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", "tf", "df", (F.col("w") / norm).alias("weight"))
+    back = here.select("part", "term").join(kept.select("term", "df", "docs"), "term").select("part", "term", "df", "docs")
+    found = rows.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(_weighed(sublinear), f"key {texts.schema[key].dataType.simpleString()}, term string, tf long, df long, weight double")
+    return found.withColumnRenamed("key", key)
+
+
+def _counted(rows: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and terms of a part, and for each pair of them that occurs: the
+    places of both, and how often."""
+    lists = rows.column("terms").combine_chunks()
+    keys, terms = rows.column("key").combine_chunks().dictionary_encode("encode"), lists.flatten().dictionary_encode()
+    owner = np.repeat(keys.indices.to_numpy(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+    size = max(len(terms.dictionary), 1)
+    pair, tf = np.unique(owner * size + terms.indices.to_numpy(), return_counts=True)
+    return keys.dictionary, terms.dictionary, pair // size, pair % size, tf
+
+
+def _part_terms(rows: pa.Table) -> pa.Table:
+    _, terms, _, term, tf = _counted(rows)
+    df, total = np.bincount(term, minlength=len(terms)), np.bincount(term, tf, len(terms)).astype(np.int64)
+    return pa.table({"part": pa.array([rows.column("part")[0].as_py()] * len(terms), pa.int32()), "term": terms, "df": df, "total": total})
+
+
+def _weighed(sublinear: bool):
+    def run(rows: pa.Table, kept: pa.Table) -> pa.Table:
+        if not rows.num_rows or not kept.num_rows:
+            kept, rows = kept.slice(0, 0), rows.slice(0, 0)
+        keys, terms, key, term, tf = _counted(rows)
+        at = pc.index_in(terms, value_set=kept.column("term").combine_chunks())
+        here = pc.is_valid(at).to_numpy(zero_copy_only=False)[term]
+        key, term, tf = key[here], term[here], tf[here]
+        df = kept.column("df").to_numpy()[pc.fill_null(at, 0).to_numpy()[term]]
+        w = (1 + np.log(tf) if sublinear else tf) * (np.log((1 + kept.column("docs").to_numpy()[:1]) / (1 + df)) + 1) if len(tf) else np.zeros(0)
+        norm = np.sqrt(np.bincount(key, w * w, len(keys)))
+        return pa.table({"key": keys.take(pa.array(key)), "term": terms.take(pa.array(term)), "tf": tf.astype(np.int64), "df": df.astype(np.int64), "weight": w / norm[key]})
+
+    return run
 
 
 def example_sentences(sentences: DataFrame, terms: DataFrame) -> DataFrame:
